@@ -15,6 +15,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressmill import fixed_values as fv
 
@@ -191,7 +192,14 @@ def _json_ld_values(root: Node) -> list[str]:
 
 # The date tags of dropped blocks never count, and neither do dropped scripts: a page's
 # structured data lives in a script block, so it is only seen when kept on request.
-_ARTICLE_TYPE = "struct<title:string,text:string,dates:array<string>,json_ld:array<string>>"
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+
+
+def _struct(**columns) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+_ARTICLE_TYPE = _struct(title=_TEXT, text=_TEXT, dates=_TEXTS, json_ld=_TEXTS)
 
 
 @F.pandas_udf(_ARTICLE_TYPE)
@@ -221,7 +229,9 @@ def _anchor_title(anchor: Node) -> str:
     return title
 
 
-_LINK_TYPE = "array<struct<pos:int,href:string,url:string,title:string,own_text:string,selector_rank:int>>"
+_LINK_TYPE = T.ArrayType(_struct(
+    pos=T.IntegerType(), href=_TEXT, url=_TEXT, title=_TEXT, own_text=_TEXT, selector_rank=T.IntegerType()
+))
 
 
 @F.pandas_udf(_LINK_TYPE)
@@ -248,7 +258,7 @@ def page_links(html: pd.Series, base: pd.Series, selectors: pd.Series) -> pd.Ser
     return pd.Series(out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def page_feeds(html: pd.Series, base: pd.Series) -> pd.Series:
     """Feeds a page advertises in its head."""
     out = []
@@ -262,7 +272,7 @@ def page_feeds(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-_BODY_TYPE = "struct<blocks:array<string>,paragraphs:array<string>,body:string,h1:string,title:string>"
+_BODY_TYPE = _struct(blocks=_TEXTS, paragraphs=_TEXTS, body=_TEXT, h1=_TEXT, title=_TEXT)
 
 
 @F.pandas_udf(_BODY_TYPE)

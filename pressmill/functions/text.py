@@ -193,7 +193,7 @@ def merge_warnings(*values: Column | str) -> Column:
 def append_warning(existing: Column | str, status: Column) -> Column:
     """Add a window status to a warning list unless it is clean or already there."""
     current = F.coalesce(col(existing), F.lit(""))
-    parts = F.filter(F.transform(F.split(current, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(current, ";"), lambda p: F.trim(p)), lambda p: p != "")
     with_status = F.when(F.array_contains(parts, status), parts).otherwise(F.array_append(parts, status))
     return F.when(status.isin(fv.IN_WINDOW, fv.IN_WINDOW_DATE), current).otherwise(
         F.array_join(with_status, "; ")

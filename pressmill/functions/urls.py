@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressmill import fixed_values as fv
 from pressmill.functions.text import clean, col, text_array
@@ -80,15 +81,15 @@ def _clean_query(query: Column) -> Column:
 def canonical_url(url: Column | str) -> Column:
     """Comparison key of a URL: no tracking, session, fragment or trailing slash."""
     text = clean(url)
-    scheme, host, raw_path, query = (_part(text, i) for i in (1, 2, 3, 4))
-    path = strip_session_id(F.when(raw_path == "", F.lit("/")).otherwise(raw_path))
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    cleaned = _clean_query(query)
+    # each part appears once, so the expression stays small wherever it is used
+    path = F.regexp_replace(strip_session_id(_part(text, 3)), "^$", "/")
+    path = F.regexp_replace(path, "(?s)^(?!/$)(.*?)/+$", "$1")
+    query = F.concat(F.lit("?"), F.nullif(_clean_query(_part(text, 4)), F.lit("")))
     full = F.concat(
-        F.lower(scheme), F.lit("://"), F.lower(host), path,
-        F.when(cleaned != "", F.concat(F.lit("?"), cleaned)).otherwise(""),
+        F.lower(_part(text, 1)), F.lit("://"), F.lower(_part(text, 2)), path, F.coalesce(query, F.lit(""))
     )
-    return F.when((scheme == "") | (host == ""), F.regexp_replace(text, "/+$", "")).otherwise(full)
+    complete = text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]")
+    return F.when(complete, full).otherwise(F.regexp_replace(text, "/+$", ""))
 
 
 def canonical_key(url: Column | str) -> Column:
@@ -158,7 +159,7 @@ def source_from_url(url: Column | str, markers) -> Column:
     return name_for_host(F.lower(url_host(url)), markers)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_reserved_address(hosts: pd.Series) -> pd.Series:
     def reserved(host: str) -> bool:
         try:

@@ -19,11 +19,15 @@ from pressmill.functions.text import (
     clean, col, first_known, first_text, is_missing, keywords_from_array, keywords_from_text,
     or_unclassified, text_array,
 )
-from pressmill.functions.urls import canonical_url, source_from_url
+from pressmill.functions.urls import canonical_key, source_from_url
 from pressmill.operators.keyed import first_per_key
 
-_ACCEPTED = F.sum(F.col("accepted").cast("int")).cast("bigint")
-_ITEMS = F.count(F.lit(1))
+def _accepted() -> Column:
+    return F.sum(F.col("accepted").cast("int")).cast("bigint")
+
+
+def _items() -> Column:
+    return F.count(F.lit(1))
 
 
 def _rate(accepted: Column, items: Column) -> Column:
@@ -31,7 +35,7 @@ def _rate(accepted: Column, items: Column) -> Column:
 
 
 def daily_counts(records: DataFrame, date: str = "date") -> DataFrame:
-    return records.groupBy(date).agg(_ITEMS.alias("items"), _ACCEPTED.alias("accepted_items")).orderBy(date)
+    return records.groupBy(date).agg(_items().alias("items"), _accepted().alias("accepted_items")).orderBy(date)
 
 
 def distribution(records: DataFrame, column: str) -> DataFrame:
@@ -40,14 +44,14 @@ def distribution(records: DataFrame, column: str) -> DataFrame:
         return records.sparkSession.createDataFrame(
             [], f"`{column}` string, items bigint, accepted_items bigint, acceptance_rate double"
         )
-    counts = records.groupBy(column).agg(_ITEMS.alias("items"), _ACCEPTED.alias("accepted_items"))
+    counts = records.groupBy(column).agg(_items().alias("items"), _accepted().alias("accepted_items"))
     return counts.withColumn("acceptance_rate", _rate(F.col("accepted_items"), F.col("items"))).orderBy(
         F.desc("items"), F.desc("accepted_items"), column
     )
 
 
 def summary_metrics(records: DataFrame) -> DataFrame:
-    totals = records.agg(_ITEMS.alias("total"), F.coalesce(_ACCEPTED, F.lit(0)).alias("accepted"))
+    totals = records.agg(_items().alias("total"), F.coalesce(_accepted(), F.lit(0)).alias("accepted"))
     return totals.select(
         "total", "accepted", _rate(F.col("accepted"), F.col("total")).alias("acceptance_rate"),
         (F.col("total") - F.col("accepted")).alias("unaccepted"),
@@ -55,8 +59,9 @@ def summary_metrics(records: DataFrame) -> DataFrame:
 
 
 def keyword_counts(records: DataFrame, limit: int = 10, keywords: str = "keywords") -> DataFrame:
-    words = records.select(clean(F.explode(keywords)).alias("keyword"), "accepted").where(F.col("keyword") != "")
-    return words.groupBy("keyword").agg(_ITEMS.alias("occurrences"), _ACCEPTED.alias("accepted_occurrences")).orderBy(
+    words = records.select(F.explode(keywords).alias("word"), "accepted").select(clean("word").alias("keyword"), "accepted")
+    words = words.where(F.col("keyword") != "")
+    return words.groupBy("keyword").agg(_items().alias("occurrences"), _accepted().alias("accepted_occurrences")).orderBy(
         F.desc("occurrences"), "keyword"
     ).limit(limit)
 
@@ -152,11 +157,10 @@ def _top_one(counts: DataFrame, order: Sequence[Column], column: str) -> DataFra
 
 def record_key(date: Column | str, title: Column | str, url: Column | str) -> Column:
     """``url::...``, else ``title::date::title``, else NULL."""
-    link, day = canonical_url(url), F.coalesce(col(date).cast("string"), F.lit(""))
-    heading = F.lower(clean(title))
-    return F.when(link != "", F.concat(F.lit("url::"), link)).when(
-        (day != "") & (heading != ""), F.concat_ws("::", F.lit("title"), day, heading)
-    )
+    by_url = F.concat(F.lit("url::"), canonical_key(url))
+    day = F.nullif(col(date).cast("string"), F.lit(""))
+    heading = F.nullif(F.lower(clean(title)), F.lit(""))
+    return F.coalesce(by_url, F.concat(F.lit("title::"), day, F.lit("::"), heading))
 
 
 def normalized_keywords(df: DataFrame, column: str) -> Column:
@@ -272,7 +276,7 @@ def reference_statistics(samples: DataFrame, *, keywords: str = "keywords_candid
     if isinstance(samples.schema[keywords].dataType, T.ArrayType):
         words = F.col(keywords)
     else:
-        words = F.filter(F.transform(F.split(F.coalesce(keywords, F.lit("")), "[,;；、]"), F.trim), lambda w: w != "")
+        words = F.filter(F.transform(F.split(F.coalesce(keywords, F.lit("")), "[,;；、]"), lambda p: F.trim(p)), lambda w: w != "")
 
     def top(rows: DataFrame, metric: str, limit: int | None) -> DataFrame:
         counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("items"))

@@ -117,7 +117,7 @@ def normalize_response(df: DataFrame, profile: Profile, response: str = "respons
     """Digest columns from model text, with fallbacks to the candidate's own fields."""
     given = lambda name: F.coalesce(F.try_variant_get("_v", f"$.{name}", "string"), F.lit(""))
     words = F.try_variant_get("_v", "$.keywords", "array<string>")
-    as_text = F.filter(F.transform(F.split(given("keywords"), ","), F.trim), lambda w: w != "")
+    as_text = F.filter(F.transform(F.split(given("keywords"), ","), lambda p: F.trim(p)), lambda w: w != "")
     own = lambda name: F.col(name) if name in df.columns else F.lit("")
     kind = first_text(given("type"), own("suggested_type"), F.lit(fv.TECHNOLOGY))
     soft = first_text(given("soft_hard"), own("suggested_soft_hard"), F.lit(fv.HARD_SCIENCE))

@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressmill.functions.text import clean, col
 from pressmill.operators.keyed import first_per_key, join_on, positions
@@ -29,7 +30,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
     """Ratio of each pair, argument order kept: the measure is not symmetric."""
     out, matcher, current = [], SequenceMatcher(None), None
@@ -80,7 +81,7 @@ def best_similarity(
     if len(head) <= sample_bound:
         shared = spark.sparkContext.broadcast(sorted(head, key=len))
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(T.DoubleType())
         def best(titles: pd.Series) -> pd.Series:
             return pd.Series(_best_ratios(list(titles), shared.value), dtype="float64")
 

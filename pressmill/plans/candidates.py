@@ -77,7 +77,7 @@ def combine_pools(
     day = F.lit(run_date).cast("date")
     whole = rv.with_display_columns(rv.union_pools(pools))
     # a row's place: its pool first, then its own order
-    whole = whole.withColumn("seq", F.col("pool_no").cast("bigint") * (1 << 52) + F.col("seq"))
+    whole = whole.withColumn("seq", F.col("pool_no").cast("bigint") * (1 << 60) + F.col("seq"))
     if reported is not None:
         whole = rv.without_reported(whole, reported, day)
     whole = rv.candidate_gate(whole, day, settings.profile, settings.terms)

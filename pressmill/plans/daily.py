@@ -23,7 +23,6 @@ def daily_run(
     """Discovery, collection, candidates, the ranked site if given, and the combined pool."""
     found = discover(pages, feeds, sources, stored, previous, run_date, settings.profile, link_rules)
     articles = collect(found, pages).withColumn("run_date", F.lit(run_date).cast("date"))
-    articles = articles.withColumn("seq", F.xxhash64("url")) if "seq" not in articles.columns else articles
     pools = {}
     first_source = ""
     if ranked_rules is not None and section_pages is not None:

@@ -16,9 +16,9 @@ from pressmill.operators.diagnosis import diagnose
 from pressmill.operators.keyed import first_per_key, top_per_key
 from pressmill.sources.readers import feed_articles, feed_items
 
-# room for the entry page, the feed or selector and the place on the page in one number
-_ENTRY_STEP = 1 << 40
-_SOURCE_STEP = 1 << 52
+# source, entry page and place on the page as one number
+_ENTRY_STEP = 1 << 20
+_SOURCE_STEP = 1 << 32
 
 
 def entry_urls(sources: DataFrame, run_date: Column) -> DataFrame:
@@ -95,6 +95,7 @@ def discover(
     rows = timed.where(status_keeps(status) | (status == fv.NO_DATE)).drop("_p")
     rows = top_per_key(rows, ["source"], [F.col("seq")], F.col("scan"), seq="seq")
     rows = lk.first_source_per_url(rows, ["source_no", "seq"])
+    rows = rows.withColumn("seq", F.col("source_no").cast("bigint") * _SOURCE_STEP + F.col("seq"))
     if previous is not None:
         rows = lk.keep_previous(rows, previous, stored, day)
     return rows.drop("scan", "entry_no", "pos", "include_url_patterns", "exclude_url_patterns")

@@ -34,7 +34,7 @@ def ingest_reference(paragraphs: DataFrame, sheet: DataFrame | None, settings: S
     if sheet is not None:
         listed = accepted_references(sheet, sheet_name).withColumn(
             "keywords_candidate",
-            F.filter(F.transform(F.split("keywords_candidate", "[,;；、]"), F.trim), lambda w: w != ""),
+            F.filter(F.transform(F.split("keywords_candidate", "[,;；、]"), lambda p: F.trim(p)), lambda w: w != ""),
         ).withColumn("seq", F.struct(F.lit(1).alias("part"), F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
         rows = rows.unionByName(listed, allowMissingColumns=True)
     return an.distinct_references(rows).drop("seq")
