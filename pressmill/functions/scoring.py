@@ -9,7 +9,7 @@ from pressmill import fixed_values as fv
 from pressmill.config import Profile, TermLists, TitleRules
 from pressmill.functions.keywords import matched_categories
 from pressmill.functions.text import (
-    clean, col, has_any, has_any_exact, hits, is_missing, lowered, text_array,
+    clean, col, has_any, has_any_exact, hits, is_missing, let, lowered, text_array,
 )
 
 POLICY_TOPIC_BONUS = 3.0
@@ -80,18 +80,21 @@ def market_topic(lower_title: Column, lower_text: Column, terms: TermLists) -> C
 
 def excluded_topic(title: Column, text: Column, terms: TermLists) -> Column:
     """True for market-only, sports, operational and consumer items (inputs cleaned)."""
-    lt, lx = F.lower(title), F.lower(text)
-    both = F.lower(F.concat(title, F.lit(" "), text))
-    sports = has_any(lt, terms.sports_title) & ~has_any(lt, terms.sports_technology)
-    operational = has_any(both, terms.operational) & ~has_any(both, terms.operational_strategic)
-    return (
-        market_topic(lt, lx, terms)
-        | sports
-        | has_any(lt, terms.operational)
-        | consumer_topic(both, terms)
-        | operational
+    lowered_once = F.struct(
+        F.lower(title).alias("title"), F.lower(text).alias("text"), F.lower(F.concat(title, F.lit(" "), text)).alias("both")
     )
 
+    def test(v: Column) -> Column:
+        lt, both = v["title"], v["both"]
+        sports = has_any(lt, terms.sports_title) & ~has_any(lt, terms.sports_technology)
+        operational = has_any(both, terms.operational) & ~has_any(both, terms.operational_strategic)
+        return (
+            market_topic(lt, v["text"], terms) | sports | has_any(lt, terms.operational)
+            | consumer_topic(both, terms) | operational
+        )
+
+    return let(lowered_once, test)
+
 
 def region_preference(lower: Column, country_region: Column | str, terms: TermLists, profile: Profile) -> Column:
     """``struct<bonus, penalty, entity, from_region>`` of the profile's regional preference."""
@@ -135,7 +138,7 @@ def total_score(raw: Column, consumer: Column, excluded: Column) -> Column:
     return F.bround(F.when(excluded, F.lit(0.0)).otherwise(capped), 1)
 
 
-def explanation(parts: Column, region_label: str) -> Column:
+def explanation(parts: dict[str, Column], region_label: str) -> Column:
     """Labels of positive parts and fired rules, in fixed order."""
     labels = [F.when(parts[name] > 0, F.lit(label)) for name, label in fv.PART_LABELS]
     labels += [
@@ -164,31 +167,34 @@ def suggested_soft_hard(matches: Column | str, text: Column, terms: TermLists) -
 
 
 def type_from_title(known_type: Column | str, title: Column | str, url: Column | str, rules: TitleRules) -> Column:
-    known, text = clean(known_type), clean(title)
-    lower = F.lower(text)
-    return (
-        F.when(known.isin(fv.POLICY, fv.TECHNOLOGY, fv.INDUSTRY), known)
-        .when(has_any(lower, rules.policy), fv.POLICY)
-        .when(has_any(lower, rules.industry), fv.INDUSTRY)
-        .when((text != "") | (clean(url) != ""), fv.TECHNOLOGY)
-        .otherwise(fv.UNCLASSIFIED)
-    )
+    linked = clean(url) != ""
+
+    def by_title(lower: Column) -> Column:
+        return (
+            F.when(has_any(lower, rules.policy), fv.POLICY).when(has_any(lower, rules.industry), fv.INDUSTRY)
+            .when((lower != "") | linked, fv.TECHNOLOGY).otherwise(fv.UNCLASSIFIED)
+        )
+
+    by_rules = let(F.lower(clean(title)), by_title)
+    return let(clean(known_type), lambda k: F.when(k.isin(fv.POLICY, fv.TECHNOLOGY, fv.INDUSTRY), k).otherwise(by_rules))
 
 
 def soft_hard_from_title(known: Column | str, title: Column | str, url: Column | str, kind: Column, rules: TitleRules) -> Column:
-    given, lower = clean(known), F.lower(clean(title))
-    return (
-        F.when(given.isin(fv.SOFT_SCIENCE, fv.HARD_SCIENCE), given)
-        .when((kind == fv.POLICY) & has_any(lower, rules.soft), fv.SOFT_SCIENCE)
-        .when(has_any(lower, rules.hard), fv.HARD_SCIENCE)
-        .when(kind.isin(fv.TECHNOLOGY, fv.INDUSTRY) | (clean(url) != ""), fv.HARD_SCIENCE)
-        .otherwise(fv.UNCLASSIFIED)
+    linked = clean(url) != ""
+    bound = F.struct(clean(known).alias("given"), F.lower(clean(title)).alias("lower"), kind.alias("kind"))
+    return let(
+        bound,
+        lambda v: F.when(v["given"].isin(fv.SOFT_SCIENCE, fv.HARD_SCIENCE), v["given"])
+        .when((v["kind"] == fv.POLICY) & has_any(v["lower"], rules.soft), fv.SOFT_SCIENCE)
+        .when(has_any(v["lower"], rules.hard), fv.HARD_SCIENCE)
+        .when(v["kind"].isin(fv.TECHNOLOGY, fv.INDUSTRY) | linked, fv.HARD_SCIENCE)
+        .otherwise(fv.UNCLASSIFIED),
     )
 
 
 def keywords_from_title(title: Column | str, rules: TitleRules) -> Column:
-    text = clean(title)
-    return F.slice(F.filter(text_array(rules.keywords), lambda t: F.contains(text, t)), 1, rules.max_keywords)
+    found = lambda text: F.filter(text_array(rules.keywords), lambda t: F.contains(text, t))
+    return F.slice(let(clean(title), found), 1, rules.max_keywords)
 
 
 def metadata_quality(*values: Column | str) -> Column:

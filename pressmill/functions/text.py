@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,15 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it.
+
+    A lambda variable is never replaced by its definition, so expressions built this way
+    stay small when filters are pushed through projections.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def text_array(values: Iterable[str]) -> Column:
     """Literal ``array<string>``, typed even when empty."""
     values = list(values)
@@ -45,11 +54,12 @@ def first_text(*values: Column | str) -> Column:
 
 
 def preview(value: Column | str, limit: int = 500) -> Column:
-    text = clean(value)
-    return F.when(
-        F.length(text) > limit,
-        F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("...")),
-    ).otherwise(text)
+    return let(
+        clean(value),
+        lambda text: F.when(
+            F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("..."))
+        ).otherwise(text),
+    )
 
 
 def cut(value: Column | str, limit: int = 500) -> Column:
@@ -109,14 +119,14 @@ def cjk_chars(value: Column) -> Column:
 
 
 def valid_translation(translated: Column | str, original: Column | str) -> Column:
-    new, old = clean(translated), clean(original)
-    return (new != "") & (new != old) & has_cjk(new) & ~has_hangul(new)
+    old = clean(original)
+    return let(clean(translated), lambda new: (new != "") & (new != old) & has_cjk(new) & ~has_hangul(new))
 
 
 def needs_translation(title: Column | str, translated: Column | str, language: Column | str) -> Column:
-    text = clean(title)
-    is_korean = (F.lower(F.coalesce(col(language), F.lit(""))) == "ko") | has_hangul(text)
-    return (text != "") & is_korean & ~valid_translation(translated, title)
+    korean = F.lower(F.coalesce(col(language), F.lit(""))) == "ko"
+    wanted = let(clean(title), lambda text: (text != "") & (korean | has_hangul(text)))
+    return wanted & ~valid_translation(translated, title)
 
 
 def romanize_hangul(value: Column | str) -> Column:
@@ -145,8 +155,10 @@ def romanize_hangul(value: Column | str) -> Column:
 
 
 def normalize_translation(translated: Column | str) -> Column:
-    text = clean(translated)
-    return F.when(has_cjk(text) & has_hangul(text), romanize_hangul(text)).otherwise(text)
+    return let(
+        clean(translated),
+        lambda text: F.when(has_cjk(text) & has_hangul(text), romanize_hangul(text)).otherwise(text),
+    )
 
 
 def strip_thinking(value: Column | str) -> Column:
@@ -155,9 +167,12 @@ def strip_thinking(value: Column | str) -> Column:
 
 def model_json(value: Column | str) -> Column:
     """Model output as VARIANT: the text itself, else its outermost braces, else NULL."""
-    text = strip_thinking(value)
-    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(inner))
+    return let(
+        strip_thinking(value),
+        lambda text: F.coalesce(
+            F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
+        ),
+    )
 
 
 def json_tags(value: Column | str) -> Column:
@@ -194,10 +209,13 @@ def append_warning(existing: Column | str, status: Column) -> Column:
     """Add a window status to a warning list unless it is clean or already there."""
     current = F.coalesce(col(existing), F.lit(""))
     parts = F.filter(F.transform(F.split(current, ";"), lambda p: F.trim(p)), lambda p: p != "")
-    with_status = F.when(F.array_contains(parts, status), parts).otherwise(F.array_append(parts, status))
-    return F.when(status.isin(fv.IN_WINDOW, fv.IN_WINDOW_DATE), current).otherwise(
-        F.array_join(with_status, "; ")
-    )
+
+    def added(state: Column) -> Column:
+        listed = F.array_join(F.array_append(parts, state), "; ")
+        present = F.when(F.array_contains(parts, state), F.array_join(parts, "; ")).otherwise(listed)
+        return F.when(state.isin(fv.IN_WINDOW, fv.IN_WINDOW_DATE), current).otherwise(present)
+
+    return let(status, added)
 
 
 def extraction_warning(title: Column | str, text: Column | str, published: Column | str) -> Column:

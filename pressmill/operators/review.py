@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
 from pressmill.config import Profile, TermLists
-from pressmill.functions.dates import article_time, status_keeps, window_multiplier, window_status
+from pressmill.functions.dates import status_keeps, text_window_status, window_multiplier
 from pressmill.functions.scoring import excluded_topic
 from pressmill.functions.text import (
     append_warning, candidate_id, clean, col, first_text, is_selected,
@@ -48,12 +48,11 @@ def candidate_gate(df: DataFrame, run_date: Column | str, profile: Profile, term
     """In the window, not a feed, long enough, not an excluded topic; status goes to the warnings."""
     day = col(run_date)
     checked = df.where(~is_feed_url("url") & (F.length(body_text()) >= MIN_TEXT)).withColumn(
-        "_p", article_time("published_date")
+        "_status", text_window_status("published_date", day, profile)
     )
-    checked = checked.withColumn("_status", window_status(F.col("_p.ts"), F.col("_p.has_time"), day, profile))
     kept = checked.where(status_keeps(F.col("_status")))
     kept = kept.withColumn("extraction_warning", append_warning("extraction_warning", F.col("_status")))
-    return without_excluded(kept.drop("_p", "_status"), terms)
+    return without_excluded(kept.drop("_status"), terms)
 
 
 def without_reported(df: DataFrame, reported: DataFrame, run_date: Column | None, *, seq: str = "seq") -> DataFrame:

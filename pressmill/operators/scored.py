@@ -34,7 +34,10 @@ def known_history_terms(samples: DataFrame | None, settings: ScoreSettings, keyw
 
 
 def score_parts(df: DataFrame, settings: ScoreSettings, samples: DataFrame | None = None, *, sample_title: str = "title", sample_keywords: str = "keywords") -> DataFrame:
-    """Add tidy text, keyword matches and a ``parts`` struct to each article."""
+    """Add tidy text, keyword matches and one ``part_*`` column per part to each article.
+
+    The parts are plain columns: fields of a struct would be expanded into every use.
+    """
     terms, profile = settings.terms, settings.profile
     out = df
     for c in ("extraction_warning", "source_type", "country_region"):
@@ -56,36 +59,40 @@ def score_parts(df: DataFrame, settings: ScoreSettings, samples: DataFrame | Non
     )
     low = F.col("_low")
     history = known_history_terms(samples, settings, sample_keywords)
-    out = out.withColumn("matches", kw.match_keywords(low, settings.keywords)).withColumn(
-        "_region", sc.region_preference(low, "country_region", terms, profile)
-    )
-    return out.withColumn(
-        "parts",
-        F.struct(
-            kw.keyword_score("matches").alias("relevance"),
-            sc.info_score(F.col("_all")).alias("info"),
-            sc.strategic_score(low, terms).alias("strategy"),
-            sc.novelty_score(low, terms).alias("novelty"),
-            sc.authority_score("source_type", "source_priority").alias("authority"),
-            sc.compilable_score(F.col("_t"), F.col("_x")).alias("compilable"),
-            sc.policy_score(low, "source_type", terms).alias("policy"),
-            F.col("_region.bonus").alias("region_bonus"),
-            F.col("_region.penalty").alias("region_penalty"),
-            F.col("_region.entity").alias("region_entity"),
-            F.col("_region.from_region").alias("from_region"),
-            sc.similarity_bonus(F.col("title_similarity")).alias("similarity_bonus"),
-            kw.history_bonus("matches", history).alias("history_bonus"),
-            sc.negative_penalty(F.col("_all"), low, terms).alias("negative_penalty"),
-            sc.consumer_topic(low, terms).alias("consumer"),
-            sc.excluded_topic(F.col("_t"), F.col("_topic_text"), terms).alias("excluded"),
-        ),
-    )
+    out = out.withColumn("matches", kw.match_keywords(low, settings.keywords))
+    region = sc.region_preference(low, "country_region", terms, profile)
+    parts = {
+        "relevance": kw.keyword_score("matches"),
+        "info": sc.info_score(F.col("_all")),
+        "strategy": sc.strategic_score(low, terms),
+        "novelty": sc.novelty_score(low, terms),
+        "authority": sc.authority_score("source_type", "source_priority"),
+        "compilable": sc.compilable_score(F.col("_t"), F.col("_x")),
+        "policy": sc.policy_score(low, "source_type", terms),
+        "region_bonus": region["bonus"],
+        "region_penalty": region["penalty"],
+        "region_entity": region["entity"],
+        "from_region": region["from_region"],
+        "similarity_bonus": sc.similarity_bonus(F.col("title_similarity")),
+        "history_bonus": kw.history_bonus("matches", history),
+        "negative_penalty": sc.negative_penalty(F.col("_all"), low, terms),
+        "consumer": sc.consumer_topic(low, terms),
+        "excluded": sc.excluded_topic(F.col("_t"), F.col("_topic_text"), terms),
+    }
+    return out.withColumns({f"part_{name}": value for name, value in parts.items()})
+
+
+PARTS = (
+    "relevance", "info", "strategy", "novelty", "authority", "compilable", "policy", "region_bonus",
+    "region_penalty", "region_entity", "from_region", "similarity_bonus", "history_bonus",
+    "negative_penalty", "consumer", "excluded",
+)
 
 
 def score_articles(df: DataFrame, settings: ScoreSettings, samples: DataFrame | None = None, *, keep: tuple[str, ...] = ("seq", "run_date"), sample_title: str = "title", sample_keywords: str = "keywords") -> DataFrame:
     """Candidate rows: score, explanation, matches, suggested classes and carried columns."""
     base = score_parts(df, settings, samples, sample_title=sample_title, sample_keywords=sample_keywords)
-    p = F.col("parts")
+    p = {name: F.col(f"part_{name}") for name in PARTS}
     raw = (
         p["relevance"] + p["info"] + p["strategy"] + p["novelty"] + p["authority"] + p["compilable"]
         + p["policy"] + p["region_bonus"] + p["similarity_bonus"] + p["history_bonus"]

@@ -9,7 +9,7 @@ from pressmill import fixed_values as fv
 from pressmill.config import Profile, RankedSiteRules, ScoreSettings
 from pressmill.functions import html
 from pressmill.functions.dates import (
-    article_time, normalize_local_date_text, page_date, published_date, status_keeps, window_status,
+    normalize_local_date_text, page_date, published_date, status_keeps, text_window_status,
 )
 from pressmill.functions.text import append_warning, clean, cut, extraction_warning, first_text, merge_warnings
 from pressmill.functions.urls import url_host
@@ -121,8 +121,8 @@ def collect_ranked(
     text = html.article_body(F.col("_b"), rules.sentence_pattern, rules.navigation_markers, rules.tail_markers)
     rows = joined.withColumn("raw_text", text).withColumn("logged_in_status", lk.access_state("_b.body", rules))
     rows = rows.where(lk.usable_body("raw_text", "_b.body", rules))
-    rows = rows.withColumn("published_date", normalize_local_date_text("_b.body")).withColumn("_p", article_time("published_date"))
-    rows = rows.withColumn("_status", window_status(F.col("_p.ts"), F.col("_p.has_time"), day, profile))
+    rows = rows.withColumn("published_date", normalize_local_date_text("_b.body"))
+    rows = rows.withColumn("_status", text_window_status("published_date", day, profile))
     rows = rows.where(status_keeps(F.col("_status")))
     articles = rows.select(
         "seq", "url", first_text("_b.h1", "_b.title", "_link_title").alias("title_original"), "published_date",

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pressmill import fixed_values as fv
 from pressmill.config import LinkRules, Profile
 from pressmill.functions import html
-from pressmill.functions.dates import article_time, status_keeps, window_multiplier, window_status
-from pressmill.functions.text import clean, first_text, text_array
+from pressmill.functions.dates import status_keeps, text_window_status, window_multiplier
+from pressmill.functions.text import first_text, let, text_array
 from pressmill.functions.urls import expand_entry_urls, public_url_error, same_host, url_host
 from pressmill.operators import links as lk
 from pressmill.operators.diagnosis import diagnose
@@ -90,9 +90,8 @@ def discover(
     rows = lk.attach_source(rows, active)
     rows = first_per_key(rows, ["source", "url"], ["seq"])
     rows = lk.without_stored(rows, stored, day)
-    timed = rows.withColumn("_p", article_time("published_date"))
-    status = window_status(F.col("_p.ts"), F.col("_p.has_time"), day, profile)
-    rows = timed.where(status_keeps(status) | (status == fv.NO_DATE)).drop("_p")
+    status = text_window_status("published_date", day, profile)
+    rows = rows.where(let(status, lambda s: status_keeps(s) | (s == fv.NO_DATE)))
     rows = top_per_key(rows, ["source"], [F.col("seq")], F.col("scan"), seq="seq")
     rows = lk.first_source_per_url(rows, ["source_no", "seq"])
     rows = rows.withColumn("seq", F.col("source_no").cast("bigint") * _SOURCE_STEP + F.col("seq"))

@@ -5,7 +5,10 @@ from pressmill.queries import base
 
 def load() -> None:
     from pressmill.queries import (  # noqa: F401
+        link_queries,
         report_queries,
+        review_queries,
+        score_queries,
         text_queries,
     )
 
