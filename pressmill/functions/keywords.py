@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmill.config import Keyword
-from pressmill.functions.text import col
+from pressmill.functions.text import col, let, text_array
 
 MATCH_TYPE = "array<struct<category:string,keyword:string,weight:double>>"
 LITERAL_TERMS = 2000
@@ -44,7 +44,7 @@ def match_keywords(lower_text: Column | str, keywords: Sequence[Keyword]) -> Col
         )
         for k in entries
     ])
-    found = F.filter(terms, lambda t: F.contains(text, t["needle"]))
+    found = let(text, lambda v: F.filter(terms, lambda t: F.contains(v, t["needle"])))
     return F.transform(
         found,
         lambda t: F.struct(t["category"].alias("category"), t["keyword"].alias("keyword"), t["weight"].alias("weight")),
@@ -108,7 +108,5 @@ def matched_categories(matches: Column | str) -> Column:
 def history_bonus(matches: Column | str, history_terms: Sequence[str]) -> Column:
     """1.5 for each distinct matched term that history knows, at most 5."""
     terms = F.array_distinct(F.transform(matched_terms(matches), lambda t: F.lower(F.trim(t))))
-    from pressmill.functions.text import text_array
-
     known = F.size(F.array_intersect(terms, text_array(sorted(history_terms))))
     return F.least(F.lit(5.0), known * F.lit(1.5))

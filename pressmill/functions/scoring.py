@@ -15,9 +15,23 @@ from pressmill.functions.text import (
 POLICY_TOPIC_BONUS = 3.0
 
 
-def info_score(text: Column) -> Column:
-    patterns = sum(F.when(text.rlike("(?i)" + p), 1).otherwise(0) for p in fv.INFO_PATTERNS)
-    long_text = F.when(F.length(text) > 800, 1).otherwise(0)
+def _found(lower: Column, pattern: str) -> Column:
+    """Search lower-cased text for a case-blind pattern.
+
+    A pattern that is only a list of words becomes substring search, and one that needs a
+    digit is tried only on text that has one; both are far cheaper than the regex.
+    """
+    words = pattern.lower().split("|")
+    if all(w.isalnum() for w in words):
+        return has_any(lower, words)
+    # letters of classes such as \d are lower case already
+    return lower.rlike(r"\d") & lower.rlike(pattern.lower())
+
+
+def info_score(lower: Column) -> Column:
+    """Specificity of lower-cased text: concrete figures, dates, milestones and units."""
+    patterns = sum(F.when(_found(lower, p), 1).otherwise(0) for p in fv.INFO_PATTERNS)
+    long_text = F.when(F.length(lower) > 800, 1).otherwise(0)
     return F.least(F.lit(25.0), (patterns + long_text) * F.lit(5.0))
 
 

@@ -75,14 +75,12 @@ def hits(lower_text: Column, terms: Iterable[str]) -> Column:
     terms = lowered(terms)
     if not terms:
         return F.lit(0)
-    return F.size(F.filter(text_array(terms), lambda t: F.contains(lower_text, t)))
+    # bound first: otherwise the text would be lower-cased again for every term
+    return let(lower_text, lambda v: F.size(F.filter(text_array(terms), lambda t: F.contains(v, t))))
 
 
 def has_any(lower_text: Column, terms: Iterable[str]) -> Column:
-    terms = lowered(terms)
-    if not terms:
-        return F.lit(False)
-    return F.exists(text_array(terms), lambda t: F.contains(lower_text, t))
+    return has_any_exact(lower_text, lowered(terms))
 
 
 def has_any_exact(text: Column, terms: Iterable[str]) -> Column:
@@ -90,7 +88,7 @@ def has_any_exact(text: Column, terms: Iterable[str]) -> Column:
     terms = list(terms)
     if not terms:
         return F.lit(False)
-    return F.exists(text_array(terms), lambda t: F.contains(text, t))
+    return let(text, lambda v: F.exists(text_array(terms), lambda t: F.contains(v, t)))
 
 
 def keep_tail(value: Column, markers: Iterable[str], min_tail: int = 200) -> Column:

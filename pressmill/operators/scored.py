@@ -63,7 +63,7 @@ def score_parts(df: DataFrame, settings: ScoreSettings, samples: DataFrame | Non
     region = sc.region_preference(low, "country_region", terms, profile)
     parts = {
         "relevance": kw.keyword_score("matches"),
-        "info": sc.info_score(F.col("_all")),
+        "info": sc.info_score(low),
         "strategy": sc.strategic_score(low, terms),
         "novelty": sc.novelty_score(low, terms),
         "authority": sc.authority_score("source_type", "source_priority"),

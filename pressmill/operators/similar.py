@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressmill.functions.text import clean, col
+from pressmill.functions.text import clean, col, let
 from pressmill.operators.keyed import first_per_key, join_on, positions
 
 THRESHOLD = 0.86
@@ -119,9 +119,14 @@ def _grams(title: Column, q: int) -> Column:
     """Numbered grams of a title: the n-th copy of a gram is a token of its own."""
     starts = F.sequence(F.lit(1), F.length(title) - (q - 1))
     pieces = F.array_sort(F.transform(starts, lambda i: F.substring(title, i, q)))
-    return F.transform(
-        pieces, lambda g, i: F.concat(F.lit(f"{q}:"), g, F.lit("#"), (i - F.array_position(pieces, g)).cast("string"))
-    )
+
+    def numbered(all_pieces: Column) -> Column:
+        return F.transform(
+            all_pieces,
+            lambda g, i: F.concat(F.lit(f"{q}:"), g, F.lit("#"), (i - F.array_position(all_pieces, g)).cast("string")),
+        )
+
+    return let(pieces, numbered)
 
 
 def _needed(length: Column, q: int, threshold: float) -> Column:
@@ -284,23 +289,30 @@ def near_duplicates(
     titles are compared.
     """
     keys = list(keys)
-    rows = first_per_key(
-        df, [*keys, F.nullif(col(url), F.lit(""))], [-F.col(score), F.col(seq)], keyless_id=seq
+    # Grouping works on narrow rows; the full rows are written once and joined once.
+    df = cut_lineage(df)
+    size_of = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    official = F.when(F.col(source_type) == "official", 10.0).otherwise(0.0)
+    narrow = df.select(
+        *keys, F.col(seq).alias("_seq"), F.col(score).alias("_score"), clean(title).alias("_title"),
+        F.nullif(col(url), F.lit("")).alias("_url"),
+        F.struct(
+            -(F.col(score) + official), -size_of(text), -size_of(keyword_text)
+        ).alias("_preference"),
     )
-    ranked = positions(rows.withColumn("_title", clean(title)), keys, [(score, True)], seq, "_rank")
-    ranked = cut_lineage(ranked)
+    rows = first_per_key(narrow, [*keys, "_url"], [-F.col("_score"), F.col("_seq")], keyless_id="_seq")
+    ranked = cut_lineage(positions(rows, keys, [("_score", True)], "_seq", "_rank").drop("_url", "_score"))
     titles = ranked.where(F.col("_title") != "").groupBy(*keys, "_title").agg(F.min("_rank").alias("_rank"))
     leads = title_leaders(titles, keys, threshold=threshold, first_block=first_block, pair_budget=pair_budget)
     by_title = titles.join(leads, [*keys, "_rank"]).select(*keys, "_title", "_lead")
     grouped = ranked.join(by_title, [*keys, "_title"], "left").withColumn("_lead", F.coalesce("_lead", "_rank"))
-    official = F.when(F.col(source_type) == "official", 10.0).otherwise(0.0)
-    size_of = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
-    order = F.struct(-(F.col(score) + official), -size_of(text), -size_of(keyword_text), F.col("_rank"))
-    packed = F.struct(*[F.col(c) for c in df.columns if c not in keys])
     best = grouped.groupBy(*keys, "_lead").agg(
-        F.min_by(packed, order).alias("_row"), F.count(F.lit(1)).alias("group_size")
+        F.min_by("_seq", F.struct("_preference", "_rank")).alias("_seq"), F.count(F.lit(1)).alias("group_size")
+    )
+    numbered = positions(best, keys, [], "_lead", "group_no").drop("_lead")
+    label = F.when(F.col("group_size") > 1, F.format_string("D%03d", F.col("group_no"))).otherwise("")
+    kept = join_on(
+        df.drop("duplicate_group"), numbered.withColumnRenamed("_seq", seq), [*keys, seq], "inner"
     )
-    numbered = positions(best, keys, [], "_lead", "_no")
-    label = F.when(F.col("group_size") > 1, F.format_string("D%03d", F.col("_no"))).otherwise("")
-    columns = [F.col(c) if c in keys else F.col(f"_row.`{c}`") for c in df.columns if c != "duplicate_group"]
-    return numbered.select(*columns, label.alias("duplicate_group"), "group_size", F.col("_no").alias("group_no"))
+    columns = [c for c in df.columns if c != "duplicate_group"]
+    return kept.select(*columns, label.alias("duplicate_group"), "group_size", "group_no")

@@ -5,10 +5,14 @@ from pressmill.queries import base
 
 def load() -> None:
     from pressmill.queries import (  # noqa: F401
+        digest_queries,
+        document_queries,
         link_queries,
+        page_queries,
         report_queries,
         review_queries,
         score_queries,
+        table_queries,
         text_queries,
     )
 

@@ -5,6 +5,8 @@ Each view exists twice: as a DataFrame function and as SQL text with the same co
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -205,3 +207,9 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     """Historical samples: benchmark texts; the title is the first 60 characters."""
     b = table(spark, folder, "benchmark")
     return b.select("item_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 200).alias("keywords"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """New folder for a round trip: in the shared checkpoint folder where one is named."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named or tempfile.mkdtemp(prefix='pressmill-')}/io-{uuid.uuid4().hex}"

@@ -228,3 +228,10 @@ def metadata_rows(sheets: DataFrame | None, table: DataFrame | None) -> DataFram
     whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     title = first_text("title_cn", "title_translated_candidate", "title_original")
     return whole.where((clean("url") != "") | (clean(title) != ""))
+
+
+def read_daily_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """Daily digests as this package writes them: one ``date=...`` folder per day."""
+    items = F.from_json("value", f"array<struct<{_inline(schemas.DIGEST)}>>")
+    text = spark.read.text(path).where(F.col("value") != "")
+    return text.select(F.col("date"), F.posexplode(items).alias("pos", "item")).select("date", (F.col("pos") + 1).alias("pos"), "item.*")
