@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressmill.functions.ratio import best_ratios, pair_ratios
 from pressmill.functions.text import clean, col, let
 from pressmill.operators.keyed import first_per_key, join_on, positions
 
 THRESHOLD = 0.86
+LOWEST = 0.85
 FREQUENT_GRAMS = 4096
 SAMPLE_BOUND = 5_000
 TITLES_PER_TASK = 20_000
@@ -32,35 +33,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def title_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Ratio of each pair, argument order kept: the measure is not symmetric."""
-    out, matcher, current = [], SequenceMatcher(None), None
-    for a, b in zip(first, second):
-        if b != current:
-            matcher.set_seq2(b)
-            current = b
-        matcher.set_seq1(a)
-        enough = matcher.real_quick_ratio() >= THRESHOLD and matcher.quick_ratio() >= THRESHOLD
-        out.append(matcher.ratio() if enough else 0.0)
-    return pd.Series(out, dtype="float64")
+    """Ratio of each pair, argument order kept: the measure is not symmetric.
+
+    Pairs that cannot reach the lowest threshold allowed below come back as 0.
+    """
+    return pd.Series(pair_ratios(list(first), list(second), LOWEST))
 
 
 # ---------------------------------------------------------------------------
 # best similarity against accepted samples
 
 
-def _best_ratios(titles: Sequence[str], samples: Sequence[str]) -> list[float]:
-    best = [0.0] * len(titles)
-    matcher = SequenceMatcher(None)
-    for sample in samples:
-        matcher.set_seq2(sample)
-        for i, title in enumerate(titles):
-            total = len(title) + len(sample)
-            if total and 2.0 * min(len(title), len(sample)) / total <= best[i]:
-                continue
-            matcher.set_seq1(title)
-            if matcher.quick_ratio() > best[i]:
-                best[i] = max(best[i], matcher.ratio())
-    return best
+def _tasks(df: DataFrame) -> int:
+    """Partitions for steps that are heavy in time but light in bytes.
+
+    An explicit number keeps adaptive execution from merging them into one task.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def best_similarity(
@@ -83,9 +72,9 @@ def best_similarity(
 
         @F.pandas_udf(T.DoubleType())
         def best(titles: pd.Series) -> pd.Series:
-            return pd.Series(_best_ratios(list(titles), shared.value), dtype="float64")
+            return pd.Series(best_ratios(list(titles), shared.value))
 
-        scored = distinct_titles.withColumn("_best", best("_title"))
+        scored = distinct_titles.repartition(_tasks(df), "_title").withColumn("_best", best("_title"))
     else:
         scored = _sliced_similarity(distinct_titles, known, sample_bound, titles_per_task)
     joined = rows.join(scored, "_title", "left")
@@ -105,7 +94,7 @@ def _sliced_similarity(titles: DataFrame, samples: DataFrame, per_sample: int, p
 
     def compare(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         found = list(t["_title"])
-        return pd.DataFrame({"_title": found, "_best": _best_ratios(found, sorted(s["_sample"], key=len))})
+        return pd.DataFrame({"_title": found, "_best": best_ratios(found, sorted(s["_sample"], key=len))})
 
     pairs = left.groupBy("_t", "_s").cogroup(right.groupBy("_t", "_s"))
     return pairs.applyInPandas(compare, "_title string, _best double").groupBy("_title").agg(F.max("_best").alias("_best"))
@@ -183,7 +172,7 @@ def _similar_pairs(
     pairs = (
         later.join(right, [*keys, "_token"])
         .where((F.col("_lead") < F.col("_rank")) & close)
-        .select(*keys, "_rank", "_lead").distinct()
+        .select(*keys, "_rank", "_lead").distinct().repartition(_tasks(later), *keys, "_rank")
     )
     first = titles.select(*keys, "_rank", F.col("_title").alias("_a"))
     second = titles.select(*keys, F.col("_rank").alias("_lead"), F.col("_title").alias("_b"))
@@ -241,7 +230,7 @@ def title_leaders(
     is compared with its leader and not with itself.  A block that would still be too
     dense is halved.
     """
-    if not 0.85 <= threshold <= 1.0:
+    if not LOWEST <= threshold <= 1.0:
         raise ValueError("the gram filter is exact for thresholds from 0.85 to 1")
     titles = cut_lineage(titles)
     tokens = cut_lineage(_prefix_tokens(titles, keys, threshold))
