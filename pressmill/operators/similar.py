@@ -74,7 +74,7 @@ def best_similarity(
         def best(titles: pd.Series) -> pd.Series:
             return pd.Series(best_ratios(list(titles), shared.value))
 
-        scored = distinct_titles.repartition(_tasks(df), "_title").withColumn("_best", best("_title"))
+        scored = distinct_titles.repartition(_tasks(df), F.xxhash64("_title")).withColumn("_best", best("_title"))
     else:
         scored = _sliced_similarity(distinct_titles, known, sample_bound, titles_per_task)
     joined = rows.join(scored, "_title", "left")

@@ -173,7 +173,9 @@ def linked_pages(spark, d):
     root = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
     items = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit("<li><a href=\"/news/"), (F.col("page_id") + i).cast("string"), F.lit("\">story number "), i.cast("string"), F.lit("</a></li>"))), "")
     listing = p.select("url", F.replace("html", F.lit("<nav>"), F.concat(F.lit("<ul>"), items, F.lit("</ul><nav>"))).alias("html"))
-    targets = p.select(F.concat(root, F.lit("/news/"), (F.col("page_id") + 1).cast("string")).alias("url"), "html")
+    day = F.concat(F.lit("<article>2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit(" 12:30 "))
+    dated = F.replace("html", F.lit("<article>"), day).alias("html")
+    targets = p.select(F.concat(root, F.lit("/news/"), (F.col("page_id") + 1).cast("string")).alias("url"), dated)
     return listing.unionByName(targets)
 
 

@@ -47,7 +47,7 @@ def read_daily_digests(spark: SparkSession, path: str) -> DataFrame:
 
     Files whose name holds no date and files that are not valid JSON give no rows.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     items = F.from_json("value", f"array<struct<{_inline(schemas.DIGEST)}>>")
     return (
         text.select(
@@ -61,7 +61,7 @@ def read_daily_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cumulative(spark: SparkSession, path: str) -> DataFrame:
     """Cumulative digest JSON, as an object with ``date_blocks`` or as a bare list of blocks."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("value", F.trim("value"))
+    text = spark.read.text(path, wholetext=True).withColumn("value", F.trim("value"))
     block = f"struct<date:string,items:array<struct<{_inline(schemas.DIGEST)}>>>"
     whole = F.from_json("value", f"struct<date_blocks:array<{block}>>")["date_blocks"]
     blocks = F.when(F.col("value").startswith("["), F.from_json("value", f"array<{block}>")).otherwise(whole)
