@@ -186,7 +186,7 @@ def hostname(url: Column | str) -> Column:
 def public_url_error(url: Column | str) -> Column:
     """Empty text for a public http(s) URL, else the reason for refusing it.
 
-    Only hosts that look like address literals reach the Python check.
+    Hosts that are no address literals go to the Python check as empty text.
     """
     trimmed = F.trim(F.coalesce(col(url), F.lit("")))
     host = hostname(trimmed)

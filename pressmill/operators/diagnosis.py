@@ -55,10 +55,9 @@ def diagnose(sources: DataFrame, entries: DataFrame, candidates: DataFrame, feed
     text_chars`` of a few fetched candidates.
     """
     unique = distinct_candidates(candidates)
-    per_entry = entries.groupBy("source").agg(
-        F.bool_or("reachable").alias("reachable"),
-        F.slice(F.sort_array(F.collect_list(F.when(F.col("error") != "", F.struct("entry_no", "error")))), 1, 5)["error"].alias("errors"),
-    )
+    per_entry = entries.groupBy("source").agg(F.bool_or("reachable").alias("reachable"))
+    first_errors = top_per_key(entries.where(F.col("error") != ""), ["source"], [F.col("entry_no")], 5, seq="entry_no")
+    errors = first_errors.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("entry_no", "error")))["error"].alias("errors"))
     counts = unique.groupBy("source").agg(F.count(F.lit(1)).alias("candidate_count"))
     examples = top_per_key(unique, ["source"], [F.col("seq")], 8, seq="seq").groupBy("source").agg(
         F.sort_array(F.collect_list(F.struct("seq", "url", "title"))).alias("candidate_examples")
@@ -69,7 +68,7 @@ def diagnose(sources: DataFrame, entries: DataFrame, candidates: DataFrame, feed
         F.count_if((F.coalesce("title", F.lit("")) != "") & (F.col("text_chars") >= MIN_SAMPLE_TEXT)).alias("passed_samples")
     )
     out = sources.select(F.col("name").alias("source"), "source_type", "requires_login")
-    for table in (per_entry, counts, examples, found, passed, suggested_patterns(unique)):
+    for table in (per_entry, errors, counts, examples, found, passed, suggested_patterns(unique)):
         out = out.join(table, "source", "left")
     login = F.col("requires_login") | (F.col("source_type") == "login_browser")
     reachable = F.coalesce("reachable", F.lit(False))
