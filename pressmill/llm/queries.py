@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pressmill.llm.common import table
+from pressmill.llm.repeats import removal_digest
 from pressmill.llm.simhash import simhash_classes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,8 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 @query
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_classes(table(spark, folder, "documents"))
+
+
+@query
+def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return removal_digest(table(spark, folder, "documents"))
