@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pressmill.llm.common import table
 from pressmill.llm.repeats import removal_digest
 from pressmill.llm.simhash import simhash_classes
+from pressmill.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,8 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return removal_digest(table(spark, folder, "documents"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
