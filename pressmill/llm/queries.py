@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pressmill.llm.common import table
+from pressmill.llm.packing import packing_digest
 from pressmill.llm.repeats import removal_digest
 from pressmill.llm.simhash import simhash_classes
 from pressmill.llm.toxicity import toxicity
 
+#: The tokenizer of the packing query, a file of the installed public vocabularies.
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,3 +37,14 @@ def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op8_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_digest(table(spark, folder, "documents"), tokenizer_path())
