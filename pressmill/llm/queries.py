@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pressmill.llm.common import table
+from pressmill.llm.lines import DIGEST_SQL, line_digest
 from pressmill.llm.packing import packing_digest
 from pressmill.llm.repeats import removal_digest
 from pressmill.llm.simhash import simhash_classes
@@ -48,3 +49,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 @query
 def op8_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing_digest(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query
+def op9_template_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_digest(table(spark, folder, "documents"))
+
+
+ORACLES["op9_template_lines"] = DIGEST_SQL
