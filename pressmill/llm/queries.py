@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pressmill.llm.common import table
+from pressmill.llm.html_blocks import extracted
 from pressmill.llm.lines import DIGEST_SQL, line_digest
 from pressmill.llm.packing import packing_digest
 from pressmill.llm.repeats import removal_digest
@@ -57,3 +58,8 @@ def op9_template_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op9_template_lines"] = DIGEST_SQL
+
+
+@query
+def op1_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return extracted(table(spark, folder, "pages"))
