@@ -5,27 +5,24 @@ tokenizer without special tokens added, and then END. The ids are cut into piece
 one, that fill sequences of LENGTH tokens without a gap. Repeated rows and null ids are packed like
 any others. An empty table gives no pieces. Further columns are ignored.
 
-Order. The words of a document are hashed to signed directions; their mean is a vector of few
+Order. Token ids are hashed to signed directions; a document's mean direction is a vector of few
 dimensions, and the place of that vector on a Hilbert curve is the document's key. Documents are
 range-sorted by key and id, so those of one language and kind lie next to each other, and a group of
 copies, which all have one key, is still dealt over several partitions. Each partition is packed
 along the curve on its own; only its last sequence is not full, so padding is below LENGTH tokens
 for about PARTITION tokens.
 
-Work. Pre-tokens never cross a lone space between two visible characters, so a batch is cut there and
-each different piece is tokenized once. Texts with other runs of white space beside a space, and
-texts that hold a special token's string, are tokenized whole. Tokens are stored in the shared
-checkpoint folder before the sort, which else would make them twice (ranges are sampled first).
+Tokens are stored in the shared checkpoint folder before the sort, which else would make them twice
+(ranges are sampled first).
 """
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +36,8 @@ END = 1
 DIMENSIONS, BITS = 4, 15
 #: Tokens that a packing task gets, about.
 PARTITION = 1 << 22
-#: Different words whose tokens a task keeps at once.
-WORDS = 300_000
+#: Bytes of text handled at once.
+BYTES = 1 << 22
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -72,19 +69,24 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def directions(words: list[str]) -> np.ndarray:
-    """A fixed pseudo-random vector from -1 to 1 for each word."""
-    seed = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in words], np.uint64)
-    out = np.empty((len(words), DIMENSIONS))
+def directions(count: int) -> np.ndarray:
+    """A fixed pseudo-random vector from -1 to 1 for each token id."""
+    seed = np.arange(1, count + 1, dtype=np.uint64)
+    out = np.empty((count, DIMENSIONS), np.float32)
     for k in range(DIMENSIONS):
-        x = (seed + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (seed + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
         out[:, k] = (x >> np.uint64(40)).astype(float) / (1 << 23) - 1
     return out
 
 
 class Encoder:
-    """The tokenizer, with the tokens of the different words of a batch made once."""
+    """The tokenizer of a file for the library tokenizers.
+
+    Byte-level BPE whose merges are numbered in order (as here) is run by the faster library tiktoken
+    from the same file; it gives the same ids. Texts with the string of a special token, and any
+    other kind of tokenizer, go to tokenizers itself.
+    """
 
     def __init__(self, path: str):
         import os
@@ -94,93 +96,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, int] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.known, self.count = {}, 1
-        self.flat, self.start, self.length = [np.array([END])], [np.array([0])], [np.array([1])]
-        self.size = 1
-
-    def add(self, ids: list) -> None:
-        """Appends the ids of further entries."""
-        length = np.array([len(x) for x in ids], np.int64)
-        self.flat.append(np.fromiter((y for x in ids for y in x), np.int64, int(length.sum())))
-        self.start.append(self.size + np.cumsum(length) - length)
-        self.length.append(length)
-        self.size += int(length.sum())
-        self.count += len(ids)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(ids, ends, keys)``: tokens of all texts one after the other, where each ends, and curve keys."""
-        if self.count > WORDS:
-            self.reset()
-        texts = pc.fill_null(texts, "")
-        split = pc.split_pattern(texts, " ")
-        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
-        coded = split.flatten().dictionary_encode()
-        words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        counts = np.diff(split.offsets.to_numpy())
-        document = np.repeat(np.arange(len(texts)), counts)
-        ends = np.cumsum(counts)
-        first = np.zeros(len(word), bool)
-        first[(ends - counts)[counts > 0]] = True
-        # a space may be cut at if there are visible characters at both its sides
-        odd_before = np.array([not x or x[-1].isspace() for x in words], bool)
-        odd_after = np.array([not x or x[0].isspace() for x in words], bool)
-        last = np.zeros(len(word), bool)
-        last[ends[counts > 0] - 1] = True
-        odd = odd_before[word] & ~last | odd_after[word] & ~first if len(word) else np.zeros(0, bool)
-        whole = np.bincount(document[odd], minlength=len(texts)) > 0
-        for special in self.special:
-            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
-
-        # entries: a word with the space before it, or, at the beginning of a text, without it
-        by_word = np.full((2, len(words)), -1)
-        missing: list[str] = []
-        plain = ~whole[document]
-        for begins in (0, 1):
-            for k in np.unique(word[plain & (first == bool(begins))]):
-                entry = words[k] if begins else " " + words[k]
-                at = self.known.get(entry)
-                if at is None:
-                    at = self.known[entry] = self.count + len(missing)
-                    missing.append(entry)
-                by_word[begins, k] = at
-        if missing:
-            self.add(self.encode(missing))
-        entry = by_word[first.astype(int), word] if len(word) else np.zeros(0, np.int64)
-        own = np.flatnonzero(whole)
-        base = self.count
-        kept = (len(self.flat), self.size, self.count)
-        if len(own):
-            self.add(self.encode([texts[int(k)].as_py() for k in own]))
-        # the entries of each document in order, then END
-        entry, owner = entry[plain], document[plain]
-        order_owner = np.concatenate([owner, own, np.arange(len(texts))])
-        order_entry = np.concatenate([entry, base + np.arange(len(own)), np.zeros(len(texts), np.int64)])
-        order = np.argsort(order_owner, kind="stable")
-        sequence = order_entry[order]
-        start, length = np.concatenate(self.start), np.concatenate(self.length)
-        flat = np.concatenate(self.flat)
-        sizes = length[sequence]
-        stop = np.cumsum(sizes)
-        ids = flat[np.repeat(start[sequence] - (stop - sizes), sizes) + np.arange(int(sizes.sum()))]
-        token_ends = np.cumsum(np.bincount(order_owner, weights=length[order_entry], minlength=len(texts))).astype(np.int64)
-        if len(own):  # tokens of whole texts are not kept
-            del self.flat[kept[0]:], self.start[kept[0]:], self.length[kept[0]:]
-            self.size, self.count = kept[1], kept[2]
-
-        vector = np.empty((len(texts), DIMENSIONS))
-        toward = directions(words)
-        for k in range(DIMENSIONS):
-            vector[:, k] = np.bincount(document, weights=toward[word, k] if len(word) else None, minlength=len(texts))
-        mean = vector / np.maximum(counts, 1)[:, None]
-        point = np.clip((mean + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
-        return ids, token_ends, hilbert_key(point)
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.fast = self.ranks(json.loads(self.tokenizer.to_str()))
+        self.toward = directions(self.size)
+
+    def ranks(self, told: dict):
+        """The vocabulary as byte strings by rank, if merge order is id order."""
+        before, model = told.get("pre_tokenizer") or {}, told["model"]
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if told.get("normalizer") or not plain or model.get("type") != "BPE":
+            return None
+        import tiktoken
+
+        # bytes that are no visible characters of Latin-1 are written as characters from 256 on
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in visible]
+        to_byte = {chr(x): x for x in visible} | {chr(256 + k): x for k, x in enumerate(hidden)}
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+            return None
+        ranks = {bytes(to_byte[x] for x in token): no for token, no in model["vocab"].items() if token not in self.special}
+        if len(ranks) != 256 + len(merges):
+            return None
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # byte-level pre-tokenizer
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        """The text's ids and END."""
+        if self.fast is None or any(x in text for x in self.special):
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            found = self.fast.encode_ordinary(text)
+        found.append(END)
+        return np.array(found, self.dtype)
+
+    def point(self, ids: np.ndarray) -> np.ndarray:
+        """The document's place in few dimensions: the mean direction of its tokens, as whole numbers."""
+        total = np.zeros(DIMENSIONS)
+        for start in range(0, len(ids), 1 << 16):
+            total += self.toward[ids[start : start + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        return np.clip((total / len(ids) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -190,15 +146,17 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         import zstandard
 
         encoder, squeeze = Encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress
+        width = bytes([encoder.dtype.itemsize])
         for whole in batches:
-            for batch in slices(whole, 1):
-                ids, ends, keys = encoder.batch(batch.column(1))
-                data = ids.astype("<u4" if ids.max(initial=0) >= 1 << 16 else "<u2")
-                width = b"\4" if data.itemsize == 4 else b"\2"
-                begin = np.concatenate([[0], ends[:-1]])
-                packed = [width + squeeze(data[a:b].tobytes()) for a, b in zip(begin, ends, strict=True)]
+            for batch in slices(whole, 1, BYTES):
+                points, tokens, packed = [], [], []
+                for text in batch.column(1):
+                    ids = encoder.ids(text.as_py() or "")
+                    points.append(encoder.point(ids))
+                    tokens.append(len(ids))
+                    packed.append(width + squeeze(ids.tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys), pa.array(ends - begin), pa.array(packed, pa.binary())],
+                    [batch.column(0), pa.array(hilbert_key(np.array(points))), pa.array(tokens, pa.int64()), pa.array(packed, pa.binary())],
                     names=["doc_id", "key", "tokens", "ids"],
                 )
 
