@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pressmill.llm.common import table
 from pressmill.llm.html_blocks import extracted
 from pressmill.llm.lines import DIGEST_SQL, line_digest
+from pressmill.llm.mtree import largest_products, quantised
+from pressmill.llm.multi_index import nearest
 from pressmill.llm.packing import packing_digest
 from pressmill.llm.repeats import removal_digest
 from pressmill.llm.simhash import simhash_classes
 from pressmill.llm.toxicity import toxicity
+from pressmill.llm.vectors import valid
 
 #: The tokenizer of the packing query, a file of the installed public vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,3 +66,31 @@ ORACLES["op9_template_lines"] = DIGEST_SQL
 @query
 def op1_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return extracted(table(spark, folder, "pages"))
+
+
+@query
+def op2_mtree(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = quantised(valid(table(spark, folder, "embeddings")))
+    return largest_products(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+ORACLES["op2_mtree"] = """
+    with v as (
+        select vec_id, list_transform(embedding, x -> floor(cast(x as double) * 256)) as v
+        from embeddings
+        where vec_id is not null and len(embedding) > 0
+          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    ),
+    scored as (
+        select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+        from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0
+    )
+    select query_id, cast(rank as integer) as rank, vec_id, score
+    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+    where rank <= 5"""
+
+
+@query
+def op6_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = valid(table(spark, folder, "embeddings"), nonzero=True)
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
