@@ -11,14 +11,16 @@ from pressmill.llm.html_blocks import extracted
 from pressmill.llm.lines import DIGEST_SQL, line_digest
 from pressmill.llm.mtree import largest_products, quantised
 from pressmill.llm.multi_index import nearest
+from pressmill.llm.nbest import n_best_digest
 from pressmill.llm.packing import packing_digest
 from pressmill.llm.repeats import removal_digest
 from pressmill.llm.simhash import simhash_classes
 from pressmill.llm.toxicity import toxicity
 from pressmill.llm.vectors import valid
 
-#: The tokenizer of the packing query, a file of the installed public vocabularies.
+#: Files of the installed public vocabularies: for packing, and for N-best encoding.
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +96,8 @@ ORACLES["op2_mtree"] = """
 def op6_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     vectors = valid(table(spark, folder, "embeddings"), nonzero=True)
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op3_n_best(spark: SparkSession, folder: str) -> DataFrame:
+    return n_best_digest(table(spark, folder, "documents"), tokenizer_path(PIECES))
