@@ -44,37 +44,37 @@ def wide_hash(prefix: str, *columns: Column) -> list[Column]:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, shape1, shape2, leaf1, leaf2, tokens)`` of all lines with tokens."""
+    """``(doc_id, line_no, tokens, lead, shape1, shape2)`` of all lines with tokens; a leaf is (tokens, lead)."""
     lines = docs.where("doc_id is not null and text is not null").select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
     )
     shaped = lines.select("doc_id", "line_no", token_line(F.col("line")).alias("shape")).where("shape != ''")
     count = F.octet_length("shape") - F.octet_length(F.replace("shape", F.lit(" "), F.lit(""))) + 1
     return shaped.select(
-        "doc_id", "line_no", count.cast("int").alias("tokens"), *wide_hash("shape", F.col("shape")),
-        *wide_hash("leaf", count.cast("int"), F.substring_index("shape", " ", LEAD)),
+        "doc_id", "line_no", count.cast("int").alias("tokens"), F.xxhash64(F.substring_index("shape", " ", LEAD)).alias("lead"),
+        *wide_hash("shape", F.col("shape")),
     )
 
 
-def shared_leaves(lines: DataFrame) -> DataFrame:
-    """Leaves with several different lines that enough documents hold; only these can have a shared template."""
-    leaf = ["leaf1", "leaf2"]
-    wide = lines.where(F.col("tokens") > LEAD)
-    shapes = wide.select(*leaf, "shape1", "shape2").distinct().groupBy(*leaf).agg(F.count("*").alias("shapes"))
-    holders = wide.select(*leaf, "doc_id").distinct().groupBy(*leaf).agg(F.count("*").alias("holders"))
-    return (
-        shapes.where("shapes > 1").join(holders.where(F.col("holders") >= MIN_DOCS), leaf)
-        .select(F.col("leaf1").alias("l1"), F.col("leaf2").alias("l2"), "shapes")
+def of_common_leaves(lines: DataFrame) -> DataFrame:
+    """The lines of leaves that MIN_DOCS documents hold; no template of another leaf can recur."""
+    common = cut(
+        lines.select("tokens", "lead", "doc_id").distinct().groupBy("tokens", "lead").count()
+        .where(F.col("count") >= MIN_DOCS).select(F.col("tokens").alias("n"), F.col("lead").alias("l"))
     )
+    return lines.join(common, (F.col("tokens") == F.col("n")) & (F.col("lead") == F.col("l")), "left_semi")
 
 
 def templates(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """``(s1, s2, t1, t2, template)``: for the lines that take their leaf's template its hash and text."""
-    leaves = cut(shared_leaves(lines))
+    wide = lines.where(F.col("tokens") > LEAD)
+    leaves = cut(
+        wide.select("tokens", "lead", "shape1", "shape2").distinct().groupBy(F.col("tokens").alias("l1"), F.col("lead").alias("l2"))
+        .agg(F.count("*").alias("shapes")).where("shapes > 1")
+    )
     # one place of each different line, grouped by document to read it there
     places = (
-        lines.where(F.col("tokens") > LEAD)
-        .join(leaves, (F.col("leaf1") == F.col("l1")) & (F.col("leaf2") == F.col("l2")))
+        wide.join(leaves, (F.col("tokens") == F.col("l1")) & (F.col("lead") == F.col("l2")))
         .groupBy("shape1", "shape2", "l1", "l2", "shapes").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
         .groupBy(F.col("at.doc_id").alias("p_id"))
         .agg(F.collect_list(F.struct("at.line_no", "shape1", "shape2", "l1", "l2", "shapes")).alias("places"))
@@ -113,7 +113,7 @@ def templates(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """``(d_id, dropped)``: the numbers of the lines to drop from each document that has any."""
-    lines = cut(hashed_lines(docs))
+    lines = cut(of_common_leaves(cut(hashed_lines(docs))))
     merged = cut(templates(lines, docs))
     named = lines.join(merged, (F.col("shape1") == F.col("s1")) & (F.col("shape2") == F.col("s2")), "left").select(
         "doc_id", "line_no", F.coalesce("t1", "shape1").alias("t1"), F.coalesce("t2", "shape2").alias("t2")
