@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pressmill.llm.common import table
 from pressmill.llm.html_blocks import extracted
@@ -15,6 +16,7 @@ from pressmill.llm.nbest import n_best_digest
 from pressmill.llm.packing import packing_digest
 from pressmill.llm.repeats import removal_digest
 from pressmill.llm.simhash import simhash_classes
+from pressmill.llm.tool_calls import LINKED_SQL, SCHEMAS, linked, read_turns
 from pressmill.llm.toxicity import toxicity
 from pressmill.llm.vectors import valid
 
@@ -78,10 +80,10 @@ def op2_mtree(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op2_mtree"] = """
     with v as (
-        select vec_id, list_transform(embedding, x -> floor(cast(x as double) * 256)) as v
+        select vec_id, [floor(cast(x as double) * 256) for x in embedding] as v
         from embeddings
         where vec_id is not null and len(embedding) > 0
-          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+          and len([x for x in embedding if x is null or not isfinite(x)]) = 0
     ),
     scored as (
         select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
@@ -101,3 +103,12 @@ def op6_multi_index(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_n_best(spark: SparkSession, folder: str) -> DataFrame:
     return n_best_digest(table(spark, folder, "documents"), tokenizer_path(PIECES))
+
+
+@query
+def op5_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = read_turns(table(spark, folder, "conversations"))
+    return linked(calls, results, SCHEMAS).withColumn("errors", F.array_join("errors", "; "))
+
+
+ORACLES["op5_tool_calls"] = LINKED_SQL

@@ -41,7 +41,7 @@ from pressmill.llm.suffix_array import kasai, suffix_array, words_at
 LENGTH = 400
 GRAM = 64
 #: Bytes of documents hashed at once; a longer document is hashed in such pieces.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Bytes of contexts in a suffix array, and the different contexts of one gram that one may hold.
 SHARD = 1 << 20
 SPLIT = 1000
@@ -346,14 +346,15 @@ def merged_shards(windows: DataFrame) -> DataFrame:
 def repeated_spans(named: DataFrame) -> DataFrame:
     """``(__did, __th, spans)`` of the texts with repeated bytes; spans are pairs of first and end byte, unmerged."""
     everything = cut(contexts(named))
-    grams = everything.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("of"))
+    # stored, so that both sides of the join are plain exchanges and Spark can split a hot gram
+    grams = cut(everything.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("of")))
     common = cut(everything.join(grams, F.col("gram") == F.col("of"), "left_semi"))
     del everything
     folded = common.groupBy("gram", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("__did", "__th", "at")).alias("one")
     )
     folded = cut(folded)
-    several = folded.groupBy(F.col("gram").alias("of")).agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = cut(folded.groupBy(F.col("gram").alias("of")).agg(F.count("*").alias("contexts")).where("contexts > 1"))
     wanted = (
         folded.join(several, F.col("gram") == F.col("of"))
         .withColumn("salts", F.ceil(F.col("contexts") / SPLIT))
