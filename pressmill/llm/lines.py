@@ -112,7 +112,7 @@ def templates(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """``(d_id, dropped)``: the numbers of the lines to drop from each document that has any."""
+    """``(__d_id, __gone)``: the numbers of the lines to drop from each document that has any."""
     lines = cut(of_common_leaves(cut(hashed_lines(docs))))
     merged = cut(templates(lines, docs))
     named = lines.join(merged, (F.col("shape1") == F.col("s1")) & (F.col("shape2") == F.col("s2")), "left").select(
@@ -126,7 +126,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     )
     return (
         named.join(recurring, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")))
-        .where("doc_id != first_id").groupBy(F.col("doc_id").alias("d_id")).agg(F.collect_set("line_no").alias("dropped"))
+        .where("doc_id != first_id").groupBy(F.col("doc_id").alias("__d_id")).agg(F.collect_set("line_no").alias("__gone"))
     )
 
 
@@ -134,12 +134,12 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs with the remaining text, and ``__lines``, ``__dropped``."""
     found = recurring_lines(docs)
     split = F.split("text", "\n", -1)
-    left = F.filter(split, lambda line, at: ~F.array_contains("dropped", at))
-    joined = docs.join(found, docs["doc_id"] == F.col("d_id"), "left")
+    left = F.filter(split, lambda line, at: ~F.array_contains("__gone", at))
+    joined = docs.join(found, docs["doc_id"] == F.col("__d_id"), "left")
     counted = joined.withColumns({
         "__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)),
-        "__rest": F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
-        "__dropped": F.when(F.col("dropped").isNull() | F.col("text").isNull(), 0).otherwise(F.size(split) - F.size(left)),
+        "__rest": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
+        "__dropped": F.when(F.col("__gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(split) - F.size(left)),
     })
     return counted.withColumn("text", F.col("__rest")).select(*docs.columns, "__lines", "__dropped")
 

@@ -191,8 +191,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that repeat an id count as copies of one document: one of them stays (the smallest text).
     Rows without an id stay as they are.
     """
-    keep = simhash_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(keep, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    keep = simhash_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
+    kept = docs.join(keep, docs["doc_id"] == F.col("__kept_id"), "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text")  # shares the exchange of the join
-    one = kept.withColumn("row_of_id", F.row_number().over(order)).where("row_of_id = 1").drop("row_of_id")
+    one = kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
     return one.unionByName(docs.where("doc_id is null"))
