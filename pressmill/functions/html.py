@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressmill import fixed_values as fv
+from pressmill.functions.selectors import firsts, matches, select
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
+# fixed value: blocks that never count as text of an article
 _DROPPED = frozenset(("script", "style", "noscript", "svg", "form", "nav", "header", "footer", "aside"))
 _BLANK = re.compile(r"\s+")
 
@@ -87,10 +89,18 @@ class _Tree(HTMLParser):
             self.here.items.append(data)
 
 
+#: Declarations in square brackets that are no CDATA end at the next sign, as in a browser.
+_BRACKETS = re.compile(r"<!\[(?!CDATA\[)[^>]*>?")
+
+
 def parse(html: str) -> Node:
+    """The tree of a page; markup the parser gives up on ends the tree there, never the job."""
     tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    try:
+        tree.feed(_BRACKETS.sub("", html or ""))
+        tree.close()
+    except (AssertionError, ValueError):
+        pass
     return tree.root
 
 
@@ -98,82 +108,39 @@ def _tidy(value) -> str:
     return _BLANK.sub(" ", value or "").strip()
 
 
-_STEP = re.compile(r"([\w*-]+)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([*^$]?)=['\"]?([^'\"\]]*)['\"]?)?\]")
-
-
-def _steps(selector: str):
-    """Descendant steps of a selector: tag, .class, #id, [attr], [attr=v], [attr*=v]."""
-    steps = []
-    for word in re.findall(r"(?:\[[^\]]*\]|\S)+", selector):
-        tests = []
-        for tag, cls, ident, attr, op, value in _STEP.findall(word):
-            if tag and tag != "*":
-                tests.append(lambda n, t=tag.lower(): n.tag == t)
-            elif cls:
-                tests.append(lambda n, c=cls: c in n.attrs.get("class", "").split())
-            elif ident:
-                tests.append(lambda n, i=ident: n.attrs.get("id") == i)
-            elif attr:
-                tests.append(lambda n, a=attr, o=op, v=value: a in n.attrs and _attr_ok(n.attrs[a], o, v))
-        steps.append(tests)
-    return steps
-
-
-def _attr_ok(actual: str, op: str, wanted: str) -> bool:
-    if not wanted and not op:
-        return True
-    return {"": actual == wanted, "*": wanted in actual, "^": actual.startswith(wanted), "$": actual.endswith(wanted)}[op]
-
-
-def select(root: Node, selector: str, skip=frozenset()):
-    steps = _steps(selector)
-    if not steps:
-        return
-    *outer, last = steps
-    for node in root.walk(skip):
-        if not all(test(node) for test in last):
-            continue
-        up, need = node.parent, list(outer)
-        while need and up is not None:
-            if all(test(up) for test in need[-1]) and up.tag:
-                need.pop()
-            up = up.parent
-        if not need:
-            yield node
+def _absolute(base: str | None, link: str) -> str:
+    try:
+        return urljoin(base or "", link)
+    except ValueError:
+        return link
+
+
+_TITLES = ("title", "h1", "meta[property='og:title']", "meta[name='twitter:title']")
 
 
 def _title_values(root: Node) -> list[str]:
-    values = []
-    title = next(select(root, "title"), None)
-    if title is not None:
-        values.append(title.text())
-    for selector in ("h1", "meta[property='og:title']", "meta[name='twitter:title']"):
-        node = next(select(root, selector), None)
-        if node is not None:
-            values.append(node.attrs.get("content", "") if node.tag == "meta" else node.text())
-    return values
+    found = [x for x in firsts(root, _TITLES) if x is not None]
+    return [x.attrs.get("content", "") if x.tag == "meta" else x.text() for x in found]
 
 
 def _main_text(root: Node) -> str:
+    nodes = list(root.walk(_DROPPED))
     best = None
     for selector in fv.CONTENT_SELECTORS:
-        for node in select(root, selector, _DROPPED):
-            text = node.text(_DROPPED)
-            if best is None or len(text) > len(best):
-                best = text
+        for node in nodes:
+            if matches(node, selector):
+                text = node.text(_DROPPED)
+                if best is None or len(text) > len(best):
+                    best = text
     if best is None:
-        body = next(select(root, "body", _DROPPED), root)
+        body = next((x for x in nodes if x.tag == "body"), root)
         best = body.text(_DROPPED)
     return best
 
 
 def _date_values(root: Node) -> list[str]:
-    values = []
-    for selector in fv.DATE_SELECTORS:
-        node = next(select(root, selector, _DROPPED), None)
-        if node is not None:
-            values.append(node.attrs.get("content") or node.attrs.get("datetime") or node.text())
-    return values
+    found = [x for x in firsts(root, fv.DATE_SELECTORS, _DROPPED) if x is not None]
+    return [x.attrs.get("content") or x.attrs.get("datetime") or x.text() for x in found]
 
 
 def _json_ld_values(root: Node) -> list[str]:
@@ -213,18 +180,33 @@ def article_parts(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "text", "dates", "json_ld"])
 
 
-def _anchor_title(anchor: Node) -> str:
+def _opening(node: Node, size: int) -> str:
+    """The first characters of the node's text; reads no further than they reach."""
+    parts, length = [], -1
+    for piece in node.pieces(_HIDDEN):
+        parts.append(_tidy(piece))
+        length += len(parts[-1]) + 1
+        if length >= size:
+            break
+    return " ".join(parts)[:size]
+
+
+def _title_near(node: Node, known: dict[int, str]) -> str:
+    """First heading below a node, else the beginning of its text; found once for each node."""
+    if id(node) not in known:
+        headings = (_tidy(x.text()) for x in firsts(node, fv.HEADING_SELECTORS) if x is not None)
+        heading = next((x for x in headings if x), "")
+        known[id(node)] = heading or _opening(node, 140)
+    return known[id(node)]
+
+
+def _anchor_title(anchor: Node, known: dict[int, str]) -> str:
     title = _tidy(anchor.text() or anchor.attrs.get("title", ""))
     up = anchor.parent
     for _ in range(4):
         if title or up is None:
             break
-        for selector in fv.HEADING_SELECTORS:
-            node = next(select(up, selector), None)
-            title = _tidy(node.text()) if node is not None else ""
-            if title:
-                return title
-        title = _tidy(up.text())[:140]
+        title = _title_near(up, known)
         up = up.parent
     return title
 
@@ -239,19 +221,15 @@ def page_links(html: pd.Series, base: pd.Series, selectors: pd.Series) -> pd.Ser
     """Anchors of each page, once each, in selector order; links resolved against the base."""
     out = []
     for page, url, wanted in zip(html, base, selectors):
-        root, seen, links = parse(page), set(), []
+        root, seen, links, known = parse(page), set(), [], {}
         for rank, selector in enumerate(wanted if wanted is not None and len(wanted) else fv.LINK_SELECTORS):
             for anchor in select(root, selector):
                 if id(anchor) in seen:
                     continue
                 seen.add(id(anchor))
                 href = anchor.attrs.get("href", "")
-                try:
-                    full = urljoin(url or "", href)
-                except ValueError:
-                    full = href
                 links.append({
-                    "pos": len(links), "href": href, "url": full, "title": _anchor_title(anchor),
+                    "pos": len(links), "href": href, "url": _absolute(url, href), "title": _anchor_title(anchor, known),
                     "own_text": _tidy(anchor.text()), "selector_rank": rank,
                 })
         out.append(links)
@@ -267,7 +245,7 @@ def page_feeds(html: pd.Series, base: pd.Series) -> pd.Series:
         for node in select(parse(page), "link[href]"):
             kind = node.attrs.get("type", "").lower()
             if "alternate" in node.attrs.get("rel", "").split() and any(k in kind for k in ("rss", "atom", "xml")):
-                found.append(urljoin(url or "", node.attrs["href"]))
+                found.append(_absolute(url, node.attrs["href"]))
         out.append(found)
     return pd.Series(out)
 
@@ -281,11 +259,10 @@ def body_parts(html: pd.Series) -> pd.DataFrame:
     rows = []
     for page in html:
         root = parse(page)
-        firsts = (next(select(root, s), None) for s in fv.BODY_SELECTORS)
-        blocks = [_tidy(n.text()) for n in firsts if n is not None]
+        *first, body, h1, title = firsts(root, (*fv.BODY_SELECTORS, "body", "h1", "title"))
+        blocks = [_tidy(n.text()) for n in first if n is not None]
         paragraphs = [_tidy(n.text()) for n in select(root, "p")]
-        body = next(select(root, "body"), root)
-        h1, title = next(select(root, "h1"), None), next(select(root, "title"), None)
+        body = root if body is None else body
         rows.append((
             blocks, paragraphs, _tidy(body.text()),
             _tidy(h1.text()) if h1 is not None else "", _tidy(title.text()) if title is not None else "",
