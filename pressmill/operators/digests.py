@@ -13,7 +13,7 @@ from pressmill import fixed_values as fv
 from pressmill.config import Profile
 from pressmill.functions import text as tx
 from pressmill.functions.text import clean, col, first_text
-from pressmill.operators.similar import cut_lineage
+from pressmill.operators.lineage import cut_lineage
 
 MIN_SELECTED = 450
 MIN_USABLE = 80

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from pressmill.functions.ratio import best_ratios, pair_ratios
 from pressmill.functions.text import clean, col, let
 from pressmill.operators.keyed import first_per_key, join_on, positions
+from pressmill.operators.lineage import cut_lineage
 
 THRESHOLD = 0.86
 LOWEST = 0.85
@@ -22,15 +22,6 @@ SAMPLE_BOUND = 5_000
 TITLES_PER_TASK = 20_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a private one if it names none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pressmill-"))
-    return df.checkpoint(eager=True)
-
-
 @F.pandas_udf(T.DoubleType())
 def title_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
     """Ratio of each pair, argument order kept: the measure is not symmetric.

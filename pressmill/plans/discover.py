@@ -10,10 +10,11 @@ from pressmill.config import LinkRules, Profile
 from pressmill.functions import html
 from pressmill.functions.dates import status_keeps, text_window_status, window_multiplier
 from pressmill.functions.text import first_text, let, text_array
-from pressmill.functions.urls import expand_entry_urls, public_url_error, same_host, url_host
+from pressmill.functions.urls import expand_entry_urls, is_feed_url, public_url_error, same_host, url_host
 from pressmill.operators import links as lk
 from pressmill.operators.diagnosis import diagnose
 from pressmill.operators.keyed import first_per_key, top_per_key
+from pressmill.operators.lineage import cut_lineage
 from pressmill.sources.readers import feed_articles, feed_items
 
 # source, entry page and place on the page as one number
@@ -92,14 +93,47 @@ def discover(
     rows = lk.without_stored(rows, stored, day)
     status = text_window_status("published_date", day, profile)
     rows = rows.where(let(status, lambda s: status_keeps(s) | (s == fv.NO_DATE)))
-    rows = top_per_key(rows, ["source"], [F.col("seq")], F.col("scan"), seq="seq")
-    rows = lk.first_source_per_url(rows, ["source_no", "seq"])
+    rows = settled(rows, active, previous, stored, day)
     rows = rows.withColumn("seq", F.col("source_no").cast("bigint") * _SOURCE_STEP + F.col("seq"))
-    if previous is not None:
-        rows = lk.keep_previous(rows, previous, stored, day)
     return rows.drop("scan", "entry_no", "pos", "include_url_patterns", "exclude_url_patterns")
 
 
+def settled(rows: DataFrame, active: DataFrame, previous: DataFrame | None, stored: DataFrame, day: Column) -> DataFrame:
+    """What each source keeps when the sources take their turns in registry order.
+
+    A source takes its first ``scan`` links that no earlier source has kept; a source left without
+    links takes its previous ones that nobody before it keeps. Starting from every source on its
+    own, all turns are taken anew against the last outcome until it stays the same: what the first
+    sources keep is right at once and what source n keeps at most n rounds later, in practice after
+    two or three. The rounds carry keys only.
+    """
+    rows = rows.withColumn("carried_over", F.lit(False))
+    if previous is not None:
+        old = previous.where((F.coalesce(F.col("source"), F.lit("")) != "") & (F.coalesce(F.col("url"), F.lit("")) != "") & ~is_feed_url("url"))
+        old = lk.without_stored(first_per_key(old, ["source", "url"], ["seq"]), stored, day)
+        numbers = active.select(F.col("name").alias("source"), "source_no")
+        old = old.drop("source_no").join(numbers, "source").withColumns(
+            {"carried_over": F.lit(True), "seq": F.pmod(F.col("seq").cast("bigint"), F.lit(_SOURCE_STEP))}
+        )
+        rows = rows.unionByName(old, allowMissingColumns=True)
+    key = ["source", "url", "carried_over"]
+    rows = cut_lineage(rows)
+    narrow = rows.select(*key, "source_no", "seq", "scan")
+    kept, before = narrow.limit(0), None
+    while True:
+        owners = kept.groupBy(F.col("url").alias("_url")).agg(F.min("source_no").alias("_owner"))
+        free = narrow.join(owners, F.col("url") == F.col("_url"), "left").where(
+            F.col("_owner").isNull() | (F.col("_owner") >= F.col("source_no"))
+        ).select(narrow.columns)
+        found = top_per_key(free.where(~F.col("carried_over")), ["source"], [F.col("seq")], F.col("scan"), seq="seq")
+        silent = free.where("carried_over").join(found.select("source").distinct(), "source", "left_anti")
+        kept = cut_lineage(found.unionByName(silent))
+        now = kept.agg(F.count("*"), F.sum(F.xxhash64(*key).cast("decimal(38,0)"))).first()
+        if now == before:
+            return rows.join(kept.select(*key), key, "left_semi")
+        before = now
+
+
 def legacy_fetch(
     pages: DataFrame, feeds: DataFrame | None, manual: DataFrame | None, sources: DataFrame, *, limit: int = 20,
     rules: LinkRules = LinkRules(),

@@ -5,7 +5,6 @@ Each view exists twice: as a DataFrame function and as SQL text with the same co
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.config import Keyword, Profile, ScoreSettings, TermLists, TitleRules
+from pressmill.operators.lineage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,6 +210,5 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """New folder for a round trip: in the shared checkpoint folder where one is named."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='pressmill-')}/io-{uuid.uuid4().hex}"
+    """New folder for a round trip below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"

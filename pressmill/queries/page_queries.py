@@ -153,6 +153,31 @@ def c1(spark, d):
     return got.select("source", "url", "title_original")
 
 
+#: Sources of the next query, and the links each may scan.
+_TURNS, _CAP = 7, 30
+_TAKEN = ", ".join(
+    f"k{k} AS (SELECT id FROM (SELECT page_id AS id FROM pages WHERE page_id % {_TURNS} <= {k} ORDER BY page_id LIMIT {4 * _CAP}) "
+    + ("WHERE " + " AND ".join(f"id NOT IN (SELECT id FROM k{j})" for j in range(k)) if k else "") + f" ORDER BY id LIMIT {_CAP})"
+    for k in range(_TURNS)
+)
+
+
+@query("c1_discover_shared", f"WITH {_TAKEN} " + " UNION ALL ".join(f"SELECT 's{k}' AS source, 'https://news.example.com/th/' || id AS url FROM k{k}" for k in range(_TURNS)))
+def c1_shared(spark, d):
+    """Sources that list each other's links: those of earlier sources do not count towards the cap."""
+    site, pages = "https://news.example.com", _pages(spark, d)
+    turn = F.explode(F.array(*[F.lit(k) for k in range(_TURNS)]))
+    items = pages.select("page_id", turn.alias("k")).where(F.col("page_id") % _TURNS <= F.col("k")).groupBy("k").agg(F.sort_array(F.collect_list("page_id")).alias("ids"))
+    link = lambda x: F.concat(F.lit('<li><a href="/th/'), x.cast("string"), F.lit('">story number '), x.cast("string"), F.lit("</a></li>"))
+    listings = items.select(F.concat(F.lit(f"{site}/list/"), F.col("k").cast("string")).alias("url"), F.concat(F.lit("<body><ul>"), F.array_join(F.transform("ids", link), ""), F.lit("</ul></body>")).alias("html"))
+    sources = sources_from_pages(pages).orderBy("name").limit(1).withColumn("_k", turn).withColumns({
+        "name": F.concat(F.lit("s"), F.col("_k").cast("string")), "source_no": F.col("_k"), "base_url": F.lit(f"{site}/"), "section_url": F.lit(""),
+        "discovery_urls": F.array(F.concat(F.lit(f"{site}/list/"), F.col("_k").cast("string"))), "max_articles_per_run": F.lit(_CAP // 3),
+    }).drop("_k")
+    stored = pages.where("false").select("url", F.lit("2024-01-03").cast("date").alias("run_date"))
+    return pd_.discover(listings, None, sources, stored, None, "2024-01-09", Profile(), RULES).select("source", "url")
+
+
 @query("c14_diagnose", f"WITH {_ENTRY}, n AS (SELECT host, count(DISTINCT u) AS n FROM rel GROUP BY host) SELECT ent.host AS source, CASE WHEN coalesce(n, 0) > 0 THEN 'warning' ELSE 'needs_rules' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS candidate_count FROM ent LEFT JOIN n USING (host)")
 def c14(spark, d):
     got = pd_.diagnose_sources(site_sources(spark, d), _pages(spark, d), RULES)
