@@ -150,22 +150,24 @@ def block_title(date: Column | str, template: str = fv.DIGEST_TITLE_TEMPLATE) ->
     return F.concat(F.lit(before), F.date_format(col(date).cast("date"), "yyyyMMdd"), F.lit(after))
 
 
-def render_blocks(items: DataFrame, *, date: str = "date", index: str = "order_index", template: str = fv.DIGEST_TITLE_TEMPLATE, blank_lines: int = 2) -> DataFrame:
-    """Digest text as paragraphs ``date, order_index, part, text``.
+def render_blocks(items: DataFrame, *, date: str = "date", block: str | None = None, index: str = "order_index", template: str = fv.DIGEST_TITLE_TEMPLATE, blank_lines: int = 2) -> DataFrame:
+    """Digest text as paragraphs ``date, [block,] order_index, part, text``.
 
     Sorted by those columns it reads: block title, then number and title, summary and URL
-    of each item; blank lines (order 0, parts below 0) stand between blocks.
+    of each item; blank lines (order 0, parts below 0) stand between blocks. A day is one
+    block, or several told apart by the ``block`` column.
     """
+    keys = [date] if block is None else [date, block]
     lines = F.array(
         F.concat(F.col(index).cast("string"), F.lit("."), F.coalesce("title_cn", F.lit(""))),
         F.coalesce("summary_cn", F.lit("")), F.trim(F.coalesce("url", F.lit(""))),
     )
-    body = items.select(date, F.col(index).cast("bigint").alias("order_index"), F.posexplode(lines).alias("part", "text"))
-    days = items.select(date).distinct()
-    first_day = items.agg(F.min(date)).scalar()
-    head = days.select(date, F.lit(0).cast("bigint").alias("order_index"), F.lit(0).alias("part"), block_title(date, template).alias("text"))
-    gaps = days.where(F.col(date) > first_day).select(
-        date, F.lit(0).cast("bigint").alias("order_index"),
+    body = items.select(*keys, F.col(index).cast("bigint").alias("order_index"), F.posexplode(lines).alias("part", "text"))
+    blocks = items.select(*keys).distinct()
+    first = items.agg(F.min(F.struct(*keys))).scalar()
+    head = blocks.select(*keys, F.lit(0).cast("bigint").alias("order_index"), F.lit(0).alias("part"), block_title(date, template).alias("text"))
+    gaps = blocks.where(F.struct(*keys) > first).select(
+        *keys, F.lit(0).cast("bigint").alias("order_index"),
         F.explode(F.sequence(F.lit(-blank_lines), F.lit(-1))).alias("part"), F.lit("").alias("text"),
     )
     return gaps.unionByName(head).unionByName(body)

@@ -30,5 +30,5 @@ def digests(
 def merge_cumulative(cumulative: DataFrame, day_items: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
     """Cumulative items with one day replaced, and the document text of all blocks."""
     merged = an.merge_day(cumulative, day_items, day)
-    numbered = merged.withColumn("order_index", F.col("pos"))
-    return merged, render_blocks(numbered).orderBy("date", "order_index", "part")
+    numbered = positions(merged, ["date", "block_seq"], [], "pos", "order_index")
+    return merged, render_blocks(numbered, block="block_seq").orderBy("date", "block_seq", "order_index", "part")

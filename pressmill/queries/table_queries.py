@@ -194,10 +194,15 @@ def s24(spark, d):
     return writers.ranked_output(rows, empty_warning="nothing collected", home="https://example.com/", source="Example").select("title_original", "url", "raw_text_preview", "logged_in_status")
 
 
-@query("c10_merge_cumulative", f"""WITH {REC}, i AS (SELECT seq, date, url, title FROM rec WHERE date <> DATE '2024-01-05' UNION ALL SELECT seq, DATE '2024-01-05', url, title FROM rec WHERE date = DATE '2024-01-20'),
-k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY date, seq) AS rn FROM i) SELECT CAST(date AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS lines FROM (SELECT date FROM k, range(3) WHERE rn = 1 UNION ALL SELECT DISTINCT date FROM k WHERE rn = 1 UNION ALL SELECT date FROM (SELECT DISTINCT date FROM k WHERE rn = 1), range(2) WHERE date > DATE '2024-01-01') GROUP BY date""")
+@query("c10_merge_cumulative", f"""WITH {REC}, i AS (SELECT seq, date, 0 AS blk, url, title FROM rec WHERE date <> DATE '2024-01-05' UNION ALL SELECT seq, DATE '2024-01-05', 1073741824, url, title FROM rec WHERE date = DATE '2024-01-20'),
+k AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY url ORDER BY date, seq) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY date, blk ORDER BY seq) AS no FROM k),
+b AS (SELECT DISTINCT date, blk FROM k),
+t AS (SELECT date, blk, no, 0 AS part, no || '.' || title AS text FROM n UNION ALL SELECT date, blk, no, 1, 's' FROM n UNION ALL SELECT date, blk, no, 2, trim(url) FROM n
+UNION ALL SELECT date, blk, 0, 0, '每日科技要闻报送摘要' || strftime(date, '%Y%m%d') || '：' FROM b UNION ALL SELECT date, blk, 0, range - 2, '' FROM b, range(2) WHERE (date, blk) > (SELECT min((date, blk)) FROM b))
+SELECT CAST(date AS VARCHAR) AS date, CAST(blk AS BIGINT) AS block_seq, CAST(no AS BIGINT) AS order_index, CAST(part AS INTEGER) AS part, text FROM t""")
 def c10(spark, d):
     r = records(spark, d).select("date", F.lit(0).cast("bigint").alias("block_seq"), F.col("seq").alias("pos"), "url", F.col("title").alias("title_cn"), F.lit("s").alias("summary_cn"))
     day = r.where(F.col("date") == F.lit("2024-01-20").cast("date"))
     _, text = merge_cumulative(r, day, "2024-01-05")
-    return text.groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("lines"))
+    return text.select(F.col("date").cast("string").alias("date"), F.col("block_seq").cast("bigint").alias("block_seq"), "order_index", "part", "text")
