@@ -63,8 +63,8 @@ def top_per_key(
     """First ``limit`` rows of each key in the given order.
 
     A constant limit is planned by Spark as a group limit on the map side.  A limit that
-    differs by key is first applied to ``SALTS`` slices of each key, which leaves at most
-    ``SALTS * limit`` rows of it for the final ranking.
+    differs by key is first applied to slices of each key (``SALTS``, or as many as there are
+    shuffle partitions if those are more), which leaves a slice times the limit for the final ranking.
     """
     whole = Window.partitionBy(*keys).orderBy(*order)
     if isinstance(limit, int):
@@ -72,7 +72,7 @@ def top_per_key(
     slices = Window.partitionBy(*keys, "_salt").orderBy(*order)
     return (
         df.withColumn("_limit", limit)
-        .withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(SALTS)))
+        .withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
         .withColumn("_rn", F.row_number().over(slices))
         .where(F.col("_rn") <= F.col("_limit"))
         .withColumn("_rn", F.row_number().over(whole))

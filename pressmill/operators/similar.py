@@ -17,7 +17,6 @@ from pressmill.operators.lineage import cut_lineage
 
 THRESHOLD = 0.86
 LOWEST = 0.85
-FREQUENT_GRAMS = 4096
 SAMPLE_BOUND = 5_000
 TITLES_PER_TASK = 20_000
 
@@ -137,13 +136,11 @@ def _prefix_tokens(titles: DataFrame, keys: Sequence[str], threshold: float) ->
             )
         )
     tokens = parts[0].unionByName(parts[1])
-    # Any total order of tokens is exact; putting frequent ones last makes it selective.
-    frequent = (
-        tokens.groupBy("_token").agg(F.count(F.lit(1)).alias("_freq"))
-        .orderBy(F.desc("_freq"), "_token").limit(FREQUENT_GRAMS)
-    )
-    ranked = tokens.join(F.broadcast(frequent), "_token", "left").withColumn(
-        "_order", F.struct(F.coalesce("_freq", F.lit(0)).alias("f"), F.col("_token").alias("t"))
+    # Any total order of tokens is exact; putting frequent ones last makes it selective. The
+    # counts are stored, so that the join has plain exchanges and a hot token can be split.
+    counts = cut_lineage(tokens.groupBy("_token").agg(F.count(F.lit(1)).alias("_freq")))
+    ranked = tokens.join(counts, "_token").withColumn(
+        "_order", F.struct(F.col("_freq").alias("f"), F.col("_token").alias("t"))
     )
     return (
         ranked.groupBy(*keys, "_rank", "_len", "_q", "_take")
