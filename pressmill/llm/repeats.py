@@ -344,7 +344,7 @@ def merged_shards(windows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(named: DataFrame) -> DataFrame:
-    """``(__did, __th, spans)`` of the texts with repeated bytes; spans are pairs of first and end byte, unmerged."""
+    """``(__did, __th, __spans)`` of the texts with repeated bytes; spans are pairs of first and end byte, unmerged."""
     everything = cut(contexts(named))
     # stored, so that both sides of the join are plain exchanges and Spark can split a hot gram
     grams = cut(everything.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("of")))
@@ -377,7 +377,7 @@ def repeated_spans(named: DataFrame) -> DataFrame:
     return (
         common.join(spans, (F.col("gram") == F.col("f_gram")) & (F.col("content") == F.col("f_content")))
         .select("__did", "__th", F.struct((start + F.col("first")).alias("first"), (start + F.col("end")).alias("end")).alias("span"))
-        .groupBy(F.col("__did").alias("s_did"), F.col("__th").alias("s_th")).agg(F.collect_set("span").alias("spans"))
+        .groupBy(F.col("__did").alias("__s_did"), F.col("__th").alias("__s_th")).agg(F.collect_set("span").alias("__spans"))
     )
 
 
@@ -403,14 +403,14 @@ def with_kept(docs: DataFrame) -> DataFrame:
     named = with_keys(docs)
     found = repeated_spans(named)
     others = [x for x in docs.columns if x != "text"]
-    joined = named.join(found, (F.col("__did") == F.col("s_did")) & (F.col("__th") == F.col("s_th")), "left").select(
-        *others, "text", "spans"
+    joined = named.join(found, (F.col("__did") == F.col("__s_did")) & (F.col("__th") == F.col("__s_th")), "left").select(
+        *others, "text", "__spans"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, removed, runs = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("__spans"), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 parts = kept_parts(data, spans.as_py()) if spans.is_valid else (data, 0, 0)
                 for column, value in zip((kept, total, removed, runs), (parts[0], len(data), *parts[1:]), strict=True):
