@@ -39,6 +39,8 @@ TIES = 64
 CACHE = 250_000
 #: Words of so many characters at most are segmented many at once.
 MANY = 32
+#: Bits of a hash in the table of likely pieces.
+LIKELY = 19
 #: Bytes of token ids in a batch of results.
 BYTES = 1 << 23
 #: Bytes of text of which the new words are segmented together.
@@ -93,6 +95,9 @@ class Pieces:
         order = np.argsort(hashes)
         self.hashes = np.concatenate([hashes[order], [np.iinfo(np.uint64).max]])
         self.hash_score = np.array([self.piece[texts[k]][0] for k in order] + [0], np.int64)
+        # most substrings are no pieces: their hash's first bits already say so
+        self.likely = np.zeros(1 << LIKELY, bool)
+        self.likely[(hashes >> np.uint64(64 - LIKELY)).astype(np.int64)] = True
         self.hash_id = np.array([self.piece[texts[k]][1][0] for k in order] + [-1], np.int64)
         self.longest: dict[str, int] = {}
         for text in self.piece:
@@ -168,7 +173,9 @@ class Pieces:
         for start in range(size):
             for end in range(start + 1, min(size, start + self.most) + 1):
                 value = begun[:, end] - begun[:, start] * power[end - start]
-                at = np.searchsorted(self.hashes, value)
+                able = np.flatnonzero(self.likely[(value >> np.uint64(64 - LIKELY)).astype(np.int64)])
+                at = np.full(count, len(self.hashes) - 1)
+                at[able] = np.searchsorted(self.hashes, value[able])
                 hit = self.hashes[at] == value
                 if end == start + 1:
                     score[start, end] = np.where(hit, self.hash_score[at], self.unknown)
@@ -296,13 +303,18 @@ class Encoder:
             for low in range(0, len(ordered), 4096):
                 part = ordered[low : low + 4096]
                 score, ids, extra, spelled = self.pieces.best_of_many(part)
-                for k in np.flatnonzero(spelled):
-                    own = [y for x in ids[k].tolist() if x != -1 for y in ([x] if x >= 0 else self.pieces.spell(chr(-2 - x)))]
-                    self.add([part[k]], score[k : k + 1], extra[k : k + 1], np.array(own), np.array([len(own)]))
+                odd = np.flatnonzero(spelled)
+                if len(odd):
+                    own = [
+                        [y for x in row if x != -1 for y in ((x,) if x >= 0 else self.pieces.spell(chr(-2 - x)))] for row in ids[odd].tolist()
+                    ]
+                    self.add(
+                        [part[k] for k in odd], score[odd], extra[odd], np.array([y for row in own for y in row]), np.array([len(row) for row in own])
+                    )
                 whole = ~spelled
                 ids = ids[whole]
                 self.add(
-                    [w for w, odd in zip(part, spelled, strict=True) if not odd], score[whole], extra[whole], ids[ids >= 0], (ids >= 0).sum(axis=1)
+                    [w for w, other in zip(part, spelled.tolist(), strict=True) if not other], score[whole], extra[whole], ids[ids >= 0], (ids >= 0).sum(axis=1)
                 )
 
     def others(self, k: int) -> list[tuple[int, tuple[int, ...]]]:
