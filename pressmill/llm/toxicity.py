@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressmill.llm.common import cut, give_back
+
 EXAMPLES = 8000
 VOCABULARY = 4000
 NEIGHBOURS = 12
@@ -39,6 +41,8 @@ BLOCK = 64
 #: Least chi-square, and least ratio of the shares of toxic and clean examples with a term, to be informative.
 GAIN, RATE = 40.0, 8.0
 THRESHOLD = 0.7
+#: Bytes of text scored at once, and different terms that a task counts before it passes them on.
+BYTES, TERMS = 1 << 22, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -60,7 +64,7 @@ def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return document, coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes of text, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     piece = np.cumsum(lengths, dtype=np.int64) // most
@@ -207,14 +211,21 @@ def term_table(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            terms = sorted(counts[0].keys() | counts[1].keys())
+            out = [pa.array(terms, pa.string()), *(pa.array([counts[k][x] for x in terms], pa.int64()) for k in (1, 0))]
+            counts[0].clear()
+            counts[1].clear()
+            return pa.RecordBatch.from_arrays(out, names=["term", "toxic", "clean"])
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic > 0].update(set(terms_of((text or "").lower())))
-        terms = sorted(set(counts[0]) | set(counts[1]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([counts[1][x] for x in terms], pa.int64()), pa.array([counts[0][x] for x in terms], pa.int64())],
-            names=["term", "toxic", "clean"],
-        )
+                if len(counts[0]) + len(counts[1]) > TERMS:
+                    yield told()
+        yield told()
+        give_back()
 
     return (
         sample.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long")
@@ -223,8 +234,6 @@ def term_table(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    from pressmill.llm.common import cut
-
     sample = cut(labelled(docs, labels))
     size = {x["toxic"]: x["count"] for x in sample.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     toxic, clean = size.get(True, 0), size.get(False, 0)
@@ -266,7 +275,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         model = known.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for whole in batches:
-            for batch in slices(whole, whole.schema.get_field_index("text")):
+            for batch in slices(whole, whole.schema.get_field_index("text"), BYTES):
                 document, word, words = word_counts(batch.column("text"))
                 # numbers of the informative terms of each different word
                 own = {k: t for k, x in enumerate(words) if (t := [model.number[y] for y in terms_of(x) if y in model.number])}
@@ -288,6 +297,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     [*batch.columns, pa.array(score), pa.array(evidence, kind)],
                     names=[*batch.schema.names, "__score", "__evidence"],
                 )
+        give_back()
 
     neighbour = T.StructType().add("doc_id", "long").add("cosine", "double").add("toxic", "integer")
     schema = T.StructType(list(docs.schema)).add("__score", "double").add("__evidence", T.ArrayType(neighbour))
