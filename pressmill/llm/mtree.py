@@ -35,7 +35,7 @@ from pressmill.llm.vectors import best, folded, matrix
 
 K = 5
 #: Vectors of a tree, entries of a page, queries of a block.
-SHARD, PAGE, BLOCK = 4096, 32, 512
+SHARD, PAGE, BLOCK = 4096, 128, 512
 
 
 class MTree:
@@ -47,9 +47,12 @@ class MTree:
         squares = (points.astype(np.float64) ** 2).sum(axis=1)
         self.top = float(squares.max())
         self.lift = np.sqrt(np.maximum(self.top - squares, 0))
-        #: (entries, distance to the parent's router, covering radius, page below); the last two None in a leaf
+        # sums of products are whole numbers below 2**53, which doubles hold exactly
+        self.exact = points.astype(np.float64)
+        #: (entries, their vectors, distance to the parent's router, covering radius, page below); the last two None in a leaf
         self.pages: list[tuple] = []
         self.root, _ = self.build(np.arange(len(points)), int(squares.argmax()))
+        del self.exact  # the pages hold it
 
     def between(self, one: int, others: np.ndarray) -> np.ndarray:
         gap = (self.points[others] - self.points[one]).astype(np.float64)
@@ -59,7 +62,7 @@ class MTree:
         """Bulk load: members go to the nearest of PAGE spread-out routers, again and again. Returns page and radius."""
         reach = self.between(router, members)
         if len(members) <= PAGE:
-            self.pages.append((members, reach, None, None))
+            self.pages.append((members, self.exact[members], reach, None, None))
             return len(self.pages) - 1, float(reach.max(initial=0))
         chosen = [int(members[reach.argmax()])]
         nearest = self.between(chosen[0], members)
@@ -79,12 +82,13 @@ class MTree:
             below.append(page)
             radius.append(r)
         entries = np.array(chosen)
-        self.pages.append((entries, self.between(router, entries), np.array(radius), below))
+        self.pages.append((entries, self.exact[entries], self.between(router, entries), np.array(radius), below))
         return len(self.pages) - 1, float(reach.max())
 
     def search(self, q: np.ndarray, own: int, ids: list[np.ndarray], k: int) -> tuple[list[tuple[int, int]], int]:
         """The best ``(-product, id)`` in order, and the number of distances computed."""
-        base = float((q.astype(np.float64) ** 2).sum()) + self.top
+        q = q.astype(np.float64)
+        base = float(q @ q) + self.top
         room = 1e-6 * (1 + np.sqrt(base))
         found: list[tuple[int, int]] = []  # the best so far, worst first: (product, -id)
         limit, count = np.inf, 0
@@ -93,20 +97,22 @@ class MTree:
             least, page, near = heapq.heappop(heap)
             if least > limit + room:
                 break
-            entries, to_parent, radius, below = self.pages[page]
-            if near == near:
-                able = np.abs(near - to_parent) - (0 if radius is None else radius) <= limit + room
-                if not able.any():
-                    continue
+            entries, vectors, to_parent, radius, below = self.pages[page]
+            if near == near and limit < np.inf:
+                able = np.abs(near - to_parent) <= (limit + room if radius is None else radius + (limit + room))
                 at = np.flatnonzero(able)
+                if not len(at):
+                    continue
+                if len(at) < len(entries):
+                    entries, vectors = entries[at], vectors[at]
             else:
                 at = np.arange(len(entries))
-            product = self.points[entries[at]] @ q
+            product = vectors @ q
             count += len(at)
             distance = np.sqrt(np.maximum(base - 2.0 * product, 0))
             if radius is None:
                 for place in np.flatnonzero(distance <= limit + room):
-                    for one in ids[entries[at[place]]]:
+                    for one in ids[entries[place]]:
                         if one != own:
                             item = (int(product[place]), -int(one))
                             if len(found) < k:
