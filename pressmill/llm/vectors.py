@@ -22,12 +22,13 @@ def folded(rows: DataFrame, column: str, ids: int) -> DataFrame:
 
     A search for the best k takes the smallest ids among equal vectors, and k + 1 of them are enough
     when a query leaves itself out; so nothing is lost, and a vector that a third of all rows share
-    is one entry. The rank limit runs before the shuffle, so the hot vector is not gathered.
+    is one entry. Rows that repeat an id and vector are one row before the limit counts them, so they
+    take one place. The rank limit runs before its shuffle, so the hot vector is not gathered.
     """
     order = Window.partitionBy(column).orderBy("vec_id")
     return (
-        rows.select(column, "vec_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= ids)
-        .groupBy(column).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+        rows.select(column, "vec_id").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= ids)
+        .groupBy(column).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     )
 
 

@@ -421,6 +421,15 @@ def test_multi_index_reranks_exactly(spark):
     assert multi_index.nearest(whole.where("false"), whole.where("false")).count() == 0
 
 
+def test_a_repeated_id_leaves_room_for_others(spark):
+    rows = [(5, [1.0, 2.0])] * 12 + [(7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [0.5, 1.0])]
+    whole = valid(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    asked = whole.where("vec_id = 9")
+    ids = lambda found: [r.vec_id for r in found.orderBy("rank").collect()]
+    assert ids(mtree.largest_products(mtree.quantised(whole), mtree.quantised(asked))) == [5, 7, 8]
+    assert ids(multi_index.nearest(whole, asked)) == [5, 7, 8]
+
+
 def test_cells_come_by_rising_distance():
     rng = np.random.default_rng(2)
     books = rng.normal(size=(9, 3)), rng.normal(size=(7, 3))
