@@ -22,6 +22,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: LONGEST is the length of a window in training; longer pages are several windows.
 SAMPLE, LAYOUTS, LONGEST = 200, 3, 96
 PATH, WORDS, HIDDEN, EPOCHS = 192, 32, 16, 14
 SEED = 5
@@ -54,15 +56,19 @@ def attribute_tokens(text: str) -> list[str]:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             out.append("~hidden")
         elif name not in ("style", "aria-hidden"):
-            out += ["." + x for x in NAME_WORD.findall(value)[:8]]
+            out += ["." + x for x in NAME_WORD.findall(value)]
     return out
 
 
 def blocks_of(page: str) -> list[tuple[frozenset, str, float]]:
-    """``(path tokens, text, share of link characters)`` of each block with text, in page order."""
+    """``(path tokens, text, share of link characters)`` of each block with text, in page order.
+
+    A path leaves out a token only if the teacher does not read it and another one has set its bucket, so
+    vectors and labels are those of all tokens and a path holds PATH and the TELLING ones at most.
+    """
     out: list[tuple[frozenset, str, float]] = []
     root: frozenset = frozenset()
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[tuple[str, frozenset, int]] = []  # the number has a bit for each bucket of the path
     depth: dict[str, int] = {}
     parts: list[str] = []
     linked, where, at = 0, root, 0
@@ -135,11 +141,16 @@ def blocks_of(page: str) -> list[tuple[frozenset, str, float]]:
             continue
         if name in CLOSED_BY_NEXT and stack and stack[-1][0] == name:
             pop(name)
-        path = stack[-1][1] if stack else root
+        _, path, bits = stack[-1] if stack else ("", root, 0)
         tokens = [name, *(attribute_tokens(found[3]) if found[3] and "=" in found[3] or "hidden" in (found[3] or "") else [])]
-        if len(path) < 64 and not path.issuperset(tokens):
-            path = path.union(tokens)
-        stack.append((name, path))
+        new = []
+        for token in tokens:
+            if token not in path:
+                bit = 1 << path_bucket(token)
+                if not bits & bit or token in TELLING:
+                    bits |= bit
+                    new.append(token)
+        stack.append((name, path.union(new) if new else path, bits))
         depth[name] = depth.get(name, 0) + 1
     close()
     return out
@@ -149,6 +160,11 @@ def bucket(token: str, size: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) * 2654435761 % (1 << 32) * size >> 32
 
 
+@lru_cache(20_000)
+def path_bucket(token: str) -> int:
+    return bucket(token, PATH)
+
+
 class Features:
     """Vectors of blocks; hashes of path tokens are kept."""
 
@@ -161,7 +177,7 @@ class Features:
             self.rows.clear()
         for k, (path, _, _) in enumerate(blocks):
             if path not in self.rows:
-                self.rows[path] = sorted({bucket(t, PATH) for t in path})
+                self.rows[path] = sorted({path_bucket(t) for t in path})
             x[k, self.rows[path]] = 1
         texts = pa.array([b[1] for b in blocks], pa.large_string())
         split = pc.split_pattern(texts, " ")
@@ -252,7 +268,7 @@ class Labeller:
         """Adam over batches of pages of like length."""
         rng = np.random.default_rng(SEED)
         pages = sorted((p for p in pages if len(p[0])), key=lambda p: len(p[0]))
-        batches = [padded(pages[k : k + 24]) for k in range(0, len(pages), 24)]
+        batches = [pages[k : k + 24] for k in range(0, len(pages), 24)]
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step = 0
@@ -260,7 +276,7 @@ class Labeller:
             rate = 0.02 if epoch < EPOCHS // 2 else 0.005
             for k in rng.permutation(len(batches)):
                 step += 1
-                for name, g in self.gradients(*batches[k]).items():
+                for name, g in self.gradients(*padded(batches[k])).items():
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.99 * second[name] + 0.01 * g**2
                     move = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)
@@ -300,6 +316,8 @@ ASIDE = frozenset(
 )
 EDGE = frozenset("header .header .masthead .topbar".split())
 INSIDE = frozenset("article main .article .articlebody .main .content .post .entry .story".split())
+RUNNING = frozenset("p h1 h2 h3".split())
+TELLING = ASIDE | EDGE | INSIDE | RUNNING
 
 
 def told_by_tags(blocks: list[tuple[frozenset, str, float]]) -> np.ndarray:
@@ -311,7 +329,7 @@ def told_by_tags(blocks: list[tuple[frozenset, str, float]]) -> np.ndarray:
         if path & ASIDE or path & EDGE and not inside:
             out.append(False)
         else:
-            out.append(inside if framed else links < 0.5 and (len(text) >= 25 or bool(path & {"p", "h1", "h2", "h3"})))
+            out.append(inside if framed else links < 0.5 and (len(text) >= 25 or bool(path & RUNNING)))
     return np.array(out, float)
 
 
@@ -361,15 +379,21 @@ def invented(texts: list[str], rng: np.random.Generator) -> tuple[list[tuple[fro
     return out, np.array(label)
 
 
+def windows(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A page in even pieces of LONGEST blocks at most."""
+    n = -(-len(x) // LONGEST)
+    return list(zip(np.array_split(x, n), np.array_split(y, n), strict=True))
+
+
 def trained(pages: list[str]) -> Labeller:
     rng, features = np.random.default_rng(SEED), Features()
-    parsed = [blocks_of(x)[:LONGEST] for x in pages]
-    examples = [(features.of(b), told_by_tags(b)) for b in parsed if b]
+    parsed = [b for b in map(blocks_of, pages) if b]
+    examples = [w for b in parsed for w in windows(features.of(b), told_by_tags(b))]
     texts = [b[1] for page in parsed for b in page] or ["text"]
-    for _ in range(LAYOUTS * max(20, len(examples))):
+    for _ in range(LAYOUTS * max(20, len(parsed))):
         blocks, label = invented(texts, rng)
         if blocks:
-            examples.append((features.of(blocks[:LONGEST]), label[:LONGEST]))
+            examples += windows(features.of(blocks), label)
     model = Labeller()
     model.fit(examples)
     return model

@@ -320,6 +320,26 @@ def test_blocks_of_odd_markup():
     assert read(deep) == ["text"]
 
 
+def test_paths_and_training_see_whole_pages(monkeypatch):
+    name = lambda k: "q" + chr(97 + k % 26) + chr(97 + k // 26 % 26) + chr(97 + k // 676)
+    deep = "".join(f"<div class='{' '.join(name(10 * j + k) for k in range(10))}'>" for j in range(30))
+    page = f"{deep}<p>inside</p><nav>menu</nav><section class='a b c d e f g h sidebar'>side</section>"
+    blocks = {text: path for path, text, _ in html_blocks.blocks_of(page)}
+    assert "nav" in blocks["menu"] and ".sidebar" in blocks["side"]
+    everything = {"div", "section", *("." + name(k) for k in range(300)), *("." + x for x in "a b c d e f g h sidebar".split())}
+    given = html_blocks.Features().of([(blocks["side"], "side", 0.0), (frozenset(everything), "side", 0.0)])
+    assert (given[0] == given[1]).all()  # the vector of all tokens
+    nested = "".join(f"<div class={name(k)}>" for k in range(15000)) + "text"
+    (path, _, _), = html_blocks.blocks_of(nested)
+    assert len(path) <= html_blocks.PATH + len(html_blocks.TELLING)
+    seen = []
+    monkeypatch.setattr(html_blocks.Labeller, "fit", lambda self, examples: seen.extend(examples))
+    html_blocks.trained(["<article>" + "<p>some words of it</p>" * 250 + "</article><footer>" + "<p>end</p>" * 7 + "</footer>"])
+    real = seen[: -html_blocks.LAYOUTS * 20]
+    assert max(len(x) for x, _ in real) <= html_blocks.LONGEST
+    assert np.concatenate([y for _, y in real]).tolist() == [1.0] * 250 + [0.0] * 7
+
+
 def test_extraction_of_other_layouts(spark):
     schema = "page_id long, url string, html string, text string"
     article = "<h1>Title of it</h1><p>First long paragraph with many words in it.</p><p>Second &eacute; paragraph, also with words.</p>"
