@@ -175,8 +175,12 @@ def legacy_fetch(
     return articles.withColumn("source_domain", url_host("url")).withColumn("raw_text_preview", F.trim(F.substring("raw_text", 1, 500)))
 
 
-def diagnose_sources(sources: DataFrame, pages: DataFrame, rules: LinkRules = LinkRules(), *, sample_size: int = 2, max_entries: int = 4) -> DataFrame:
-    """Diagnosis of each source from the crawled copies of its entry pages and candidates."""
+def diagnose_sources(sources: DataFrame, pages: DataFrame, rules: LinkRules = LinkRules(), *, sample_size: int = 2, max_entries: int = 4, feeds: DataFrame | None = None) -> DataFrame:
+    """Diagnosis of each source from the crawled copies of its entry pages and candidates.
+
+    ``feeds``: ``url, xml`` of entries answered with XML. They and all entries of rss sources, also
+    those whose copy is among the pages, are read as feeds, the others as HTML.
+    """
     given = F.when(F.size("discovery_urls") > 0, F.col("discovery_urls")).otherwise(F.array(first_text("section_url", "base_url")))
     entries = sources.select(
         F.col("name").alias("source"), "source_type", "base_url", "link_selectors", "include_url_patterns",
@@ -184,24 +188,36 @@ def diagnose_sources(sources: DataFrame, pages: DataFrame, rules: LinkRules = Li
     ).withColumn("refused", public_url_error("entry_url"))
     content = pages.select(F.col("url").alias("entry_url"), "html")
     joined = entries.join(content, "entry_url", "left")
+    answered = F.when(F.col("source_type") == "rss", F.col("html"))
+    if feeds is not None:
+        joined = joined.join(feeds.select(F.col("url").alias("entry_url"), "xml"), "entry_url", "left")
+        answered = F.coalesce("xml", answered)
+    joined = joined.withColumn("xml", answered)
+    crawled = F.col("html").isNotNull() | F.col("xml").isNotNull()
     checked = joined.select(
         "source", "entry_no",
-        ((F.col("refused") == "") & F.col("html").isNotNull()).alias("reachable"),
+        ((F.col("refused") == "") & crawled).alias("reachable"),
         F.when(F.col("refused") != "", F.concat_ws(": ", "entry_url", "refused"))
-        .when(F.col("html").isNull(), F.concat(F.col("entry_url"), F.lit(": not crawled"))).otherwise("").alias("error"),
+        .when(~crawled, F.concat(F.col("entry_url"), F.lit(": not crawled"))).otherwise("").alias("error"),
     )
-    open_pages = joined.where((F.col("refused") == "") & F.col("html").isNotNull())
+    open_entries = joined.where((F.col("refused") == "") & crawled)
+    open_pages = open_entries.where("xml is null")
     keep = ("source", "entry_no", "include_url_patterns", "exclude_url_patterns")
     rows = page_link_rows(open_pages, url="entry_url", selectors="link_selectors", keep=keep)
     rows = rows.where(same_host("url", first_text("base_url", "page_url"), empty_host_ok=False))
-    rows = rows.where(lk.link_relevance("url", "title", "source", "include_url_patterns", "exclude_url_patterns", rules))
-    rows = rows.withColumn("seq", F.col("entry_no").cast("bigint") * _ENTRY_STEP + F.col("pos"))
+    relevant = lk.link_relevance("url", "title", "source", "include_url_patterns", "exclude_url_patterns", rules)
+    rows = rows.where(relevant)
+    seq = (F.col("entry_no").cast("bigint") * _ENTRY_STEP + F.col("pos")).alias("seq")
+    rows = rows.withColumn("seq", seq)
     rows = top_per_key(rows, ["source", "entry_no"], [F.col("seq")], 60, seq="seq")
-    candidates = rows.select("source", "url", "title", "seq")
-    feeds = open_pages.select(
+    items = feed_items(open_entries.where("xml is not null").select(*keep, F.col("entry_url").alias("url"), "xml"), 50)
+    items = items.select(*keep, F.col("link").alias("url"), "title", seq).where(relevant)
+    columns = ("source", "url", "title", "seq")
+    candidates = rows.select(*columns).unionByName(items.select(*columns))
+    detected = open_pages.select(
         "source", "entry_no", F.posexplode(html.page_feeds("html", "entry_url")).alias("pos", "feed_url")
     ).select("source", "feed_url", (F.col("entry_no").cast("bigint") * _ENTRY_STEP + F.col("pos")).alias("seq"))
     first = top_per_key(first_per_key(candidates, ["source", "url"], ["seq"]), ["source"], [F.col("seq")], sample_size, seq="seq")
     sampled = first.join(pages.select(F.col("url").alias("_u"), "html"), F.col("url") == F.col("_u")).withColumn("_a", html.article_parts("html"))
     samples = sampled.select("source", F.col("_a.title").alias("title"), F.length("_a.text").alias("text_chars"))
-    return diagnose(sources, checked, candidates, feeds, samples)
+    return diagnose(sources, checked, candidates, detected, samples)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.functions import html
 from pressmill.functions.selectors import select
 from pressmill.plans.digests import merge_cumulative
-from pressmill.plans.discover import settled
+from pressmill.plans.discover import diagnose_sources, settled
 
 
 def texts(page, selector):
@@ -69,3 +69,19 @@ def test_blocks_of_a_day_are_numbered_from_one(spark):
     _, text = merge_cumulative(old, new, "2024-01-03")
     lines = [r.text for r in text.collect() if r.part == 0 and r.order_index > 0]
     assert lines == ["1.t1", "1.t2", "1.t3"]
+
+
+def test_diagnosis_reads_feeds(spark):
+    rss = "<?xml version='1.0'?><rss><channel>" + "".join(f"<item><title>story {k}</title><link>https://other.org/a/{k}</link></item>" for k in (1, 2, 2)) + "<item><title>off</title><link>https://other.org/b/1</link></item></channel></rss>"
+    atom = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>story</title><link href='https://e.com/a/9'/></entry></feed>"
+    listing = "<main><a href='/a/7'>story seven</a></main>"
+    entries = {"given": "rss", "among": "rss", "xml": "html", "site": "html", "broken": "rss", "absent": "rss"}
+    rows = [(n, kind, "", "", False, [], ["/a/"], [], [f"https://e.com/{n}"]) for n, kind in entries.items()]
+    sources = spark.createDataFrame(rows, "name string, source_type string, base_url string, section_url string, requires_login boolean, link_selectors array<string>, include_url_patterns array<string>, exclude_url_patterns array<string>, discovery_urls array<string>")
+    story = "<html><head><title>Story</title></head><body><article><p>" + "word and word " * 60 + "</p></article></body></html>"
+    pages = spark.createDataFrame([("https://e.com/among", rss), ("https://e.com/site", listing), ("https://other.org/a/1", story)], "url string, html string")
+    feeds = spark.createDataFrame([("https://e.com/given", rss), ("https://e.com/xml", atom), ("https://e.com/broken", "<rss><broken")], "url string, xml string")
+    got = {r.source: (r.status, r.candidate_count) for r in diagnose_sources(sources, pages, feeds=feeds).collect()}
+    assert got == {"given": ("ready", 2), "among": ("ready", 2), "xml": ("warning", 1), "site": ("warning", 1), "broken": ("needs_rules", 0), "absent": ("unreachable", 0)}
+    alone = {r.source: r.status for r in diagnose_sources(sources, pages).collect()}
+    assert (alone["given"], alone["among"], alone["site"]) == ("unreachable", "ready", "warning")
