@@ -1,4 +1,4 @@
-"""The ten operators on their whole tables, and the DuckDB SQL for those that SQL can express."""
+"""The operators on their whole tables, and the DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm.common import table
+from pressmill.llm.divergence import AUDIT_SQL, audit
+from pressmill.llm.drift_means import cluster_digest, rounds_sql
 from pressmill.llm.html_blocks import extracted
 from pressmill.llm.lines import DIGEST_SQL, line_digest
 from pressmill.llm.mtree import largest_products, quantised
 from pressmill.llm.multi_index import nearest
 from pressmill.llm.nbest import n_best_digest
 from pressmill.llm.packing import packing_digest
+from pressmill.llm.phrase_index import CONTAMINATED_SQL, contaminated
 from pressmill.llm.repeats import removal_digest
 from pressmill.llm.simhash import simhash_classes
 from pressmill.llm.tool_calls import LINKED_SQL, SCHEMAS, linked, read_turns
@@ -112,3 +115,27 @@ def op5_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op5_tool_calls"] = LINKED_SQL
+
+
+@query
+def op11_drift_means(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_digest(table(spark, folder, "embeddings"))
+
+
+ORACLES["op11_drift_means"] = rounds_sql()
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit(table(spark, folder, "documents"))
+
+
+ORACLES["op12_source_divergence"] = AUDIT_SQL
+
+
+@query
+def op13_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_phrase_index"] = CONTAMINATED_SQL
