@@ -15,10 +15,10 @@ to all its occurrences. ``The``, ``the,`` and ``(the)`` are three chunks of one
 only told apart after that join.
 
 Plan. A task gathers the chunks of a run of documents: each different one with the documents of the run that hold it and
-how often. Runs are stored, one packed row each. Only ``(run, number, chunk)`` is shuffled by chunk, a narrow row a run even
-for a chunk that is in every document; the task that gets all rows of a chunk tokenizes it and sends ``(run, number, terms)``
-back to the run, where the documents of a term are told apart. So no group of either shuffle grows with the
-table. Runs hold different documents, so their document counts of a term add up.
+how often. Runs are stored, one packed row each. Only the different chunks of a run travel: dealt by hash, so that all
+runs that hold a chunk send it to one task, once a run even if it is in every document. That task tokenizes it once and
+sends its terms back to those runs, where the documents of a term are told apart. What travels is packed too, a row for
+each run and hash bucket. Runs hold different documents, so their document counts of a term add up.
 
 Pairs of sources are summed in tiles: a bounded range of terms by two bounded sets of sources. Terms that neither
 source of a pair has add the same amount each and are only counted.
@@ -27,13 +27,13 @@ source of a pair has add the same amount each and are only counted.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,8 +47,8 @@ RUN, TERMS, SOURCES = 2_000_000, 4096, 64
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: A run: its groups, the group of each document, its chunks, and per chunk its documents and occurrences; packed numbers.
-RUNS = "run long, groups array<struct<lang:string,source:string>>, of_doc binary, chunks binary, ends binary, stops binary, docs binary, times binary"
-TERMS_OF_RUN = "lang string, term string, docs long, n long, sources array<struct<source:string,n:bigint>>"
+RUNS = "run long, groups array<struct<lang:string,source:string>>, of_doc binary, chunks binary, stops binary, docs binary, times binary"
+TERMS_OF_RUN = "lang string, term string, docs long, sources array<struct<source:string,n:bigint>>"
 
 
 def shrunk(values: np.ndarray | bytes) -> bytes:
@@ -86,7 +86,7 @@ class Run:
         chunks = list(self.ids)
         return {
             "run": number, "groups": [{"lang": a, "source": b} for a, b in self.groups], "of_doc": shrunk(np.array(self.of_doc, np.int32)),
-            "chunks": shrunk(b"".join(chunks)), "ends": shrunk(np.cumsum([len(c) for c in chunks], dtype=np.int64)),
+            "chunks": shrunk(b" ".join(chunks)),
             "stops": shrunk(np.cumsum(np.bincount(pairs // count, minlength=len(chunks)), dtype=np.int64)),
             "docs": shrunk((pairs % count).astype(np.int32)), "times": shrunk(times.astype(np.int32)),
         }
@@ -97,7 +97,7 @@ def runs_of(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("run", pa.int64()), ("groups", pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string())])))]
-                          + [(c, pa.binary()) for c in ("of_doc", "chunks", "ends", "stops", "docs", "times")])
+                          + [(c, pa.binary()) for c in ("of_doc", "chunks", "stops", "docs", "times")])
         number, open_one = TaskContext.get().partitionId() << 32, Run()
         for batch in batches:
             groups = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
@@ -113,68 +113,87 @@ def runs_of(docs: DataFrame, run: int = RUN) -> DataFrame:
     return cut(docs.select("text", "lang", "source").mapInArrow(gather, RUNS))
 
 
-def chunk_rows(runs: DataFrame, most: int = 20_000) -> DataFrame:
-    """``(run, no, chunk)``: every different chunk of every run, numbered."""
+def dealt_chunks(runs: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, run, nos, chunks)``: the different chunks of every run by hash, with their numbers in the run."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("nos", pa.binary()), ("chunks", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
-                ends, text = np.frombuffer(grown(row["ends"]), np.int64), pa.py_buffer(grown(row["chunks"]))
-                bounds = pa.array(np.concatenate([[0], ends]), pa.int64())
-                chunks = pa.LargeStringArray.from_buffers(len(ends), bounds.buffers()[1], text)
-                for start in range(0, len(ends), most):
-                    part = chunks.slice(start, most)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["run"]] * len(part), pa.int64()), pa.array(np.arange(start, start + len(part)), pa.int32()), part.cast(pa.string())],
-                        names=["run", "no", "chunk"],
-                    )
+                chunks = grown(row["chunks"]).split()
+                bucket = np.fromiter(map(zlib.crc32, chunks), np.int64, len(chunks)) % buckets
+                order = np.argsort(bucket, kind="stable").astype(np.int32)
+                stops = np.cumsum(np.bincount(bucket, minlength=buckets))
+                out = []
+                for b, (start, stop) in enumerate(zip(np.append(0, stops).tolist(), stops.tolist(), strict=False)):
+                    if stop > start:
+                        nos = order[start:stop]
+                        out.append({"bucket": b, "run": row["run"], "nos": shrunk(nos), "chunks": shrunk(b" ".join([chunks[n] for n in nos.tolist()]))})
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        give_back()
+
+    return runs.select("run", "chunks").mapInArrow(deal, "bucket int, run long, nos binary, chunks binary")
 
-    return runs.select("run", "chunks", "ends").mapInArrow(unpack, "run long, no int, chunk string")
 
+def terms_of(chunk: bytes) -> bytes:
+    """The terms of a chunk, a space between them, each with its number of occurrences if there are several."""
+    return b" ".join(t if n == 1 else b"%s\x00%d" % (t, n) for t, n in Counter(TERM.findall(chunk.lower())).items())
 
-def with_terms(chunks: DataFrame) -> DataFrame:
-    """``(run, no, terms, times)`` of the chunks that hold terms; each different chunk is tokenized once, where all its rows meet."""
+
+def with_terms(chunks: DataFrame, buckets: int) -> DataFrame:
+    """``(run, nos, terms)``: the terms of the dealt chunks. All rows of a chunk meet in one task, which tokenizes it once."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = None, ([], [])
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            coded = batch.column("chunk").dictionary_encode()
-            terms, times, bounds = [], [], [0]
-            for chunk in coded.dictionary:
-                text = chunk.as_buffer().to_pybytes()
-                if text != known:  # rows are sorted, so only the last one of a batch can come again
-                    found = Counter(TERM.findall(text.lower()))
-                    known, last = text, (list(found), list(found.values()))
-                terms += last[0]
-                times += last[1]
-                bounds.append(len(terms))
-            stops = pa.array(bounds, pa.int32())
-            lists = [pa.ListArray.from_arrays(stops, pa.array(terms, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(stops, pa.array(times, pa.int64()))]
-            out = pa.RecordBatch.from_arrays([batch.column("run"), batch.column("no"), *(x.take(coded.indices) for x in lists)], names=["run", "no", "terms", "times"])
-            yield out.filter(pc.greater(pc.list_value_length(out.column("terms")), 0))
-
-    return chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tokenize, "run long, no int, terms array<string>, times array<bigint>")
+            out = []
+            for chunks in batch.column("chunks"):
+                found = []
+                for chunk in grown(chunks.as_py()).split():
+                    terms = known.get(chunk)
+                    if terms is None:
+                        terms = known[chunk] = terms_of(chunk)
+                    found.append(terms)
+                out.append(shrunk(b"\n".join(found)))
+            yield pa.RecordBatch.from_arrays([batch.column("run"), batch.column("nos"), pa.array(out, pa.binary())], names=["run", "nos", "terms"])
+        give_back()
+
+    return chunks.repartition(buckets, "bucket").select("run", "nos", "chunks").mapInArrow(tokenize, "run long, nos binary, terms binary")
+
+
+def term_entries(terms: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of a run, and for every (chunk, term) the number of each and the occurrences of the term in the chunk."""
+    ids: defaultdict[bytes, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    chunk, term, times = [], [], []
+    for row in terms.select(["nos", "terms"]).to_pylist():
+        for no, found in zip(np.frombuffer(grown(row["nos"]), np.int32).tolist(), grown(row["terms"]).split(b"\n"), strict=True):
+            for one in found.split():
+                name, _, n = one.partition(b"\x00")
+                chunk.append(no)
+                term.append(ids[name])
+                times.append(int(n or 1))
+    return [t.decode() for t in ids], np.array(chunk, np.int64), np.array(term, np.int64), np.array(times, np.int64)
 
 
 def terms_of_run(run: pa.Table, terms: pa.Table) -> pa.Table:
-    """Documents and occurrences of each term in each lang of a run, and its occurrences by source."""
-    kind = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64()),
+    """Documents of each term in each lang of a run, and its occurrences by source."""
+    kind = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()),
                       ("sources", pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))])
     if not len(terms):
         return kind.empty_table()
     row = run.to_pylist()[0]
     of_doc, stops, docs, times = (np.frombuffer(grown(row[c]), t) for c, t in (("of_doc", np.int32), ("stops", np.int64), ("docs", np.int32), ("times", np.int32)))
-    flat = terms.combine_chunks()
-    lists, per = flat.column("terms").combine_chunks(), flat.column("times").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    chunk = np.repeat(flat.column("no").to_numpy(), pc.list_value_length(lists).to_numpy())
+    names, chunk, term, each = term_entries(terms)
+    if not len(term):
+        return kind.empty_table()
     # every (chunk, term) with the documents of the chunk
     first = np.concatenate([[0], stops])[chunk]
     size = stops[chunk] - first
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
     count = len(of_doc)
-    key = np.repeat(coded.indices.to_numpy().astype(np.int64), size) * count + docs[place]
-    n = times[place].astype(np.int64) * np.repeat(per.flatten().to_numpy(), size)
+    key = np.repeat(term, size) * count + docs[place]
+    n = times[place].astype(np.int64) * np.repeat(each, size)
     pairs, which = np.unique(key, return_inverse=True)
     n = np.bincount(which, n, len(pairs)).astype(np.int64)
     term, group = pairs // count, of_doc[pairs % count]
@@ -187,8 +206,8 @@ def terms_of_run(run: pa.Table, terms: pa.Table) -> pa.Table:
     bounds = np.append(starts, len(cells))
     sources = pa.array([g["source"] for g in row["groups"]], pa.string()).take(pa.array(cells % len(row["groups"])))
     return pa.Table.from_arrays([
-        pa.array(list(langs), pa.string()).take(pa.array(outer % len(langs))), coded.dictionary.take(pa.array(outer // len(langs))),
-        pa.array(np.add.reduceat(cell_docs, starts), pa.int64()), pa.array(np.add.reduceat(cell_n, starts), pa.int64()),
+        pa.array(list(langs), pa.string()).take(pa.array(outer % len(langs))), pa.array(names, pa.string()).take(pa.array(outer // len(langs))),
+        pa.array(np.add.reduceat(cell_docs, starts), pa.int64()),
         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([sources, pa.array(cell_n)], ["source", "n"])),
     ], schema=kind)
 
@@ -196,7 +215,9 @@ def terms_of_run(run: pa.Table, terms: pa.Table) -> pa.Table:
 def kept_counts(docs: DataFrame, min_docs: int, run: int = RUN) -> DataFrame:
     """``(lang, source, term, n, lang_n, first)``: occurrences of the kept terms by group and lang; first marks one row a term."""
     runs = runs_of(docs, run)
-    by_run = runs.groupBy("run").cogroup(with_terms(chunk_rows(runs)).groupBy("run")).applyInArrow(terms_of_run, TERMS_OF_RUN)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms = with_terms(dealt_chunks(runs, buckets), buckets)
+    by_run = runs.drop("chunks").groupBy("run").cogroup(terms.groupBy("run")).applyInArrow(terms_of_run, TERMS_OF_RUN)
     of_term = Window.partitionBy("lang", "term")
     kept = by_run.withColumn("in_lang", F.sum("docs").over(of_term)).where(F.col("in_lang") >= min_docs)
     # still dealt by (lang, term): nothing below moves rows
