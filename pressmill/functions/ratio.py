@@ -7,7 +7,8 @@ together: one step finds the longest block of every open stretch with array oper
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -15,8 +16,10 @@ import numpy as np
 # From this length of the second string on, the sequence matcher ignores popular characters.
 POPULAR_FROM = 200
 _CHUNK = 2048
-_PAIRS = 1 << 14
+#: Padded codes held at once.
+_CELLS = 1 << 22
 _BINS = 64
+_GRAM = 5
 
 
 def _codes(texts: Sequence[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +58,11 @@ def _longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return best, end_a, end_b
 
 
-def matched(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
-    """M of each row pair of two padded code arrays (pads must differ)."""
-    total = np.zeros(len(a), dtype=np.int64)
-    zero = np.zeros(len(a), dtype=np.int64)
-    work = np.stack([np.arange(len(a)), zero, a_size, zero, b_size], axis=1)
+def matched(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """M of the pairs (row of a, row of b) of two padded code arrays (pads must differ)."""
+    total = np.zeros(len(rows), dtype=np.int64)
+    zero = np.zeros(len(rows), dtype=np.int64)
+    work = np.stack([np.arange(len(rows)), zero, a_size[rows], zero, b_size[cols]], axis=1)
     while len(work):
         work = work[(work[:, 2] > work[:, 1]) & (work[:, 4] > work[:, 3])]
         # similar widths together, so that little of a chunk is padding
@@ -67,7 +70,7 @@ def matched(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray
         opened = []
         for start in range(0, len(work), _CHUNK):
             row, a_lo, a_hi, b_lo, b_hi = work[start : start + _CHUNK].T
-            best, end_a, end_b = _longest(_cut(a, row, a_lo, a_hi, -1), _cut(b, row, b_lo, b_hi, -2))
+            best, end_a, end_b = _longest(_cut(a, rows[row], a_lo, a_hi, -1), _cut(b, cols[row], b_lo, b_hi, -2))
             np.add.at(total, row, best)
             hit = best > 0
             row, a_lo, a_hi, b_lo, b_hi, best = (v[hit] for v in (row, a_lo, a_hi, b_lo, b_hi, best))
@@ -84,50 +87,97 @@ def _cut(codes: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray,
     return np.where(inside, codes[row, np.where(inside, at, 0)], pad).astype(np.int32)
 
 
-def best_ratios(titles: Sequence[str], samples: Sequence[str]) -> np.ndarray:
-    """Highest ratio of each title (first argument) to any sample (second argument)."""
-    best = np.zeros(len(titles))
-    if not len(titles):
-        return best
+def rare_places(text: str) -> int:
+    """Places of the second string where a block can be found: all but those of popular characters."""
+    if len(text) < POPULAR_FROM:
+        return len(text)
+    most = len(text) // 100 + 1
+    return sum(n for n in Counter(text).values() if n <= most)
+
+
+def _grams(text: str) -> list[str]:
+    return [text[i : i + _GRAM] for i in range(len(text) - _GRAM + 1)]
+
+
+def _long_bound(grams: set[str], first: int, second: str, places: int) -> float:
+    """Bound on the ratio to a second string with popular characters.
+
+    Every block holds one of the rare places, and a block of n characters n - GRAM + 1 grams of both strings.
+    """
+    shared = sum(map(grams.__contains__, _grams(second)))
+    return 2.0 * min(first, len(second), (_GRAM - 1) * places + shared) / (first + len(second))
+
+
+def best_ratios(titles: Sequence[str], samples: Sequence[str], at_least: Sequence[float] | None = None) -> np.ndarray:
+    """Highest ratio of each title (first argument) to any sample (second), or the given value if that is higher."""
+    best = np.zeros(len(titles)) if at_least is None else np.array(at_least, np.float64)
+    short, long = [s for s in samples if 0 < len(s) < POPULAR_FROM], [s for s in samples if len(s) >= POPULAR_FROM]
+    order = sorted(range(len(titles)), key=lambda i: len(titles[i]))
+    for rows in _slices(order, [len(titles[i]) for i in order]):
+        part, known = [titles[i] for i in rows], best[rows]
+        if short:
+            _best_short(part, short, known)
+        for sample in long:
+            _best_long(part, sample, known)
+        best[rows] = known
+    return best
+
+
+def _slices(order: Sequence[int], sizes: Sequence[int]) -> Iterator[list[int]]:
+    """Runs of rows sorted by size whose padded codes stay small."""
+    start = 0
+    for end in range(1, len(order) + 1):
+        if end == len(order) or (end + 1 - start) * max(sizes[end], 1) > _CELLS or end - start >= _CHUNK:
+            yield list(order[start:end])
+            start = end
+
+
+def _best_short(titles: list[str], samples: list[str], best: np.ndarray) -> None:
+    """Pairs by falling bound on the characters they share: the likeliest sample first, then what can still beat it."""
     a, a_size = _codes(titles, -1)
-    a_bags = _bags(a)
-    for sample in samples:
-        if len(sample) >= POPULAR_FROM:
-            _exact_long(titles, a_size, sample, best)
-    short = [s for s in samples if len(s) < POPULAR_FROM]
-    group = max(1, _PAIRS // len(titles))
-    for start in range(0, len(short), group):
-        b, b_size = _codes(short[start : start + group], -2)
-        both = np.maximum(a_size + b_size[:, None], 1)
-        bound = np.stack([np.minimum(a_bags, bag).sum(axis=1) for bag in _bags(b)]) * 2.0 / both
-        which, rows = np.nonzero(bound > best)
+    b, b_size = _codes(samples, -2)
+    a_bags, b_bags = _bags(a), _bags(b)
+    both = np.maximum(a_size[:, None] + b_size[None, :], 1)
+    bound = np.stack([np.minimum(a_bags, bag).sum(axis=1) for bag in b_bags], axis=1) * 2.0 / both
+    for wave in (1, 4, len(samples)):
+        bound[bound <= best[:, None]] = 0
+        if wave < bound.shape[1]:
+            which = np.argpartition(-bound, wave - 1, axis=1)[:, :wave]
+            rows, cols = np.repeat(np.arange(len(titles)), wave), which.ravel()
+            rows, cols = (v[bound[rows, cols] > 0] for v in (rows, cols))
+        else:
+            rows, cols = np.nonzero(bound)
         if len(rows):
-            m = matched(a[rows], a_size[rows], b[which], b_size[which])
-            np.maximum.at(best, rows, 2.0 * m / both[which, rows])
-    return best
+            m = matched(a, a_size, b, b_size, rows, cols)
+            np.maximum.at(best, rows, 2.0 * m / both[rows, cols])
+            bound[rows, cols] = 0
 
 
-def _exact_long(titles: Sequence[str], a_size: np.ndarray, sample: str, best: np.ndarray) -> None:
-    matcher = SequenceMatcher(None, "", sample)
+def _best_long(titles: list[str], sample: str, best: np.ndarray) -> None:
+    places, matcher = rare_places(sample), None
     for i, title in enumerate(titles):
-        if 2.0 * min(a_size[i], len(sample)) / (a_size[i] + len(sample)) > best[i]:
+        both = len(title) + len(sample)
+        if 2.0 * min(len(title), len(sample)) / both > best[i] and _long_bound(set(_grams(title)), len(title), sample, places) > best[i]:
+            if matcher is None:
+                matcher = SequenceMatcher(None, "", sample)
             matcher.set_seq1(title)
-            if matcher.quick_ratio() > best[i]:
-                best[i] = max(best[i], matcher.ratio())
+            best[i] = max(best[i], matcher.ratio())
 
 
 def pair_ratios(first: Sequence[str], second: Sequence[str], at_least: float = 0.0) -> np.ndarray:
     """Ratio of each pair; pairs that cannot reach ``at_least`` get 0."""
     out = np.zeros(len(first))
-    if not len(first):
-        return out
-    a, a_size = _codes(first, -1)
-    b, b_size = _codes(second, -2)
-    both = np.maximum(a_size + b_size, 1)
-    bound = 2.0 * np.minimum(_bags(a), _bags(b)).sum(axis=1) / both
-    rows = np.nonzero((bound >= at_least) & (b_size < POPULAR_FROM))[0]
-    if len(rows):
-        out[rows] = 2.0 * matched(a[rows], a_size[rows], b[rows], b_size[rows]) / both[rows]
-    for i in np.nonzero((bound >= at_least) & (b_size >= POPULAR_FROM))[0]:
-        out[i] = SequenceMatcher(None, first[i], second[i]).ratio()
+    order = sorted(range(len(first)), key=lambda i: max(len(first[i]), len(second[i])))
+    for rows in _slices(order, [max(len(first[i]), len(second[i])) for i in order]):
+        a, a_size = _codes([first[i] for i in rows], -1)
+        b, b_size = _codes([second[i] for i in rows], -2)
+        both = np.maximum(a_size + b_size, 1)
+        bound = 2.0 * np.minimum(_bags(a), _bags(b)).sum(axis=1) / both
+        near = np.nonzero((bound >= at_least) & (b_size < POPULAR_FROM))[0]
+        if len(near):
+            out[np.array(rows)[near]] = 2.0 * matched(a, a_size, b, b_size, near, near) / both[near]
+        for i in np.nonzero((bound >= at_least) & (b_size >= POPULAR_FROM))[0]:
+            one, two = first[rows[i]], second[rows[i]]
+            if _long_bound(set(_grams(one)), len(one), two, rare_places(two)) >= at_least:
+                out[rows[i]] = SequenceMatcher(None, one, two).ratio()
     return out

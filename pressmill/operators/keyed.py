@@ -2,7 +2,7 @@
 
 All of these stay balanced when one key holds a large share of the rows: selection is
 a two-phase aggregate, caps are applied per salt before they are applied per key, and
-positions are counted per small block instead of in one long window.
+positions are a prefix scan over range partitions instead of one long window.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressmill.operators.lineage import cut_lineage
+
 SALTS = 64
-BLOCK = 1 << 20
 
 
 def _cols(values: Sequence[Column | str]) -> list[Column]:
@@ -91,39 +92,36 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"_j{i}" for i in range(len(keys))])
 
 
-def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    coarse: Sequence[tuple[str, bool]],
-    seq: str,
-    out: str = "position",
-    block: int = BLOCK,
-) -> DataFrame:
+#: Rows of a summary that may be sent to every task.
+FEW = 100_000
+_ROW_BITS = 33  # of the row number in an id that grows with the partitions
+
+
+def positions(df: DataFrame, keys: Sequence[str], coarse: Sequence[tuple[str, bool]], seq: str, out: str = "position") -> DataFrame:
     """Exact 1-based position of each row in its key, ordered by ``coarse`` then ``seq``.
 
-    ``coarse`` lists ``(column, descending)``; ``seq`` is a unique integer.  Rows are
-    counted per (key, coarse values, block of ``seq``), the counts are summed in order,
-    and only the rows of one such block are ranked together.
+    ``coarse`` lists ``(column, descending)``; ``seq`` is a unique integer, dense or not. A prefix scan over
+    range partitions: rows are dealt into sampled ranges of (key, order) and sorted there, which splits a key of
+    any size; the rows of each key are counted in each partition; and a row's place is its place in the partition plus what
+    earlier partitions hold of its key. The summary has one row for each partition and key in it. The sorted rows are stored
+    first, as ranges drawn a second time could differ.
     """
-    names = [c for c, _ in coarse]
-    blocked = df.withColumn("_blk", F.floor(F.col(seq) / block))
-    groups = [*keys, *names, "_blk"]
     order = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in coarse]
-    earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(*order, "_blk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        blocked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    whole = [*[F.col(k).asc_nulls_first() for k in keys], *order, F.col(seq).asc_nulls_first()]
+    stored = cut_lineage(
+        df.repartitionByRange(*whole).sortWithinPartitions(*whole).withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        stored.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        .select(*keys, "_part", (F.col("_before") - F.col("_first") + 1).alias("_shift"))
     )
-    inside = Window.partitionBy(*groups).orderBy(seq)
+    counts = cut_lineage(counts)
+    small = counts.count() <= FEW
     return (
-        join_on(blocked, offsets, groups, "inner")
-        .withColumn(out, F.col("_before") + F.row_number().over(inside))
-        .drop("_blk", "_before")
+        join_on(stored, F.broadcast(counts) if small else counts, [*keys, "_part"], "inner")
+        .withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
     )
 
 

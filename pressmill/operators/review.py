@@ -16,6 +16,7 @@ from pressmill.functions.text import (
 )
 from pressmill.functions.urls import canonical_key, is_feed_url
 from pressmill.operators.keyed import first_per_key, positions, top_per_key, without_known
+from pressmill.operators.lineage import cut_lineage
 
 MIN_TEXT = 250
 
@@ -73,7 +74,7 @@ def source_cap(df: DataFrame, run_date: Column | str, profile: Profile, *, sourc
     """
     name = F.coalesce(F.nullif(F.col(source), F.lit("")), F.lit("unknown"))
     wanted = F.col(limit).cast("string").try_cast("double").cast("int")
-    named = df.withColumn("_source", name)
+    named = cut_lineage(df.withColumn("_source", name))  # read for the limits, for whole sources and for the rest
     limits = named.groupBy("_source").agg(
         F.max(F.when(wanted > 0, wanted)).alias("_base"), F.count(F.lit(1)).alias("_size")
     )

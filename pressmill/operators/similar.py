@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressmill.functions.ratio import best_ratios, pair_ratios
-from pressmill.functions.text import clean, col, let
+from pressmill.functions.ratio import POPULAR_FROM, best_ratios, pair_ratios, rare_places
+from pressmill.functions.text import clean, col
 from pressmill.operators.keyed import first_per_key, join_on, positions
 from pressmill.operators.lineage import cut_lineage
 
 THRESHOLD = 0.86
 LOWEST = 0.85
-SAMPLE_BOUND = 5_000
-TITLES_PER_TASK = 20_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -42,123 +42,219 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Lengths that differ by less than this factor share a band.
+BAND = 1.25
+#: Characters of a block of titles or samples.
+BLOCK_CHARS = 1 << 16
+#: Rounds by the distance of bands, and so by the falling bound on what a longer or shorter sample can reach.
+BAND_ROUNDS = ((0, 1), (2, 3), (4, 6), (7, None))
+_MOST_BANDS = 1 + int(math.log(1 << 31, BAND))
+
+
+def _band(text: str) -> Column:
+    return F.floor(F.log(F.length(text).cast("double")) / math.log(BAND)).cast("int")
+
+
+def _slices(texts: DataFrame, name: str, chars: int) -> dict[int, int]:
+    """Blocks of each band: there are at most _MOST_BANDS of them, however many texts."""
+    sizes = texts.groupBy(_band(name).alias("band")).agg(F.sum(F.length(name)).alias("chars")).collect()
+    return {r["band"]: int(r["chars"] // chars) + 1 for r in sizes}
+
+
+def _in_blocks(texts: DataFrame, name: str, slices: dict[int, int], prefix: str, *others: str) -> DataFrame:
+    """One row for about ``chars`` characters of texts of one band."""
+    of_band = F.create_map(*[F.lit(x) for pair in slices.items() for x in pair])
+    dealt = texts.withColumn(f"{prefix}band", _band(name))
+    dealt = dealt.withColumn(f"{prefix}no", F.pmod(F.xxhash64(name), of_band[F.col(f"{prefix}band")].cast("long")).cast("int"))
+    return dealt.groupBy(f"{prefix}band", f"{prefix}no").agg(F.collect_list(F.struct(name, *others)).alias(f"{prefix}rows"))
+
+
 def best_similarity(
     df: DataFrame, samples: DataFrame, title: str, sample_title: str, out: str = "title_similarity",
-    *, sample_bound: int = SAMPLE_BOUND, titles_per_task: int = TITLES_PER_TASK,
+    *, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Highest ratio of each title to any sample title; 0 for blank titles or no samples.
 
-    Equal titles are compared once.  Up to ``sample_bound`` distinct samples travel with
-    the function; more of them are cut into slices of that size, and every slice meets
-    every slice of titles in a task of bounded size.
+    A top-1 join at falling thresholds. A ratio is at most twice the shorter length over both, so titles
+    and samples are dealt into bands of like length; each round joins bands further apart, and a title leaves once
+    its best is above what those can reach. Equal titles are compared once. Inside a pair of blocks the sample
+    that shares most characters comes first, and only what can still beat the best so far is compared.
     """
-    spark = df.sparkSession
     rows = df.withColumn("_title", clean(title))
-    distinct_titles = rows.where(F.col("_title") != "").select("_title").distinct()
-    known = samples.select(clean(sample_title).alias("_sample")).where(F.col("_sample") != "").distinct()
-    head = [r[0] for r in known.limit(sample_bound + 1).collect()]
-    if len(head) <= sample_bound:
-        shared = spark.sparkContext.broadcast(sorted(head, key=len))
-
-        @F.pandas_udf(T.DoubleType())
-        def best(titles: pd.Series) -> pd.Series:
-            return pd.Series(best_ratios(list(titles), shared.value))
-
-        scored = distinct_titles.repartition(_tasks(df), F.xxhash64("_title")).withColumn("_best", best("_title"))
-    else:
-        scored = _sliced_similarity(distinct_titles, known, sample_bound, titles_per_task)
-    joined = rows.join(scored, "_title", "left")
+    state = cut_lineage(rows.where(F.col("_title") != "").select("_title", F.lit(0.0).alias("_best")).distinct())
+    known = cut_lineage(samples.select(clean(sample_title).alias("_sample")).where(F.col("_sample") != "").distinct())
+    sample_slices = _slices(known, "_sample", block_chars)
+    if sample_slices:
+        blocks = cut_lineage(_in_blocks(known, "_sample", sample_slices, "s"))
+        for low, high in BAND_ROUNDS:
+            # texts of bands that lie d apart differ in length by a factor of more than BAND ** (d - 1)
+            reachable = 2 / (1 + BAND ** max(low - 1, 0)) * (1 + 1e-9)
+            found = _banded_round(state.where(F.col("_best") < reachable), blocks, sample_slices, low, high, block_chars)
+            if found is not None:
+                state = cut_lineage(state.unionAll(found).groupBy("_title").agg(F.max("_best").alias("_best")))
+    joined = rows.join(state, "_title", "left")
     return joined.withColumn(out, F.coalesce("_best", F.lit(0.0))).drop("_best", "_title")
 
 
-def _sliced_similarity(titles: DataFrame, samples: DataFrame, per_sample: int, per_title: int) -> DataFrame:
-    sample_slices = max(1, math.ceil(samples.count() / per_sample))
-    title_slices = max(1, math.ceil(titles.count() / per_title))
-    numbered = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    left = titles.withColumn("_t", F.pmod(F.xxhash64("_title"), F.lit(title_slices))).withColumn(
-        "_s", F.explode(numbered(sample_slices))
-    )
-    right = samples.withColumn("_s", F.pmod(F.xxhash64("_sample"), F.lit(sample_slices))).withColumn(
-        "_t", F.explode(numbered(title_slices))
+def _banded_round(
+    titles: DataFrame, samples: DataFrame, sample_slices: dict[int, int], low: int, high: int | None, block_chars: int
+) -> DataFrame | None:
+    """Best ratios of titles to the samples whose band is ``low`` to ``high`` bands away."""
+    slices = _slices(titles, "_title", block_chars)
+    pairs = [(t, s) for t in slices for s in sample_slices if low <= abs(t - s) and (high is None or abs(t - s) <= high)]
+    if not pairs:
+        return None
+    reached: dict[int, list[int]] = {}
+    for t, s in pairs:
+        reached.setdefault(t, []).append(s)
+    tasks = _tasks(titles)
+    bands = F.create_map(*[x for t, s in reached.items() for x in (F.lit(t), F.array(*map(F.lit, s)))])
+    counts = F.create_map(*[F.lit(x) for pair in sample_slices.items() for x in pair])
+    left = (
+        _in_blocks(titles, "_title", slices, "t", "_best")
+        .withColumn("sband", F.explode(bands[F.col("tband")]))
+        .withColumn("sno", F.explode(F.sequence(F.lit(0), counts[F.col("sband")] - 1)))
+        .withColumn("salt", F.pmod(F.xxhash64("tband", "tno"), F.lit(tasks)).cast("int"))
     )
+    # a block of samples goes to every task at most once, as if it were sent along, but without a bound on their number
+    right = samples.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    keys = ["sband", "sno", "salt"]
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
 
-    def compare(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        found = list(t["_title"])
-        return pd.DataFrame({"_title": found, "_best": best_ratios(found, sorted(s["_sample"], key=len))})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                mine = [t["_title"] for t in row["trows"]]
+                best = best_ratios(mine, [s["_sample"] for s in row["srows"]], [t["_best"] for t in row["trows"]])
+                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.string()), pa.array(best, pa.float64())], names=["_title", "_best"])
 
-    pairs = left.groupBy("_t", "_s").cogroup(right.groupBy("_t", "_s"))
-    return pairs.applyInPandas(compare, "_title string, _best double").groupBy("_title").agg(F.max("_best").alias("_best"))
+    return met.select("trows", "srows").mapInArrow(compare, "_title string, _best double")
 
 
 # ---------------------------------------------------------------------------
 # near-duplicate groups
 
 
-def _grams(title: Column, q: int) -> Column:
-    """Numbered grams of a title: the n-th copy of a gram is a token of its own."""
-    starts = F.sequence(F.lit(1), F.length(title) - (q - 1))
-    pieces = F.array_sort(F.transform(starts, lambda i: F.substring(title, i, q)))
-
-    def numbered(all_pieces: Column) -> Column:
-        return F.transform(
-            all_pieces,
-            lambda g, i: F.concat(F.lit(f"{q}:"), g, F.lit("#"), (i - F.array_position(all_pieces, g)).cast("string")),
-        )
+# Pairs of up to 10 characters are found by grams of 2, longer ones by grams of 3; a leader with popular
+# characters by grams of 5 if these are the better filter.
+_SHORT, _LONG, _WIDE = 10, 9, 5
+#: Tokens that hold more than one in this many of all are known everywhere: there cannot be more of them.
+_FREQUENT = 1 << 16
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-    return let(pieces, numbered)
 
+def gram_tokens(codes: np.ndarray, q: int) -> np.ndarray:
+    """Numbered grams of a title as hashes: the n-th copy of a gram is a token of its own.
 
-def _needed(length: Column, q: int, threshold: float) -> Column:
+    Two grams with one hash only add pairs, which are compared exactly anyway.
+    """
+    n = len(codes) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    hashes = np.full(n, q, np.uint64)
+    for k in range(q):
+        hashes = (hashes ^ codes[k : k + n].astype(np.uint64)) * _MULTIPLIER
+        hashes ^= hashes >> np.uint64(29)
+    hashes = np.sort(hashes)
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    copy = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    return (hashes + copy.astype(np.uint64)) * _MULTIPLIER
+
+
+def needed(length: int, q: int, threshold: float) -> int:
     """Fewest grams a title of this length shares with any partner at the threshold.
 
     With M matched characters out of la + lb, at least (2q-1)M - (q-1)(la+lb) - q + 1
     grams survive, and M >= threshold/2 * (la+lb).
     """
-    shortest = F.ceil(length * (threshold / (2 - threshold)))
+    shortest = math.ceil(length * (threshold / (2 - threshold)) - 1e-9)
     share = (2 * q - 1) * threshold / 2 - (q - 1)
-    return F.greatest(F.lit(1), F.ceil((length + shortest) * share - (q - 1) - 1e-9))
+    return max(1, math.ceil((length + shortest) * share - (q - 1) - 1e-9))
+
 
+def needed_of_leader(title: str, threshold: float) -> int:
+    """Fewest grams of _WIDE characters that this title shares as a leader: a block needs one of its rare places."""
+    shortest = math.ceil(len(title) * (threshold / (2 - threshold)) - 1e-9)
+    return math.ceil((len(title) + shortest) * threshold / 2 - 1e-9) - (_WIDE - 1) * rare_places(title)
 
-# Pairs of up to 10 characters are found by grams of 2, longer ones by grams of 3.
-_SHORT, _LONG = 10, 9
+
+def _wide_leader(title: str, threshold: float) -> bool:
+    """Whether a leader is found by its wide grams: its prefix is shorter then."""
+    if len(title) < POPULAR_FROM:
+        return False
+    return needed_of_leader(title, threshold) / (len(title) - _WIDE + 1) > needed(len(title), 3, threshold) / (len(title) - 2)
+
+
+def title_tokens(title: str, threshold: float, frequent: dict[int, int] | None) -> Iterator[tuple[int, bool, bool, np.ndarray]]:
+    """``(q, as follower, as leader, tokens)``; with the counts of frequent tokens only the rarest that are needed.
+
+    A title that needs k of its n tokens in common with a partner shares one of its n - k + 1 rarest, in any order that
+    is the same for all titles. For a leader found by wide grams the follower gives all of its own.
+    """
+    codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = _wide_leader(title, threshold)
+    if len(title) >= math.floor(POPULAR_FROM * threshold / (2 - threshold)):
+        tokens = gram_tokens(codes, _WIDE)
+        if wide:
+            yield _WIDE, False, True, rarest(tokens, needed_of_leader(title, threshold), frequent)
+        yield _WIDE, True, False, tokens
+    for q, applies in ((2, 2 <= len(title) <= _SHORT), (3, len(title) >= _LONG)):
+        if applies:
+            yield q, True, not wide, rarest(gram_tokens(codes, q), needed(len(title), q, threshold), frequent)
+
+
+def rarest(tokens: np.ndarray, shared: int, frequent: dict[int, int] | None) -> np.ndarray:
+    if frequent is None:
+        return tokens
+    counts = np.fromiter((frequent.get(t, 0) for t in tokens.tolist()), np.int64, len(tokens))
+    return tokens[np.lexsort((tokens, counts))[: len(tokens) - shared + 1]]
+
+
+def _token_rows(titles: DataFrame, keys: Sequence[str], threshold: float, frequent: dict[int, int] | None) -> DataFrame:
+    """``(keys, _rank, _len, _token, _follows, _leads)``: tokens of each title and the parts they are for."""
+    names = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lens, tokens, follows, leads = [], [], [], [], []
+            for i, title in enumerate(batch.column("_title").to_pylist()):
+                for _, follower, leader, found in title_tokens(title, threshold, frequent):
+                    rows.append(np.full(len(found), i))
+                    lens.append(np.full(len(found), len(title), np.int32))
+                    tokens.append(found.view(np.int64))
+                    follows.append(np.full(len(found), follower))
+                    leads.append(np.full(len(found), leader))
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(at) for c in (*names, "_rank")), *(pa.array(np.concatenate(x)) for x in (lens, tokens, follows, leads))],
+                    names=[*names, "_rank", "_len", "_token", "_follows", "_leads"],
+                )
+
+    out = ", ".join(f"`{c}` {titles.schema[c].dataType.simpleString()}" for c in (*names, "_rank"))
+    return titles.select(*names, "_rank", "_title").mapInArrow(run, f"{out}, _len int, _token long, _follows boolean, _leads boolean")
 
 
 def _prefix_tokens(titles: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
-    """The rarest tokens of each title, enough of them that similar titles must share one."""
-    length = F.length("_title")
-    parts = []
-    for q, applies in ((2, (length >= 2) & (length <= _SHORT)), (3, length >= _LONG)):
-        parts.append(
-            titles.where(applies).select(
-                *keys, "_rank", length.alias("_len"), F.lit(q).alias("_q"),
-                (length - (q - 1) - _needed(length, q, threshold) + 1).cast("int").alias("_take"),
-                F.explode(_grams(F.col("_title"), q)).alias("_token"),
-            )
-        )
-    tokens = parts[0].unionByName(parts[1])
-    # Any total order of tokens is exact; putting frequent ones last makes it selective. The
-    # counts are stored, so that the join has plain exchanges and a hot token can be split.
-    counts = cut_lineage(tokens.groupBy("_token").agg(F.count(F.lit(1)).alias("_freq")))
-    ranked = tokens.join(counts, "_token").withColumn(
-        "_order", F.struct(F.col("_freq").alias("f"), F.col("_token").alias("t"))
-    )
-    return (
-        ranked.groupBy(*keys, "_rank", "_len", "_q", "_take")
-        .agg(F.sort_array(F.collect_list("_order")).alias("_all"))
-        .select(*keys, "_rank", "_len", F.explode(F.slice("_all", F.lit(1), F.col("_take"))["t"]).alias("_token"))
-    )
+    """The rarest tokens of each title, enough of them that similar titles must share one.
+
+    Any order of tokens is exact, and putting frequent ones last makes it selective. Only tokens that hold more than
+    one in _FREQUENT of all are told apart by their counts: at most that many, so the driver and all tasks can know them.
+    """
+    counts = cut_lineage(_token_rows(titles, keys, threshold, None).groupBy("_token").agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    most = counts.where((F.col("_n") > 1) & (F.col("_n") > total / _FREQUENT)).collect()
+    return _token_rows(titles, keys, threshold, {r["_token"] & (1 << 64) - 1: r["_n"] for r in most})
 
 
 def _similar_pairs(
     later: DataFrame, earlier: DataFrame, titles: DataFrame, keys: Sequence[str], threshold: float
 ) -> DataFrame:
     """Edges ``(_rank, _lead)`` from a title to a lower-ranked one at or above the threshold."""
-    right = earlier.select(
-        *keys, F.col("_token"), F.col("_rank").alias("_lead"), F.col("_len").alias("_len2")
-    )
+    right = earlier.where("_leads").select(*keys, F.col("_token"), F.col("_rank").alias("_lead"), F.col("_len").alias("_len2"))
     close = 2 * F.least("_len", "_len2") >= F.lit(threshold) * (F.col("_len") + F.col("_len2"))
     pairs = (
-        later.join(right, [*keys, "_token"])
+        later.where("_follows").join(right, [*keys, "_token"])
         .where((F.col("_lead") < F.col("_rank")) & close)
         .select(*keys, "_rank", "_lead").distinct().repartition(_tasks(later), *keys, "_rank")
     )
@@ -221,6 +317,7 @@ def title_leaders(
     if not LOWEST <= threshold <= 1.0:
         raise ValueError("the gram filter is exact for thresholds from 0.85 to 1")
     titles = cut_lineage(titles)
+    # stored, so that the joins have plain exchanges and a hot token can be split
     tokens = cut_lineage(_prefix_tokens(titles, keys, threshold))
     id_cols = [*keys, "_rank"]
     top = titles.agg(F.max("_rank")).first()[0] or 0

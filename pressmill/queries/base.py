@@ -99,7 +99,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = d.select(
         F.col("doc_id").alias("seq"), day.alias("run_date"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title_original"),
+        F.substring_index("text", "\n", 1).alias("title_original"),
         F.concat(F.lit("https://example.com/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("raw_text"), F.substring("text", 1, 500).alias("raw_text_preview"), "source",
         F.col("lang").alias("language"), text.alias("published_date"),
@@ -117,7 +117,7 @@ _DAY = f"CAST(DATE '{FIRST_DAY}' + CAST(doc_id % 30 AS INTEGER) AS DATE)"
 _PUB = f"CAST({_DAY} - CAST(doc_id % 4 AS INTEGER) AS DATE)"
 ART = f"""art0 AS (
   SELECT doc_id AS seq, {_DAY} AS run_date, {_PUB} AS pub_day,
-         substr(split_part(text, chr(10), 1), 1, 60) AS title_original,
+         split_part(text, chr(10), 1) AS title_original,
          'https://example.com/' || source || '/' || doc_id AS url, text AS raw_text, source, lang AS language
   FROM documents),
 art AS (
@@ -156,14 +156,14 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality"))
     joined = d.join(labels, "doc_id", "left")
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 60)
+    title = F.substring_index("text", "\n", 1)
     return joined.select(
         F.col("doc_id").alias("seq"),
         F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
         title.alias("title"),
         F.concat(F.lit("https://example.com/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         "source", F.when(F.col("lang") == "en", "未分类").otherwise(F.col("lang")).alias("type"),
-        F.col("lang"), F.slice(F.split(F.lower(title), " "), 1, 5).alias("keywords"),
+        F.col("lang"), F.split(F.lower(title), " ").alias("keywords"),
         (F.coalesce("quality", F.lit(0)) == 1).alias("accepted"),
         F.when(F.col("doc_id") % 3 == 0, "word+rules").otherwise("word+digest_json").alias("data_source"),
     )
@@ -171,10 +171,10 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 REC = f"""rec AS (
   SELECT d.doc_id AS seq, CAST(DATE '{FIRST_DAY}' + CAST(d.doc_id % 30 AS INTEGER) AS DATE) AS date,
-         substr(split_part(d.text, chr(10), 1), 1, 60) AS title,
+         split_part(d.text, chr(10), 1) AS title,
          'https://example.com/' || d.source || '/' || d.doc_id AS url, d.source,
          CASE WHEN d.lang = 'en' THEN '未分类' ELSE d.lang END AS type, d.lang,
-         string_split(lower(substr(split_part(d.text, chr(10), 1), 1, 60)), ' ')[1:5] AS keywords,
+         string_split(lower(split_part(d.text, chr(10), 1)), ' ') AS keywords,
          coalesce(l.quality, 0) = 1 AS accepted,
          CASE WHEN d.doc_id % 3 = 0 THEN 'word+rules' ELSE 'word+digest_json' END AS data_source
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
@@ -204,9 +204,9 @@ TITLE_RULES = TitleRules(
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Historical samples: benchmark texts; the title is the first 60 characters."""
+    """Historical samples: benchmark texts, as title and as keyword text."""
     b = table(spark, folder, "benchmark")
-    return b.select("item_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 200).alias("keywords"))
+    return b.select("item_id", F.col("text").alias("title"), F.col("text").alias("keywords"))
 
 
 def scratch(spark: SparkSession) -> str:

@@ -110,9 +110,9 @@ def m5(spark, d):
     return dg.with_fallback_digest(a.withColumn("suggested_type", F.lit("技术"))).select("seq", "title_cn", "summary_cn")
 
 
-@query("m6_quality_report", f"WITH {ART} SELECT seq % 7 AS k, issue, CAST(count(*) AS BIGINT) AS n FROM (SELECT seq, CASE seq % 7 WHEN 0 THEN '标题或摘要为空' WHEN 2 THEN '标题或摘要不是完整简体中文' WHEN 3 THEN '检测到通用占位文字：建议结合原文链接复核' WHEN 4 THEN '摘要中的有效中文信息过少' END AS issue FROM art) WHERE issue IS NOT NULL GROUP BY ALL")
+@query("m6_quality_report", f"WITH {ART} SELECT seq % 7 AS k, issue, CAST(count(*) AS BIGINT) AS n FROM (SELECT seq, CASE seq % 7 WHEN 0 THEN '标题或摘要为空' WHEN 2 THEN '标题或摘要不是完整简体中文' WHEN 3 THEN '检测到通用占位文字：建议结合原文链接复核' WHEN 4 THEN '摘要中的有效中文信息过少' WHEN 5 THEN CASE WHEN {sql_clean('raw_text')} = '' THEN '标题或摘要为空' ELSE '标题或摘要不是完整简体中文' END END AS issue FROM art) WHERE issue IS NOT NULL GROUP BY ALL")
 def m6(spark, d):
-    rows = _digest_rows(spark, d).where(F.col("seq") % 7 != 5).withColumn("generation_mode", F.lit("model"))
+    rows = _digest_rows(spark, d).withColumn("generation_mode", F.lit("model"))
     rows = rows.withColumn("issue", dg.quality_issue("title_cn", "summary_cn", STRICT))
     report = dg.quality_report(rows).withColumn("k", F.substring_index("url", "/", -1).cast("bigint") % 7)
     return report.groupBy("k", "issue").agg(F.count(F.lit(1)).alias("n"))

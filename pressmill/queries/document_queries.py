@@ -13,14 +13,14 @@ _TEXT = sql_clean("text")
 _PARAS = f"""p AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INTEGER) AS idx, role,
   CASE WHEN turn % 6 = 0 THEN 'H' WHEN turn % 2 = 1 THEN 'I' WHEN turn % 4 = 2 THEN 'U' ELSE 'T' END AS kind,
   CASE WHEN turn % 6 = 0 THEN '202401' || lpad(CAST((conv_id + turn) % 28 + 1 AS VARCHAR), 2, '0') END AS digits,
-  {sql_clean('substr(text, 1, 50)')} AS words, conv_id, turn FROM conversations)"""
+  {sql_clean('text')} AS words, conv_id, turn FROM conversations)"""
 
 
 def paragraphs(spark, d):
     c = table(spark, d, "conversations")
     turn = F.col("turn")
     digits = F.concat(F.lit("202401"), F.lpad(((F.col("conv_id") + turn) % 28 + 1).cast("string"), 2, "0"))
-    words = clean(F.substring("text", 1, 50))
+    words = clean("text")
     url = F.concat(F.lit("https://example.com/c/"), F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
     text = (
         F.when(turn % 6 == 0, F.concat(F.lit("每日科技要闻报送摘要"), digits, F.lit("：")))

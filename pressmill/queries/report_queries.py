@@ -192,21 +192,21 @@ def c13(spark, d):
     return an.distribution(got, "type").select("type", "items", "accepted_items")
 
 
-@query("a7_reference_statistics", """WITH r AS (SELECT doc_id, string_split(substr(text, 1, 60), ' ')[1:3] AS kws, lang, source FROM documents),
+@query("a7_reference_statistics", """WITH r AS (SELECT doc_id, string_split(text, ' ') AS kws, lang, source FROM documents),
 k AS (SELECT 'keyword' AS metric, kw AS value, CAST(count(*) AS BIGINT) AS items FROM (SELECT unnest(kws) AS kw FROM r) GROUP BY kw ORDER BY items DESC, value LIMIT 100),
 s AS (SELECT 'domain' AS metric, source || '.example.com' AS value, CAST(count(*) AS BIGINT) AS items FROM r GROUP BY 2 ORDER BY items DESC, value LIMIT 50)
 SELECT 'reference_count' AS metric, '' AS value, CAST(count(*) AS BIGINT) AS items FROM r UNION ALL SELECT * FROM k UNION ALL SELECT * FROM s
 UNION ALL SELECT 'type', lang, CAST(count(*) AS BIGINT) FROM r GROUP BY lang UNION ALL SELECT 'soft_hard', CASE WHEN doc_id % 2 = 0 THEN '软科学' ELSE '硬科学' END, CAST(count(*) AS BIGINT) FROM r GROUP BY 2""")
 def a7(spark, d):
     r = table(spark, d, "documents").select(
-        F.slice(F.split(F.substring("text", 1, 60), " "), 1, 3).alias("keywords_candidate"),
+        F.split("text", " ").alias("keywords_candidate"),
         F.concat("source", F.lit(".example.com")).alias("source_domain"), F.col("lang").alias("type_candidate"),
         F.when(F.col("doc_id") % 2 == 0, "软科学").otherwise("硬科学").alias("soft_hard_candidate"),
     )
     return an.reference_statistics(r)
 
 
-@query("a11_reference_dedup", """WITH r AS (SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN 'https://example.com/' || (doc_id // 7) ELSE '' END AS url, CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(split_part(text, chr(10), 1), 1, 60) END AS title_cn, source FROM documents)
+@query("a11_reference_dedup", """WITH r AS (SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN 'https://example.com/' || (doc_id // 7) ELSE '' END AS url, CASE WHEN doc_id % 11 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS title_cn, source FROM documents)
 SELECT seq, url, title_cn FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url WHEN title_cn <> '' THEN title_cn ELSE 'row:' || source END ORDER BY seq) AS rn FROM r) WHERE rn = 1""")
 def a11(spark, d):
     r = records(spark, d).select(

@@ -70,7 +70,7 @@ def f26(spark, d):
     return doc.select("doc_id", kw.keyword_score("m").alias("score"), kw.keyword_text("m").alias("shown"))
 
 
-_HIST = "hist AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(substr(text, 1, 200)), '[,;；、\\s]+')) AS w FROM benchmark))"
+_HIST = "hist AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[,;；、\\s]+')) AS w FROM benchmark))"
 _HIST_SUM = "least(5.0::DOUBLE, 1.5::DOUBLE * (" + " + ".join(
     f"CASE WHEN {_kw_hit('low', t)} AND EXISTS (SELECT 1 FROM hist WHERE w = {sql_text(t)}) THEN 1 ELSE 0 END" for _, _, t, _ in _kw_terms() if len(t) >= 2) + "))"
 

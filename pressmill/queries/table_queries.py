@@ -83,11 +83,10 @@ def s6_refs(spark, d):
     return readers.accepted_references(sheet, "x").select("title_cn", "url", "source_domain", "keywords_candidate", "week")
 
 
-@query("s7_reference_samples", f"SELECT {sql_clean('text')} AS title, substr(text, 1, 3) || ',b' AS keywords, 'Type' AS type FROM benchmark WHERE substr(text, 1, 3) = {sql_clean('substr(text, 1, 3)')}")
+@query("s7_reference_samples", f"SELECT {sql_clean('text')} AS title, {sql_clean('text')} || ',b' AS keywords, 'Type' AS type FROM benchmark")
 def s7(spark, d):
     path = scratch(spark)
-    head = F.substring("text", 1, 3)
-    rows = table(spark, d, "benchmark").where(head == F.trim(head)).where(~head.rlike(r"\s")).select(F.col("text").alias("title_cn"), F.array(head, F.lit("b")).alias("keywords_candidate"), F.lit(" Type ").alias("type_candidate"), F.lit("").alias("soft_hard_candidate"))
+    rows = table(spark, d, "benchmark").select(F.col("text").alias("title_cn"), F.array("text", F.lit("b")).alias("keywords_candidate"), F.lit(" Type ").alias("type_candidate"), F.lit("").alias("soft_hard_candidate"))
     writers.write_jsonl(rows, path)
     return readers.reference_samples(readers.read_jsonl(spark, path, schemas.REFERENCE)).select("title", "keywords", "type")
 
@@ -97,9 +96,9 @@ def s8(spark, d):
     return registry.sources_from_pages(table(spark, d, "pages")).select("name", "section_url", "enabled", "max_articles_per_run")
 
 
-@query("s9_keyword_table", "WITH w AS (SELECT doc_id, lang, unnest(string_split(substr(text, 1, 40), ' ')[1:3]) AS t, generate_subscripts(string_split(substr(text, 1, 40), ' ')[1:3], 1) AS i FROM documents) SELECT lang AS category, trim(t) AS term, CAST(CASE WHEN i = 1 THEN doc_id WHEN doc_id % 2 = 0 THEN 3.0 ELSE 5.0 END AS DOUBLE) AS weight FROM w WHERE trim(t) <> ''")
+@query("s9_keyword_table", "WITH w AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) SELECT lang AS category, trim(t) AS term, CAST(CASE WHEN i = 1 THEN doc_id WHEN doc_id % 2 = 0 THEN 3.0 ELSE 5.0 END AS DOUBLE) AS weight FROM w WHERE trim(t) <> ''")
 def s9(spark, d):
-    words = F.slice(F.split(F.substring("text", 1, 40), " "), 1, 3)
+    words = F.split("text", " ")
     entries = F.transform(words, lambda t, i: F.struct(t.alias("term"), F.when(i == 0, F.col("doc_id").cast("double")).alias("weight")))
     rows = table(spark, d, "documents").select(F.col("lang").alias("category"), F.when(F.col("doc_id") % 2 == 0, 3.0).alias("default_weight"), entries.alias("keywords"))
     return registry.keywords_from_table(rows)
@@ -173,10 +172,10 @@ def s19(spark, d):
     return readers.read_sheet(spark, f"{base}/daily").select("date", "items")
 
 
-@query("s21_reference_export", "WITH w AS (SELECT unnest(string_split(substr(text, 1, 30), ' ')[1:2]) AS value FROM documents) SELECT value, CAST(count(*) AS BIGINT) AS items FROM w GROUP BY value ORDER BY items DESC, value LIMIT 100")
+@query("s21_reference_export", "WITH w AS (SELECT unnest(string_split(text, ' ')) AS value FROM documents) SELECT value, CAST(count(*) AS BIGINT) AS items FROM w GROUP BY value ORDER BY items DESC, value LIMIT 100")
 def s21(spark, d):
     path = scratch(spark)
-    rows = table(spark, d, "documents").select(F.slice(F.split(F.substring("text", 1, 30), " "), 1, 2).alias("keywords_candidate"), F.lit("d").alias("source_domain"), F.col("lang").alias("type_candidate"), F.lit("h").alias("soft_hard_candidate"))
+    rows = table(spark, d, "documents").select(F.split("text", " ").alias("keywords_candidate"), F.lit("d").alias("source_domain"), F.col("lang").alias("type_candidate"), F.lit("h").alias("soft_hard_candidate"))
     writers.write_reference(rows, path)
     return readers.read_jsonl(spark, f"{path}/reference_keywords", "metric string, value string, items bigint").select("value", "items")
 

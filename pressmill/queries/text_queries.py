@@ -191,14 +191,14 @@ def f24(spark, d):
     )
 
 
-@query("f37_keyword_lists", """WITH w AS (SELECT doc_id, string_split(substr(text, 1, 40), ' ') AS ws FROM documents),
-n AS (SELECT doc_id, i, trim(regexp_replace(ws[i], '[\\s\\p{Z}]+', ' ', 'g')) AS w FROM w, range(1, 20) t(i) WHERE i <= len(ws)),
+@query("f37_keyword_lists", """WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
+n AS (SELECT doc_id, i, trim(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g')) AS w FROM (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w)),
 c AS (SELECT doc_id, i, unnest(string_split(translate(w, ',;|', '、、、'), '、')) AS part, generate_subscripts(string_split(translate(w, ',;|', '、、、'), '、'), 1) AS j FROM n),
-f AS (SELECT doc_id, trim(part) AS part, min(i * 1000 + j) AS pos FROM c WHERE trim(part) <> '' GROUP BY ALL)
+f AS (SELECT doc_id, trim(part) AS part, min(i * 100000 + j) AS pos FROM c WHERE trim(part) <> '' GROUP BY ALL)
 SELECT doc_id, string_agg(part, '/' ORDER BY pos) AS words FROM f GROUP BY doc_id""")
 def f37(spark, d):
     doc = table(spark, d, "documents")
-    text = F.array_join(F.transform(F.split(F.substring("text", 1, 40), " "), lambda w: F.concat(F.lit("cat:"), w)), "；")
+    text = F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("cat:"), w)), "；")
     words = tx.keywords_from_text(text)
     return doc.select("doc_id", F.array_join(words, "/").alias("words")).where(F.col("words") != "")
 

@@ -38,15 +38,16 @@ def test_ratios_equal_the_sequence_matcher():
     assert all(x == pytest.approx(max(ratio(a, b) for b in second[:30] if b)) for a, x in zip(first[:40], best))
 
 
-@pytest.mark.parametrize("bound", [1000, 3])
-def test_best_similarity_with_few_and_many_samples(spark, bound):
+@pytest.mark.parametrize("bound", [1 << 16, 100])
+def test_best_similarity_with_few_and_many_blocks(spark, bound):
     rng = random.Random(5)
-    samples = [word(rng, 30) for _ in range(20)]
-    titles = [vary(rng, rng.choice(samples), 4) for _ in range(30)] + ["", "  "]
+    samples = [word(rng, n) for n in (1, 2, 5, 30, 30, 31, 40, 90, 150, 199, 200, 230, 400, 900)]
+    titles = [vary(rng, rng.choice(samples), 4) for _ in range(40)] + [word(rng, n) for n in (1, 3, 8, 70, 300, 2000)] + ["", "  "]
     df = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
     known = spark.createDataFrame([(s,) for s in samples], "sample string")
-    got = {r.id: r.s for r in best_similarity(df, known, "title", "sample", "s", sample_bound=bound, titles_per_task=7).collect()}
+    got = {r.id: r.s for r in best_similarity(df, known, "title", "sample", "s", block_chars=bound).collect()}
     tidy = lambda t: " ".join(t.split())
+    assert best_similarity(df, known.limit(0), "title", "sample", "s").agg({"s": "max"}).first()[0] == 0
     for i, t in enumerate(titles):
         want = max(ratio(tidy(t), tidy(s)) for s in samples) if tidy(t) else 0.0
         assert got[i] == pytest.approx(want)

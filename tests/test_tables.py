@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.config import Profile
 from pressmill.operators import analytics as an
+from pressmill.operators import keyed
 from pressmill.operators.keyed import first_per_key, positions, top_per_key
 from pressmill.operators.ordered import carry_forward, look_ahead, running_total
 from pressmill.queries import QUERIES
@@ -64,15 +65,30 @@ def test_ordered_operators_do_not_depend_on_the_block_size(ordered):
         assert small == large and len(small) == len(rows)
 
 
-def test_positions_and_caps_with_small_blocks(spark):
-    rows = [("hot" if i % 3 else "cold", float(i * 13 % 4), i) for i in range(200)]
-    df = spark.createDataFrame(rows, "k string, s double, seq long")
-    got = {r.seq: r.position for r in positions(df, ["k"], [("s", True)], "seq", block=16).collect()}
-    for k in ("hot", "cold"):
-        want = [r[2] for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))]
-        assert [s for s in sorted(want, key=got.get)] == want and sorted(got[s] for s in want) == list(range(1, len(want) + 1))
+@pytest.mark.parametrize("step", [1, 1 << 20, 1 << 50])
+def test_positions_and_caps(spark, step):
+    rows = [("hot" if i % 3 else None if i % 2 else "cold", None if i % 17 == 5 else float(i * 13 % 4), (i - 100) * step) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, s double, seq long").repartition(7)
+    found = positions(df, ["k"], [("s", True)], "seq")
+    got = {r.seq: r.position for r in found.collect()}
+    assert len(got) == 200
+    for k in ("hot", "cold", None):
+        want = [r[2] for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))]
+        assert [got[s] for s in want] == list(range(1, len(want) + 1))
+    assert positions(df, [], [], "seq").orderBy("seq").select("position").limit(3).collect() == [(1,), (2,), (3,)]
+    assert positions(df.limit(0), ["k"], [], "seq").count() == 0
     capped = top_per_key(df, ["k"], [F.desc("s"), F.asc("seq")], F.when(F.col("k") == "hot", 7).otherwise(3), seq="seq")
-    assert {r.seq for r in capped.collect()} == {s for s, p in got.items() if p <= (7 if rows[s][0] == "hot" else 3)}
+    assert {r.seq for r in capped.collect()} == {s for s, p in got.items() if p <= (7 if {r[2]: r[0] for r in rows}[s] == "hot" else 3)}
+
+
+def test_position_summary_does_not_grow_with_sparse_numbers(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("k"), (F.col("id") * (1 << 20)).alias("seq"))
+    stored = []
+    cut = keyed.cut_lineage
+    monkeypatch.setattr(keyed, "cut_lineage", lambda frame: stored.append(cut(frame)) or stored[-1])
+    found = positions(rows, ["k"], [], "seq")
+    assert found.agg({"position": "max"}).first()[0] == 13_333
+    assert len(stored) == 2 and stored[0].count() == 20_000 and stored[1].count() < 200
 
 
 def test_rows_without_key_are_kept(spark):
