@@ -48,7 +48,7 @@ RUN, TERMS, SOURCES = 2_000_000, 4096, 64
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: A run: its groups, the group of each document, its chunks, and per chunk its documents and occurrences; packed numbers.
 RUNS = "run long, groups array<struct<lang:string,source:string>>, of_doc binary, chunks binary, stops binary, docs binary, times binary"
-TERMS_OF_RUN = "lang string, term string, docs long, sources array<struct<source:string,n:bigint>>"
+TERMS_OF_RUN = "lang string, source string, term string, docs int, n long"
 
 
 def shrunk(values: np.ndarray | bytes) -> bytes:
@@ -177,9 +177,8 @@ def term_entries(terms: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np
 
 
 def terms_of_run(run: pa.Table, terms: pa.Table) -> pa.Table:
-    """Documents of each term in each lang of a run, and its occurrences by source."""
-    kind = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()),
-                      ("sources", pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))])
+    """Documents and occurrences of each term in each group of a run."""
+    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int32()), ("n", pa.int64())])
     if not len(terms):
         return kind.empty_table()
     row = run.to_pylist()[0]
@@ -196,19 +195,13 @@ def terms_of_run(run: pa.Table, terms: pa.Table) -> pa.Table:
     n = times[place].astype(np.int64) * np.repeat(each, size)
     pairs, which = np.unique(key, return_inverse=True)
     n = np.bincount(which, n, len(pairs)).astype(np.int64)
-    term, group = pairs // count, of_doc[pairs % count]
-    langs = {x: i for i, x in enumerate(dict.fromkeys(g["lang"] for g in row["groups"]))}
-    lang_of = np.array([langs[g["lang"]] for g in row["groups"]])
-    # by (term, lang, group), then by (term, lang)
-    cells, which = np.unique((term * len(langs) + lang_of[group]) * len(row["groups"]) + group, return_inverse=True)
-    cell_docs, cell_n = np.bincount(which), np.bincount(which, n).astype(np.int64)
-    outer, starts = np.unique(cells // len(row["groups"]), return_index=True)
-    bounds = np.append(starts, len(cells))
-    sources = pa.array([g["source"] for g in row["groups"]], pa.string()).take(pa.array(cells % len(row["groups"])))
+    groups = len(row["groups"])
+    cells, which = np.unique((pairs // count) * groups + of_doc[pairs % count], return_inverse=True)
+    group = pa.array(cells % groups)
     return pa.Table.from_arrays([
-        pa.array(list(langs), pa.string()).take(pa.array(outer % len(langs))), pa.array(names, pa.string()).take(pa.array(outer // len(langs))),
-        pa.array(np.add.reduceat(cell_docs, starts), pa.int64()),
-        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([sources, pa.array(cell_n)], ["source", "n"])),
+        *(pa.array([g[c] for g in row["groups"]], pa.string()).take(group) for c in ("lang", "source")),
+        pa.array(names, pa.string()).take(pa.array(cells // groups)), pa.array(np.bincount(which), pa.int32()),
+        pa.array(np.bincount(which, n).astype(np.int64), pa.int64()),
     ], schema=kind)
 
 
@@ -222,7 +215,7 @@ def kept_counts(docs: DataFrame, min_docs: int, run: int = RUN) -> DataFrame:
     kept = by_run.withColumn("in_lang", F.sum("docs").over(of_term)).where(F.col("in_lang") >= min_docs)
     # still dealt by (lang, term): nothing below moves rows
     return (
-        kept.select("lang", "term", F.inline("sources")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+        kept.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
         .withColumn("lang_n", F.sum("n").over(of_term)).withColumn("first", F.min("source").over(of_term) == F.col("source"))
     )
 
