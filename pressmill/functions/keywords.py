@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmill.config import Keyword
-from pressmill.functions.text import col, let, text_array
-
-MATCH_TYPE = "array<struct<category:string,keyword:string,weight:double>>"
-LITERAL_TERMS = 2000
+from pressmill.functions.terms import MATCH_TYPE, TermIndex
+from pressmill.functions.text import col, text_array
 
 
 def dictionary(keywords: Sequence[Keyword]) -> list[Keyword]:
@@ -26,54 +23,11 @@ def dictionary(keywords: Sequence[Keyword]) -> list[Keyword]:
 
 
 def match_keywords(lower_text: Column | str, keywords: Sequence[Keyword]) -> Column:
-    """Dictionary entries found in lower-cased text, in dictionary order.
-
-    A typed-in dictionary becomes a literal array filtered in place: no join, no shuffle
-    and the text is not multiplied.  Larger ones run as one automaton pass per batch.
-    """
+    """Dictionary entries found in lower-cased text, in dictionary order: one pass over each text, of any number of terms."""
     entries = dictionary(keywords)
-    text = col(lower_text)
     if not entries:
         return F.array().cast(MATCH_TYPE)
-    if len(entries) > LITERAL_TERMS:
-        return _automaton_match(entries)(text)
-    terms = F.array(*[
-        F.struct(
-            F.lit(k.category).alias("category"), F.lit(k.term).alias("keyword"),
-            F.lit(k.weight).alias("weight"), F.lit(k.term.lower()).alias("needle"),
-        )
-        for k in entries
-    ])
-    found = let(text, lambda v: F.filter(terms, lambda t: F.contains(v, t["needle"])))
-    return F.transform(
-        found,
-        lambda t: F.struct(t["category"].alias("category"), t["keyword"].alias("keyword"), t["weight"].alias("weight")),
-    )
-
-
-def _automaton_match(entries: list[Keyword]):
-    needles: dict[str, list[int]] = {}
-    for i, k in enumerate(entries):
-        needles.setdefault(k.term.lower(), []).append(i)
-
-    @F.pandas_udf(MATCH_TYPE)
-    def match(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for needle, owners in needles.items():
-            automaton.add_word(needle, owners)
-        automaton.make_automaton()
-        out = []
-        for text in texts:
-            found = {i for _, owners in automaton.iter(text or "") for i in owners}
-            out.append([
-                {"category": entries[i].category, "keyword": entries[i].term, "weight": entries[i].weight}
-                for i in sorted(found)
-            ])
-        return pd.Series(out)
-
-    return match
+    return TermIndex(entries).matches(col(lower_text))
 
 
 def keyword_score(matches: Column | str, cap: float = 30.0) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import fields
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
 from pressmill.config import Profile, TermLists, TitleRules
 from pressmill.functions.keywords import matched_categories
+from pressmill.functions.terms import Found
 from pressmill.functions.text import (
     clean, col, has_any, has_any_exact, hits, is_missing, let, lowered, text_array,
 )
@@ -15,31 +19,42 @@ from pressmill.functions.text import (
 POLICY_TOPIC_BONUS = 3.0
 
 
-def _found(lower: Column, pattern: str) -> Column:
+def _words(pattern: str) -> list[str]:
+    """The words of a pattern that is only a list of words; none if it is more."""
+    words = pattern.lower().split("|")
+    return words if all(w.isalnum() for w in words) else []
+
+
+def searched_lists(terms: TermLists, profile: Profile) -> list[Sequence[str]]:
+    """Every list whose terms the parts of a score look for in lower-cased text."""
+    of_terms = [getattr(terms, f.name) for f in fields(terms) if f.name != "soft_text" and not f.name.endswith("_categories")]
+    return [*of_terms, profile.region_terms, profile.preferred_regions, (fv.WARN_DATE, fv.NO_DATE), *map(_words, fv.INFO_PATTERNS)]
+
+
+def _matches(lower: Column, found: Found, pattern: str) -> Column:
     """Search lower-cased text for a case-blind pattern.
 
-    A pattern that is only a list of words becomes substring search, and one that needs a
+    A pattern that is only a list of words is looked up among the found terms, and one that needs a
     digit is tried only on text that has one; both are far cheaper than the regex.
     """
-    words = pattern.lower().split("|")
-    if all(w.isalnum() for w in words):
-        return has_any(lower, words)
+    if _words(pattern):
+        return found.any(_words(pattern))
     # letters of classes such as \d are lower case already
     return lower.rlike(r"\d") & lower.rlike(pattern.lower())
 
 
-def info_score(lower: Column) -> Column:
+def info_score(lower: Column, found: Found) -> Column:
     """Specificity of lower-cased text: concrete figures, dates, milestones and units."""
-    patterns = sum(F.when(_found(lower, p), 1).otherwise(0) for p in fv.INFO_PATTERNS)
+    patterns = sum(F.when(_matches(lower, found, p), 1).otherwise(0) for p in fv.INFO_PATTERNS)
     long_text = F.when(F.length(lower) > 800, 1).otherwise(0)
     return F.least(F.lit(25.0), (patterns + long_text) * F.lit(5.0))
 
 
-def strategic_score(lower: Column, terms: TermLists) -> Column:
+def strategic_score(lower: Column | Found, terms: TermLists) -> Column:
     return F.least(F.lit(20.0), hits(lower, terms.strategic) * F.lit(5.0))
 
 
-def novelty_score(lower: Column, terms: TermLists) -> Column:
+def novelty_score(lower: Column | Found, terms: TermLists) -> Column:
     return F.least(F.lit(10.0), hits(lower, terms.novelty) * F.lit(3.0))
 
 
@@ -61,7 +76,7 @@ def compilable_score(title: Column, text: Column) -> Column:
     )
 
 
-def policy_score(lower: Column, source_type: Column | str, terms: TermLists) -> Column:
+def policy_score(lower: Column | Found, source_type: Column | str, terms: TermLists) -> Column:
     found = hits(lower, terms.high_value_policy)
     official = F.when(F.lower(F.coalesce(col(source_type), F.lit(""))) == "official", 4.0).otherwise(0.0)
     topic = F.when(has_any(lower, terms.policy_topic), POLICY_TOPIC_BONUS).otherwise(0.0)
@@ -69,7 +84,7 @@ def policy_score(lower: Column, source_type: Column | str, terms: TermLists) ->
     return F.when(found > 0, F.least(F.lit(18.0), bonus)).otherwise(0.0)
 
 
-def negative_penalty(text: Column, lower: Column, terms: TermLists) -> Column:
+def negative_penalty(text: Column, lower: Column | Found, terms: TermLists) -> Column:
     weighted = (
         hits(lower, terms.negative) * 4
         + hits(lower, terms.low_value_business) * 3
@@ -82,11 +97,11 @@ def negative_penalty(text: Column, lower: Column, terms: TermLists) -> Column:
     return F.least(F.lit(35.0), (weighted + undated + tiny).cast("double"))
 
 
-def consumer_topic(lower: Column, terms: TermLists) -> Column:
+def consumer_topic(lower: Column | Found, terms: TermLists) -> Column:
     return has_any(lower, terms.low_scope_consumer) & ~has_any(lower, terms.core_topic)
 
 
-def market_topic(lower_title: Column, lower_text: Column, terms: TermLists) -> Column:
+def market_topic(lower_title: Column | Found, lower_text: Column | Found, terms: TermLists) -> Column:
     signals = hits(lower_text, terms.market_body) + hits(lower_text, terms.market_title)
     off_core = ~has_any(lower_title, terms.core_topic) & (hits(lower_text, terms.core_topic) < 2)
     return has_any(lower_title, terms.market_title) | ((signals >= 3) & off_core)
@@ -98,19 +113,17 @@ def excluded_topic(title: Column, text: Column, terms: TermLists) -> Column:
         F.lower(title).alias("title"), F.lower(text).alias("text"), F.lower(F.concat(title, F.lit(" "), text)).alias("both")
     )
 
-    def test(v: Column) -> Column:
-        lt, both = v["title"], v["both"]
-        sports = has_any(lt, terms.sports_title) & ~has_any(lt, terms.sports_technology)
-        operational = has_any(both, terms.operational) & ~has_any(both, terms.operational_strategic)
-        return (
-            market_topic(lt, v["text"], terms) | sports | has_any(lt, terms.operational)
-            | consumer_topic(both, terms) | operational
-        )
+    return let(lowered_once, lambda v: excluded_by_terms(v["title"], v["text"], v["both"], terms))
+
 
-    return let(lowered_once, test)
+def excluded_by_terms(title: Column | Found, text: Column | Found, both: Column | Found, terms: TermLists) -> Column:
+    """The same for lower-cased texts, or for the terms found in them."""
+    sports = has_any(title, terms.sports_title) & ~has_any(title, terms.sports_technology)
+    operational = has_any(both, terms.operational) & ~has_any(both, terms.operational_strategic)
+    return market_topic(title, text, terms) | sports | has_any(title, terms.operational) | consumer_topic(both, terms) | operational
 
 
-def region_preference(lower: Column, country_region: Column | str, terms: TermLists, profile: Profile) -> Column:
+def region_preference(lower: Column | Found, country_region: Column | str, terms: TermLists, profile: Profile) -> Column:
     """``struct<bonus, penalty, entity, from_region>`` of the profile's regional preference."""
     if not profile.preferred_regions and not profile.region_terms:
         zero = F.lit(0.0)
@@ -168,8 +181,8 @@ def explanation(parts: dict[str, Column], region_label: str) -> Column:
     return F.array_join(F.array_compact(F.array(*labels)), fv.REASON_SEPARATOR)
 
 
-def suggested_type(matches: Column | str, text: Column, terms: TermLists) -> Column:
-    categories, lower = matched_categories(matches), F.lower(text)
+def suggested_type(matches: Column | str, lower: Column | Found, terms: TermLists) -> Column:
+    categories = matched_categories(matches)
     policy = F.arrays_overlap(categories, text_array(terms.policy_categories)) | has_any(lower, terms.policy_text)
     industry = F.arrays_overlap(categories, text_array(terms.industry_categories)) | has_any(lower, terms.industry_text)
     return F.when(policy, fv.POLICY).when(industry, fv.INDUSTRY).otherwise(fv.TECHNOLOGY)

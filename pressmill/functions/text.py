@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
+from pressmill.functions.terms import Found
 
 # fixed values: character classes
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -70,8 +71,10 @@ def lowered(terms: Iterable[str]) -> list[str]:
     return [t.lower() for t in terms]
 
 
-def hits(lower_text: Column, terms: Iterable[str]) -> Column:
+def hits(lower_text: Column | Found, terms: Iterable[str]) -> Column:
     """Number of the terms found in already lower-cased text."""
+    if isinstance(lower_text, Found):
+        return lower_text.hits(terms)
     terms = lowered(terms)
     if not terms:
         return F.lit(0)
@@ -79,7 +82,9 @@ def hits(lower_text: Column, terms: Iterable[str]) -> Column:
     return let(lower_text, lambda v: F.size(F.filter(text_array(terms), lambda t: F.contains(v, t))))
 
 
-def has_any(lower_text: Column, terms: Iterable[str]) -> Column:
+def has_any(lower_text: Column | Found, terms: Iterable[str]) -> Column:
+    if isinstance(lower_text, Found):
+        return lower_text.any(terms)
     return has_any_exact(lower_text, lowered(terms))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.config import ScoreSettings
 from pressmill.functions import keywords as kw
 from pressmill.functions import scoring as sc
+from pressmill.functions.terms import TermIndex
 from pressmill.functions.text import candidate_id, clean, first_text, preview
 from pressmill.functions.urls import url_host
 from pressmill.operators.similar import best_similarity
@@ -51,19 +52,18 @@ def score_parts(df: DataFrame, settings: ScoreSettings, samples: DataFrame | Non
     else:
         out = best_similarity(out, samples, "_t", sample_title)
     out = out.withColumn("_all", F.concat_ws(" ", "_t", "_x", clean("extraction_warning")))
-    # lower-cased once, below every part that searches it
-    out = out.withColumn("_low", F.lower("_all")).withColumn(
-        "_topic_text", F.when(F.col("_x") != "", F.col("_x")).otherwise(
-            clean("raw_text_preview") if "raw_text_preview" in df.columns else F.lit("")
-        )
-    )
-    low = F.col("_low")
+    # lower-cased once, and read once for all terms of the dictionary and of the lists
+    topic_text = clean("raw_text_preview") if "raw_text_preview" in df.columns else F.lit("")
+    index = TermIndex(kw.dictionary(settings.keywords), sc.searched_lists(terms, profile))
+    found = index.in_article(F.lower("_t"), F.lower("_x"), F.lower(clean("extraction_warning")), F.when(F.col("_x") == "", F.lower(topic_text)).otherwise(""))
+    out = out.withColumn("_found", found).withColumn("_low", F.lower("_all")).withColumn("matches", F.col("_found.matches"))
+    text, low = F.col("_low"), index.found(F.col("_found.low"))
+    title, body, both = (index.found(F.col(f"_found.{part}")) for part in ("title", "body", "both"))
     history = known_history_terms(samples, settings, sample_keywords)
-    out = out.withColumn("matches", kw.match_keywords(low, settings.keywords))
     region = sc.region_preference(low, "country_region", terms, profile)
     parts = {
         "relevance": kw.keyword_score("matches"),
-        "info": sc.info_score(low),
+        "info": sc.info_score(text, low),
         "strategy": sc.strategic_score(low, terms),
         "novelty": sc.novelty_score(low, terms),
         "authority": sc.authority_score("source_type", "source_priority"),
@@ -77,7 +77,8 @@ def score_parts(df: DataFrame, settings: ScoreSettings, samples: DataFrame | Non
         "history_bonus": kw.history_bonus("matches", history),
         "negative_penalty": sc.negative_penalty(F.col("_all"), low, terms),
         "consumer": sc.consumer_topic(low, terms),
-        "excluded": sc.excluded_topic(F.col("_t"), F.col("_topic_text"), terms),
+        "excluded": sc.excluded_by_terms(title, body, both, terms),
+        "type": sc.suggested_type("matches", low, terms),
     }
     return out.withColumns({f"part_{name}": value for name, value in parts.items()})
 
@@ -115,7 +116,7 @@ def score_articles(df: DataFrame, settings: ScoreSettings, samples: DataFrame |
         domain.alias("source_domain"),
         kw.keyword_text("matches").alias("matched_keywords"),
         sc.reference_score(p["similarity_bonus"], p["history_bonus"]).alias("reference_similarity_score"),
-        sc.suggested_type("matches", F.col("_all"), settings.terms).alias("suggested_type"),
+        F.col("part_type").alias("suggested_type"),
         sc.suggested_soft_hard("matches", F.col("_all"), settings.terms).alias("suggested_soft_hard"),
         preview("_x").alias("raw_text_preview"),
         F.col("_x").alias("raw_text"),

@@ -21,7 +21,7 @@ def history_references(paragraphs: DataFrame, settings: ScoreSettings) -> DataFr
     return rows.select(
         F.col("doc_id").alias("source_file"), "paragraph_index", "date_block", "title_cn", "summary_cn", "url",
         url_host("url").alias("source_domain"), kw.matched_terms("_m").alias("keywords_candidate"),
-        suggested_type("_m", F.col("_all"), settings.terms).alias("type_candidate"),
+        suggested_type("_m", F.lower(F.col("_all")), settings.terms).alias("type_candidate"),
         suggested_soft_hard("_m", F.col("_all"), settings.terms).alias("soft_hard_candidate"),
     )
 

@@ -12,7 +12,7 @@ from pressmill.operators.similar import best_similarity, near_duplicates
 from pressmill.plans.candidates import candidates, combine_pools, score_all
 from pressmill.plans.collect import ranked_links
 from pressmill.queries.base import (
-    ART, KEYWORDS, PROFILE, SETTINGS, TERMS, articles, query, samples, sql_any, sql_clean, sql_hits, sql_text, table,
+    ART, KEYWORDS, PROFILE, SETTINGS, TERMS, articles, query, samples, sql_any, sql_clean, sql_hits, sql_status, sql_text, table,
 )
 from pressmill.queries.link_queries import RANKED
 from pressmill.queries.review_queries import sql_excluded
@@ -206,11 +206,25 @@ def c4(spark, d):
     return pool.select(F.col("run_date").cast("string").alias("run_date"), "seq", "score", "duplicate_group", "recommended_reason", "matched_keywords", "suggested_type", "extraction_warning")
 
 
-@query("c6_combine_pools")
+# the two pools of one day, gated, as the articles that are scored
+_POOL = f"""pool AS (SELECT * REPLACE (pool_no * (1::BIGINT << 60) + seq AS seq, CASE WHEN st = 'boundary_date_without_time' THEN CASE WHEN extraction_warning = '' THEN st ELSE extraction_warning || '; ' || st END ELSE extraction_warning END AS extraction_warning)
+  FROM (SELECT *, {sql_status('published_ts', 'has_time')} AS st FROM (
+    SELECT * REPLACE (DATE '2024-01-09' AS run_date), 0 AS pool_no FROM art WHERE source_type = 'login_browser'
+    UNION ALL SELECT * REPLACE (DATE '2024-01-09' AS run_date), 1 FROM art WHERE source_type <> 'official'))
+  WHERE st IN ('within_collection_window', 'within_collection_window_date_only', 'boundary_date_without_time') AND length(trim(raw_text)) >= 250
+    AND url NOT IN (SELECT url FROM art WHERE seq % 11 = 0 AND run_date - CAST(seq % 3 AS INTEGER) < DATE '2024-01-09')
+    AND NOT {sql_excluded(f"lower({sql_clean('title_original')})", f"lower({sql_clean('raw_text')})")})"""
+_POOL_PARTS = _PARTS.replace(ART, f"{ART}, {_POOL}").replace("FROM art), al", "FROM pool), al").replace("FROM art),\nal", "FROM pool),\nal")
+
+
+@query("c6_combine_pools", f"""WITH {_POOL_PARTS}, k AS (SELECT *, {_TOTAL} AS score, row_number() OVER (PARTITION BY url ORDER BY {_TOTAL} DESC, seq) AS place, min(seq) OVER (PARTITION BY url) AS first_seq FROM pt),
+b AS (SELECT *, CASE WHEN contains(lower(source), 'src7') THEN 'src7' WHEN country_region = 'Japan' THEN 'japan' WHEN country_region = 'Korea' THEN 'korea' ELSE 'other' END AS bucket FROM k WHERE place = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, first_seq) - 1 AS rn FROM b)
+SELECT substr(sha1(url), 1, 12) AS candidate_id, score, source, bucket, CAST(CASE bucket WHEN 'src7' THEN rn // 2 ELSE rn END AS BIGINT) AS cycle, CAST(CASE bucket WHEN 'src7' THEN rn % 2 WHEN 'japan' THEN 2 WHEN 'korea' THEN 3 ELSE 4 END AS BIGINT) AS slot FROM r""")
 def c6(spark, d):
     """Two overlapping pools of one day united for review."""
     day = "2024-01-09"
     a = articles(spark, d)
     pools = {"ranked": a.where(F.col("source_type") == "login_browser"), "public": a.where(F.col("source_type") != "official")}
     got = combine_pools(pools, day, SETTINGS, None, reported(spark, d), first_source="src7", regions=[("Japan", "japan"), ("Korea", "korea")], quotas=[("src7", 2), ("japan", 1), ("korea", 1), ("other", 1)])
-    return got.select("candidate_id", "score", "source", "bucket", F.col("cycle").cast("bigint").alias("cycle"), "slot")
+    return got.select("candidate_id", "score", "source", "bucket", F.col("cycle").cast("bigint").alias("cycle"), F.col("slot").cast("bigint").alias("slot"))

@@ -1,12 +1,14 @@
 """Value cases of text, URL, date and score expressions."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pressmill.config import Keyword, LinkRules, Profile, TermLists
 from pressmill.functions import dates, html, keywords, scoring, text, urls
+from pressmill.functions.terms import TermIndex
 from pressmill.operators import digests as dg
 from pressmill.operators import links as lk
 
@@ -106,16 +108,32 @@ def test_exclude_patterns_come_first(spark):
     assert got == [True, False, False]
 
 
-def test_large_dictionary_matches_like_a_small_one(spark, monkeypatch):
-    pytest.importorskip("ahocorasick")
+def test_dictionary_of_any_size(spark):
     words = [Keyword("c", w, 1.0) for w in ("Solar", "cell", "solar cell", "x")] + [Keyword("d", "cell", 2.0)]
-    data = ["a solar cell", "cells", "", "none"]
-    df = spark.createDataFrame([(d,) for d in data], "v string")
-    shown = lambda: [r[0] for r in df.withColumn("m", keywords.match_keywords("v", words)).select(keywords.keyword_text("m")).collect()]
-    small = shown()
-    monkeypatch.setattr(keywords, "LITERAL_TERMS", 2)
-    assert shown() == small
-    assert small[0] == "c: Solar, cell, solar cell; d: cell"
+    many = [Keyword("z", f"unused{i}", 1.0) for i in range(3000)]
+    df = spark.createDataFrame([("a solar cell",), ("cells",), ("",), ("none",), (None,)], "v string")
+    shown = lambda w: [r[0] for r in df.withColumn("m", keywords.match_keywords("v", w)).select(keywords.keyword_text("m")).collect()]
+    assert shown(words) == shown(words + many) == ["c: Solar, cell, solar cell; d: cell", "c: cell; d: cell", "", "", ""]
+    assert shown([]) == [""] * 5
+
+
+def test_terms_of_an_article_in_one_pass(spark):
+    rng = random.Random(6)
+    lists = [["a b", "ab", "b", "c a", "a", "", "ba c", "B"], ["cab", "b"]]
+    index = TermIndex([Keyword("k", "a b", 1.0), Keyword("k", "Ca", 2.0)], lists)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(rng.randrange(n))).strip()
+    rows = [(i, word(6), word(9) if i % 3 else "", word(4), word(9) if i % 2 else "") for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, t string, x string, w string, p string")
+    found = index.in_article(F.col("t"), F.col("x"), F.col("w"), F.when(F.col("x") == "", F.col("p")).otherwise(""))
+    tests = [f(index.found(F.col(f"f.{part}")), terms).alias(f"{name}_{part}_{k}") for part in ("low", "title", "body", "both") for k, terms in enumerate(lists) for name, f in (("hits", text.hits), ("any", text.has_any))]
+    for r in df.withColumn("f", found).select("i", "t", "x", "w", "p", "f", *tests).collect():
+        body = r.x or r.p
+        texts = {"low": f"{r.t} {r.x} {r.w}", "title": r.t, "body": body, "both": f"{r.t} {body}"}
+        for part, where in texts.items():
+            for k, terms in enumerate(lists):
+                count = sum(t.lower() in where for t in terms)
+                assert (r[f"hits_{part}_{k}"], r[f"any_{part}_{k}"]) == (count, count > 0), (r, part, k)
+        assert [m.keyword for m in r.f.matches] == [w for w in ("a b", "Ca") if w.lower() in texts["low"]]
 
 
 def test_topic_exclusion(spark):
