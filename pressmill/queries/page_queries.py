@@ -184,7 +184,12 @@ def c14(spark, d):
     return got.select("source", "status", F.col("candidate_count").cast("bigint").alias("candidate_count"))
 
 
-@query("c3_legacy_fetch")
+@query("c3_legacy_fetch", f"""WITH h AS (SELECT *, {_HOST} AS host, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, {_TEXT} AS text FROM pages),
+e AS (SELECT * FROM h WHERE url IN (SELECT min(url) FROM h GROUP BY host) AND contains(html, '<nav>')),
+l AS (SELECT host, root, page_id + i AS t, i FROM e, range(1, 6) r(i))
+SELECT l.host AS source, l.root || '/news/' || t AS url, 'story number ' || i AS title_original,
+  CAST(length('2024-01-0' || (h.page_id % 9 + 1) || ' 12:30 ' || h.text) AS INTEGER) AS chars
+FROM l JOIN h ON h.root = l.root AND h.page_id + 1 = l.t""")
 def c3(spark, d):
     """Older fetch where every page links to the next crawled page of its host."""
     pages = linked_pages(spark, d)
