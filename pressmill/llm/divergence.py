@@ -61,6 +61,15 @@ def grown(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+def apart(values: np.ndarray) -> bytes:
+    """Numbers as 32-bit integers, all lowest bytes first, then the next ones: most of the rest is zero."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def together(data: bytes) -> np.ndarray:
+    return np.frombuffer(grown(data), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
+
+
 class Run:
     """A run while it is filled."""
 
@@ -88,7 +97,7 @@ class Run:
             "run": number, "groups": [{"lang": a, "source": b} for a, b in self.groups], "of_doc": shrunk(np.array(self.of_doc, np.int32)),
             "chunks": shrunk(b" ".join(chunks)),
             "stops": shrunk(np.cumsum(np.bincount(pairs // count, minlength=len(chunks)), dtype=np.int64)),
-            "docs": shrunk((pairs % count).astype(np.int32)), "times": shrunk(times.astype(np.int32)),
+            "docs": shrunk(apart(np.diff(pairs % count, prepend=0))), "times": shrunk(apart(times)),
         }
 
 
@@ -128,7 +137,7 @@ def dealt_chunks(runs: DataFrame, buckets: int) -> DataFrame:
                 for b, (start, stop) in enumerate(zip(np.append(0, stops).tolist(), stops.tolist(), strict=False)):
                     if stop > start:
                         nos = order[start:stop]
-                        out.append({"bucket": b, "run": row["run"], "nos": shrunk(nos), "chunks": shrunk(b" ".join([chunks[n] for n in nos.tolist()]))})
+                        out.append({"bucket": b, "run": row["run"], "nos": shrunk(apart(np.diff(nos, prepend=0))), "chunks": shrunk(b" ".join([chunks[n] for n in nos.tolist()]))})
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
         give_back()
 
@@ -167,7 +176,7 @@ def term_entries(terms: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np
     ids.default_factory = ids.__len__
     chunk, term, times = [], [], []
     for row in terms.select(["nos", "terms"]).to_pylist():
-        for no, found in zip(np.frombuffer(grown(row["nos"]), np.int32).tolist(), grown(row["terms"]).split(b"\n"), strict=True):
+        for no, found in zip(np.cumsum(together(row["nos"])).tolist(), grown(row["terms"]).split(b"\n"), strict=True):
             for one in found.split():
                 name, _, n = one.partition(b"\x00")
                 chunk.append(no)
@@ -182,7 +191,8 @@ def terms_of_run(run: pa.Table, terms: pa.Table) -> pa.Table:
     if not len(terms):
         return kind.empty_table()
     row = run.to_pylist()[0]
-    of_doc, stops, docs, times = (np.frombuffer(grown(row[c]), t) for c, t in (("of_doc", np.int32), ("stops", np.int64), ("docs", np.int32), ("times", np.int32)))
+    of_doc, stops = (np.frombuffer(grown(row[c]), t) for c, t in (("of_doc", np.int32), ("stops", np.int64)))
+    docs, times = np.cumsum(together(row["docs"])), together(row["times"])
     names, chunk, term, each = term_entries(terms)
     if not len(term):
         return kind.empty_table()
@@ -192,7 +202,7 @@ def terms_of_run(run: pa.Table, terms: pa.Table) -> pa.Table:
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
     count = len(of_doc)
     key = np.repeat(term, size) * count + docs[place]
-    n = times[place].astype(np.int64) * np.repeat(each, size)
+    n = times[place] * np.repeat(each, size)
     pairs, which = np.unique(key, return_inverse=True)
     n = np.bincount(which, n, len(pairs)).astype(np.int64)
     groups = len(row["groups"])
@@ -212,11 +222,11 @@ def kept_counts(docs: DataFrame, min_docs: int, run: int = RUN) -> DataFrame:
     terms = with_terms(dealt_chunks(runs, buckets), buckets)
     by_run = runs.drop("chunks").groupBy("run").cogroup(terms.groupBy("run")).applyInArrow(terms_of_run, TERMS_OF_RUN)
     of_term = Window.partitionBy("lang", "term")
-    kept = by_run.withColumn("in_lang", F.sum("docs").over(of_term)).where(F.col("in_lang") >= min_docs)
-    # still dealt by (lang, term): nothing below moves rows
+    # dealt by (lang, term) once: nothing below moves rows
+    counts = by_run.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     return (
-        kept.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-        .withColumn("lang_n", F.sum("n").over(of_term)).withColumn("first", F.min("source").over(of_term) == F.col("source"))
+        counts.withColumn("in_lang", F.sum("docs").over(of_term)).withColumn("lang_n", F.sum("n").over(of_term))
+        .withColumn("first", F.min("source").over(of_term) == F.col("source")).where(F.col("in_lang") >= min_docs).drop("docs", "in_lang")
     )
 
 
