@@ -15,6 +15,7 @@ from pressmill.functions.text import append_warning, clean, cut, extraction_warn
 from pressmill.functions.urls import url_host
 from pressmill.operators import links as lk
 from pressmill.operators.digests import MIN_SELECTED, merge_full_text
+from pressmill.operators.lineage import cut_lineage
 from pressmill.operators.review import without_excluded
 from pressmill.operators.scored import score_articles
 
@@ -115,9 +116,10 @@ def collect_ranked(
 ) -> DataFrame:
     """Articles of ranked links: readable body, in the window, not excluded, best ``limit``."""
     profile, day = profile or settings.profile, F.lit(run_date).cast("date")
-    joined = links.select("seq", "url", F.col("title_original").alias("_link_title"), "source_section").join(
-        pages.select("url", "html"), "url"
-    ).withColumn("_b", html.body_parts("html"))
+    wanted = links.select("seq", "url", F.col("title_original").alias("_link_title"), "source_section")
+    opened = pages.select("url", "html").join(wanted.select("url").distinct(), "url", "left_semi")
+    # parsed once and stored: what follows reads the parts in filters, dates and scores
+    joined = cut_lineage(wanted.join(opened.select("url", html.body_parts("html").alias("_b")), "url"))
     text = html.article_body(F.col("_b"), rules.sentence_pattern, rules.navigation_markers, rules.tail_markers)
     rows = joined.withColumn("raw_text", text).withColumn("logged_in_status", lk.access_state("_b.body", rules))
     rows = rows.where(lk.usable_body("raw_text", "_b.body", rules))

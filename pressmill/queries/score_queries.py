@@ -103,6 +103,13 @@ pt AS (SELECT *, {_kw_sum('low')} AS relevance, least(25.0{_D}, ({_INFO_SQL} + C
 _TOTAL = f"CASE WHEN excluded THEN 0.0{_D} ELSE round_even(least(CASE WHEN consumer THEN 32.0{_D} ELSE 100.0{_D} END, greatest(0.0{_D}, relevance + info + strategy + novelty + authority + compilable + policy + region_bonus - negative - region_penalty)), 1)::DOUBLE END"
 
 
+
+
+def sql_scored(rows: str) -> str:
+    """Rows of the given query, which has the columns of an article, with their parts and score."""
+    return f"(WITH art AS ({rows}){_PARTS.removeprefix(ART)} SELECT *, {_TOTAL} AS score FROM pt)"
+
+
 @query("f27_score_parts", f"WITH {_PARTS} SELECT seq, relevance, info, strategy, novelty, authority, compilable, policy FROM pt")
 def f27(spark, d):
     return score_parts(articles(spark, d), SETTINGS).select("seq", *[F.col(f"part_{c}").alias(c) for c in ("relevance", "info", "strategy", "novelty", "authority", "compilable", "policy")])

@@ -44,6 +44,25 @@ def s20(spark, d):
     return got.select(F.col("date").cast("string").alias("date"), "pos", "title_cn", "url", F.array_join("keywords", "/").alias("keywords"))
 
 
+@query("s3_daily_files", f"{_DROW} SELECT CAST(date AS VARCHAR) AS date, CAST(pos AS INTEGER) AS pos, title AS title_cn, url, array_to_string(keywords, '/') AS keywords FROM o")
+def s3(spark, d):
+    """Digest arrays that carry their day in the name only; the folder of items without a day has none."""
+    path = scratch(spark)
+    rows = _digest_rows(spark, d).withColumn("final_digest", F.col("date"))
+    rows = rows.unionByName(rows.where("order_index % 3 = 0").withColumn("final_digest", F.lit(None).cast("date")))
+    writers.write_daily_json(rows.drop("date"), path, date="final_digest")
+    got = readers.read_daily_digests(spark, path)
+    return got.select(F.col("date").cast("string").alias("date"), "pos", "title_cn", "url", F.array_join("keywords", "/").alias("keywords"))
+
+
+@query("s4_cumulative_file", f"{_DROW} SELECT CAST(dense_rank() OVER (ORDER BY date) - 1 AS INTEGER) AS block_seq, CAST(date AS VARCHAR) AS date, CAST(pos AS INTEGER) AS pos, title AS title_cn, source FROM o")
+def s4_file(spark, d):
+    """The whole file as any JSON reader sees it."""
+    path = scratch(spark)
+    writers.write_cumulative(_digest_rows(spark, d), path)
+    return readers.read_cumulative(spark, path).select(F.col("block_seq").cast("int").alias("block_seq"), "date", "pos", "title_cn", "source")
+
+
 @query("s4_cumulative_round_trip", f"{_DROW} SELECT CAST(date AS VARCHAR) AS date, CAST(pos AS INTEGER) AS pos, title AS title_cn, source FROM o")
 def s4(spark, d):
     path = scratch(spark)

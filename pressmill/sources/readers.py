@@ -10,6 +10,8 @@ from pressmill.config import Source
 from pressmill.functions.dates import feed_entry_date
 from pressmill.functions.text import clean, col, first_text, is_selected
 from pressmill.functions.urls import url_host
+from pressmill.operators.keyed import FEW
+from pressmill.operators.lineage import cut_lineage
 from pressmill.operators.review import with_aliases
 from pressmill.sources import schemas
 
@@ -42,32 +44,43 @@ def _compact_date_of_file(column: Column, pattern: str) -> Column:
     return F.when(digits != "", F.try_to_date(digits, "yyyyMMdd"))
 
 
+def _items_in_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Elements of the JSON arrays in files, a row each, with ``file`` and ``pos`` in it; broken files give no rows.
+
+    Spark's reader makes rows of the elements of an array, so a file is never one value. Its rows come in order and
+    within one partition, so ids that grow with the rows give their places.
+    """
+    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True)
+    rows = cut_lineage(rows.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id")))
+    bounds = rows.groupBy("file").agg(F.min("_id").alias("_first"), F.max(F.col("_broken").isNotNull()).alias("_bad"))
+    # one row a file: sent along if there are few
+    bounds = F.broadcast(bounds) if bounds.count() <= FEW else bounds
+    return rows.join(bounds, "file").where(~F.col("_bad")).withColumn("pos", (F.col("_id") - F.col("_first") + 1).cast("int")).drop("_id", "_first", "_broken", "_bad")
+
+
 def read_daily_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Digest arrays of files ``final_digest_YYYYMMDD.json``: one row per item.
+    """Digest arrays of files ``final_digest_YYYYMMDD.json`` or folders ``final_digest=YYYY-MM-DD``: one row per item.
 
     Files whose name holds no date and files that are not valid JSON give no rows.
     """
-    text = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", f"array<struct<{_inline(schemas.DIGEST)}>>")
-    return (
-        text.select(
-            _compact_date_of_file(F.input_file_name(), r"final_digest_(\d{8})\.json$").alias("date"),
-            F.input_file_name().alias("file"), F.posexplode(items).alias("pos", "item"),
-        )
-        .where(F.col("date").isNotNull())
-        .select("date", "file", (F.col("pos") + 1).alias("pos"), "item.*")
-    )
+    rows = _items_in_files(spark, path, schemas.DIGEST)
+    name = F.regexp_replace("file", r"final_digest=(\d{4})-(\d\d)-(\d\d)/[^/]*$", "final_digest_$1$2$3.json")
+    date = _compact_date_of_file(name, r"final_digest_(\d{8})\.json$")
+    names = [c for c in rows.columns if c not in ("file", "pos", "final_digest")]
+    return rows.select(date.alias("date"), "file", "pos", *names).where(F.col("date").isNotNull())
 
 
 def read_cumulative(spark: SparkSession, path: str) -> DataFrame:
-    """Cumulative digest JSON, as an object with ``date_blocks`` or as a bare list of blocks."""
-    text = spark.read.text(path, wholetext=True).withColumn("value", F.trim("value"))
-    block = f"struct<date:string,items:array<struct<{_inline(schemas.DIGEST)}>>>"
-    whole = F.from_json("value", f"struct<date_blocks:array<{block}>>")["date_blocks"]
-    blocks = F.when(F.col("value").startswith("["), F.from_json("value", f"array<{block}>")).otherwise(whole)
+    """Cumulative digest JSON, as an object with ``date_blocks`` or as a bare list of blocks.
+
+    The blocks of a list are rows from the start; those of an object are once it is read.
+    """
+    block = f"date string, items array<struct<{_inline(schemas.DIGEST)}>>"
+    rows = _items_in_files(spark, path, f"{block}, date_blocks array<struct<{_inline(block)}>>")
+    listed = rows.where("date_blocks is null").select("file", (F.col("pos") - 1).alias("block_seq"), "date", "items")
+    held = rows.select("file", F.posexplode("date_blocks").alias("block_seq", "block")).select("file", "block_seq", "block.date", "block.items")
     return (
-        text.select(F.posexplode(blocks).alias("block_seq", "block"))
-        .select("block_seq", F.col("block.date").alias("date"), F.posexplode("block.items").alias("pos", "item"))
+        listed.unionByName(held).select("block_seq", "date", F.posexplode("items").alias("pos", "item"))
         .select("block_seq", "date", (F.col("pos") + 1).alias("pos"), "item.*")
     )
 
@@ -232,6 +245,5 @@ def metadata_rows(sheets: DataFrame | None, table: DataFrame | None) -> DataFram
 
 def read_daily_partitions(spark: SparkSession, path: str) -> DataFrame:
     """Daily digests as this package writes them: one ``date=...`` folder per day."""
-    items = F.from_json("value", f"array<struct<{_inline(schemas.DIGEST)}>>")
-    text = spark.read.text(path).where(F.col("value") != "")
-    return text.select(F.col("date"), F.posexplode(items).alias("pos", "item")).select("date", (F.col("pos") + 1).alias("pos"), "item.*")
+    rows = _items_in_files(spark, path, f"{schemas.DIGEST}, date date")
+    return rows.select("date", "pos", *[c for c in rows.columns if c not in ("file", "pos", "date")])

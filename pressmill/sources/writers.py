@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
@@ -71,39 +71,56 @@ def ranked_output(df: DataFrame, *, empty_warning: str, home: str, source: str,
 _ITEM_FIELDS = ("candidate_id", "title_cn", "summary_cn", "keywords", "type", "soft_hard", "source", "url", "source_text_chars", "generation_mode")
 
 
-def date_blocks(items: DataFrame, *, date: str = "date", index: str = "order_index", fields: Sequence[str] = _ITEM_FIELDS) -> DataFrame:
-    """One row per day with its items in order: the document that is written per day."""
+def _array_lines(items: DataFrame, date: str, index: str, fields: Sequence[str]) -> DataFrame:
+    """``(date, value)``: the lines of each day's JSON array in order, an item a line, so no day is ever one value."""
     present = [c for c in fields if c in items.columns]
-    packed = F.sort_array(F.collect_list(F.struct(F.col(index).alias("_i"), F.struct(*present).alias("item"))))
-    return items.groupBy(date).agg(packed["item"].alias("items"))
-
-
-def daily_json(items: DataFrame, *, date: str = "date", index: str = "order_index") -> DataFrame:
-    """JSON array text of each day's digest."""
-    return date_blocks(items, date=date, index=index).select(date, F.to_json("items").alias("value"))
-
-
-def write_daily_json(items: DataFrame, path: str, *, date: str = "date", index: str = "order_index") -> None:
-    """One folder per day with the digest array as text."""
-    daily_json(items, date=date, index=index).write.mode("overwrite").partitionBy(date).text(path)
+    item = F.to_json(F.struct(*present))
+    # a text column would be rewritten by the writer (empty texts), which then drops the order of the lines
+    items = items.withColumn(date, F.to_date(date))
+    rows = items.select(date, F.lit(1).alias("_part"), F.col(index).alias("_i"), item.alias("_item"))
+    first = rows.groupBy(date).agg(F.min("_i").alias("_first"))
+    edges = first.select(date, F.explode(F.array(F.lit(0), F.lit(2))).alias("_part"), F.col("_first").alias("_i"), F.lit(None).cast("string").alias("_item"))
+    # the comma belongs to the line before: every item but the first brings it along
+    named = rows.join(first, date).select(date, "_part", "_i", F.concat(F.when(F.col("_i") == F.col("_first"), "").otherwise(","), "_item").alias("value"))
+    marks = edges.select(date, "_part", "_i", F.when(F.col("_part") == 0, "[").otherwise("]").alias("value"))
+    return named.unionByName(marks).repartition(date).sortWithinPartitions(date, "_part", "_i").select(date, "value")
+
+
+def write_daily_json(items: DataFrame, path: str, *, date: str = "date", index: str = "order_index", fields: Sequence[str] = _ITEM_FIELDS) -> None:
+    """One folder per day with one file: the digest array as text, written line by line.
+
+    ``date`` is a date or its ISO text, ``index`` is unique within a day; items without a date share a folder.
+    """
+    _array_lines(items, date, index, fields).write.mode("overwrite").partitionBy(date).text(path)
 
 
-def write_cumulative(items: DataFrame, path: str, *, date: str = "date", index: str = "order_index") -> None:
-    """Cumulative digest as one JSON block per line, in date order.
+def write_cumulative(items: DataFrame, path: str, *, date: str = "date", index: str = "order_index", fields: Sequence[str] = _ITEM_FIELDS) -> None:
+    """Cumulative digest as one JSON file in date order, an object with ``date_blocks``, written line by line.
 
-    A line per day keeps the write distributed; :func:`read_cumulative_lines` reads it back.
+    Every item is a line that also names its date and place, so that :func:`read_cumulative_lines` can read a large
+    file in pieces; other readers find two more fields. Lines are range-sorted by many tasks and joined by one.
     """
-    blocks = date_blocks(items, date=date, index=index).orderBy(date)
-    blocks.select(F.to_json(F.struct(F.col(date).cast("string").alias("date"), "items")).alias("value")).write.mode("overwrite").text(path)
+    present = [c for c in fields if c in items.columns]
+    placed = positions(items, [date], [], index, "_pos")
+    day = F.col(date).cast("string")
+    item = F.to_json(F.struct(day.alias("date"), F.col("_pos").cast("int").alias("pos"), *present))
+    rows = placed.select(F.lit(1).alias("_zone"), day.alias("_day"), F.lit(1).alias("_part"), F.col("_pos"), F.concat(F.when(F.col("_pos") == 1, "").otherwise(","), item).alias("value"))
+    # one row a day
+    days = items.select(day.alias("_day")).distinct().withColumn("_first", F.row_number().over(Window.orderBy("_day")) == 1)
+    head = F.concat(F.when(F.col("_first"), "").otherwise(","), F.lit('{"date":'), F.to_json(F.struct("_day")).substr(F.lit(9), F.length(F.to_json(F.struct("_day"))) - 9), F.lit(',"items":['))
+    edge = lambda part, value: days.select(F.lit(1).alias("_zone"), "_day", F.lit(part).alias("_part"), F.lit(0).cast("bigint").alias("_pos"), value.alias("value"))
+    ends = items.sparkSession.createDataFrame([(0, "", 0, 0, '{"date_blocks":['), (2, "", 0, 0, "]}")], "_zone int, _day string, _part int, _pos bigint, value string")
+    lines = rows.unionByName(edge(0, head)).unionByName(edge(2, F.lit("]}"))).unionByName(ends)
+    lines.orderBy("_zone", "_day", "_part", "_pos").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_cumulative_lines(spark, path: str) -> DataFrame:
+    """Items of a file that :func:`write_cumulative` wrote, read in pieces."""
     from pressmill.sources import schemas
-    from pressmill.sources.readers import _inline
 
-    block = f"date string, items array<struct<{_inline(schemas.DIGEST)}>>"
-    lines = spark.read.schema(block).json(path)
-    return lines.select("date", F.posexplode("items").alias("pos", "item")).select("date", (F.col("pos") + 1).alias("pos"), "item.*")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^,?\{.*\}$"))
+    item = F.from_json(F.regexp_replace("value", "^,", ""), f"date string, pos int, {schemas.DIGEST}")
+    return lines.select(item.alias("item")).select("item.*")
 
 
 def export_analytics(records: DataFrame, folder: str, start: str, end: str) -> str:

@@ -11,7 +11,7 @@ from pressmill.operators import keyed
 from pressmill.operators.keyed import first_per_key, positions, top_per_key
 from pressmill.operators.ordered import carry_forward, look_ahead, running_total
 from pressmill.queries import QUERIES
-from pressmill.sources import readers, registry
+from pressmill.sources import readers, registry, writers
 
 
 def test_daily_files_with_bad_names_or_content_are_skipped(spark, tmp_path):
@@ -23,6 +23,31 @@ def test_daily_files_with_bad_names_or_content_are_skipped(spark, tmp_path):
     assert [(str(r.date), r.pos, r.title_cn) for r in got] == [("2024-01-05", 1, "一"), ("2024-01-05", 2, "二")]
 
 
+@pytest.mark.parametrize("kind", ["date", "string"])
+def test_daily_arrays_are_written_item_by_item(spark, tmp_path, kind):
+    rows = [(f"2024-01-0{1 + i % 3}", 7 * i, f'a "{i}"\nline', ["k", "é"]) for i in range(300)]
+    items = spark.createDataFrame(rows, "date string, order_index long, title_cn string, keywords array<string>").withColumn("date", F.col("date").cast(kind)).repartition(5)
+    writers.write_daily_json(items, str(tmp_path / "days"))
+    for day in (1, 2, 3):
+        (part,) = (tmp_path / "days" / f"date=2024-01-0{day}").glob("part-*")
+        assert [x["title_cn"] for x in json.loads(part.read_text())] == [r[2] for r in rows if r[0].endswith(str(day))]
+        assert len(part.read_text().splitlines()) == 102
+    got = readers.read_daily_partitions(spark, str(tmp_path / "days")).collect()
+    assert sorted((str(r.date), r.pos, r.title_cn, r.keywords) for r in got) == sorted((r[0], 1 + i // 3, r[2], r[3]) for i, r in enumerate(rows))
+
+
+def test_cumulative_file_is_one_json_document(spark, tmp_path):
+    rows = [(f"2024-01-{1 + i % 12:02}", 1000 - i, f't "{i}" {{,}}', ["k"]) for i in range(240)]
+    items = spark.createDataFrame(rows, "date string, order_index long, title_cn string, keywords array<string>").repartition(4)
+    writers.write_cumulative(items, str(tmp_path / "all"))
+    (part,) = (tmp_path / "all").glob("part-*")
+    blocks = json.loads(part.read_text())["date_blocks"]
+    want = [(d, [r[2] for r in sorted(rows, key=lambda r: r[1]) if r[0] == d]) for d in sorted({r[0] for r in rows})]
+    assert [(b["date"], [x["title_cn"] for x in b["items"]]) for b in blocks] == want
+    for got in (readers.read_cumulative(spark, str(part)), writers.read_cumulative_lines(spark, str(tmp_path / "all"))):
+        assert sorted((r.date, r.pos, r.title_cn) for r in got.collect()) == sorted((d, k + 1, t) for d, ts in want for k, t in enumerate(ts))
+
+
 @pytest.mark.parametrize("bare", [True, False])
 def test_cumulative_as_list_or_object(spark, tmp_path, bare):
     blocks = [{"date": "2024-01-05", "items": [{"title_cn": "a"}, {"title_cn": "b"}]}, {"date": "2024-01-06", "items": []}]
