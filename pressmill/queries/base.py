@@ -71,7 +71,7 @@ def sql_canonical(u: str) -> str:
 
 
 # ---------------------------------------------------------------------------
-# articles: documents seen as fetched news articles
+# articles: documents seen as fetched news articles; the title is the start of the first line
 
 FIRST_DAY = "2024-01-01"
 
@@ -99,7 +99,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = d.select(
         F.col("doc_id").alias("seq"), day.alias("run_date"),
-        F.substring_index("text", "\n", 1).alias("title_original"),
+        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title_original"),
         F.concat(F.lit("https://example.com/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("raw_text"), F.substring("text", 1, 500).alias("raw_text_preview"), "source",
         F.col("lang").alias("language"), text.alias("published_date"),
@@ -117,7 +117,7 @@ _DAY = f"CAST(DATE '{FIRST_DAY}' + CAST(doc_id % 30 AS INTEGER) AS DATE)"
 _PUB = f"CAST({_DAY} - CAST(doc_id % 4 AS INTEGER) AS DATE)"
 ART = f"""art0 AS (
   SELECT doc_id AS seq, {_DAY} AS run_date, {_PUB} AS pub_day,
-         split_part(text, chr(10), 1) AS title_original,
+         substr(split_part(text, chr(10), 1), 1, 60) AS title_original,
          'https://example.com/' || source || '/' || doc_id AS url, text AS raw_text, source, lang AS language
   FROM documents),
 art AS (
@@ -204,9 +204,9 @@ TITLE_RULES = TitleRules(
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Historical samples: benchmark texts, as title and as keyword text."""
+    """Historical samples: the first 60 characters of a benchmark text as title, the whole text for keywords."""
     b = table(spark, folder, "benchmark")
-    return b.select("item_id", F.col("text").alias("title"), F.col("text").alias("keywords"))
+    return b.select("item_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("keywords"))
 
 
 def scratch(spark: SparkSession) -> str:
