@@ -7,7 +7,6 @@ together: one step finds the longest block of every open stretch with array oper
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -37,6 +36,11 @@ def _bags(codes: np.ndarray) -> np.ndarray:
     return bags
 
 
+def character_bags(texts: Sequence[str]) -> np.ndarray:
+    """Characters of each text counted in bins: two texts match no more of them than their bags share."""
+    return _bags(_codes(texts, -1)[0])
+
+
 def _longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Length and end positions of the first longest common block of each column pair."""
     width, n = b.shape
@@ -117,14 +121,6 @@ def _exact_long(titles: Sequence[str], a_size: np.ndarray, sample: str, best: np
                 best[i] = max(best[i], matcher.ratio())
 
 
-def rare_places(text: str) -> int:
-    """Places of the second string where a block can be found: all but those of popular characters."""
-    if len(text) < POPULAR_FROM:
-        return len(text)
-    most = len(text) // 100 + 1
-    return sum(n for n in Counter(text).values() if n <= most)
-
-
 def pair_ratios(first: Sequence[str], second: Sequence[str], at_least: float = 0.0) -> np.ndarray:
     """Ratio of each pair; pairs that cannot reach ``at_least`` get 0."""
     out = np.zeros(len(first))

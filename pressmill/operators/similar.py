@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressmill.functions.ratio import POPULAR_FROM, best_ratios, pair_ratios, rare_places
+from pressmill.functions.ratio import best_ratios, character_bags, pair_ratios
 from pressmill.functions.text import clean, col
 from pressmill.operators.keyed import first_per_key, join_on, positions
 from pressmill.operators.lineage import cut_lineage
@@ -23,15 +22,6 @@ SAMPLE_BOUND = 5_000
 TITLES_PER_TASK = 20_000
 
 
-@F.pandas_udf(T.DoubleType())
-def title_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Ratio of each pair, argument order kept: the measure is not symmetric.
-
-    Pairs that cannot reach the lowest threshold allowed below come back as 0.
-    """
-    return pd.Series(pair_ratios(list(first), list(second), LOWEST))
-
-
 # ---------------------------------------------------------------------------
 # best similarity against accepted samples
 
@@ -96,11 +86,10 @@ def _sliced_similarity(titles: DataFrame, samples: DataFrame, per_sample: int, p
 # near-duplicate groups
 
 
-# Pairs of up to 10 characters are found by grams of 2, longer ones by grams of 3; a leader with popular
-# characters by grams of 5 if these are the better filter.
-_SHORT, _LONG, _WIDE = 10, 9, 5
-#: Tokens that hold more than one in this many of all are known everywhere: there cannot be more of them.
-_FREQUENT = 1 << 16
+#: Titles of one tile; how many of it are resolved at a time, and how many leaders are looked up at a time.
+_TILE, _STEP, _LOOKUP = 8192, 512, 1024
+#: Bins of the presence matrix of a title's numbered pairs of characters.
+_BINS = 1024
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,206 +111,149 @@ def gram_tokens(codes: np.ndarray, q: int) -> np.ndarray:
     return (hashes + copy.astype(np.uint64)) * _MULTIPLIER
 
 
-def needed(length: int, q: int, threshold: float) -> int:
-    """Fewest grams a title of this length shares with any partner at the threshold.
-
-    With M matched characters out of la + lb, at least (2q-1)M - (q-1)(la+lb) - q + 1
-    grams survive, and M >= threshold/2 * (la+lb).
-    """
-    shortest = math.ceil(length * (threshold / (2 - threshold)) - 1e-9)
-    share = (2 * q - 1) * threshold / 2 - (q - 1)
-    return max(1, math.ceil((length + shortest) * share - (q - 1) - 1e-9))
-
-
-def needed_of_leader(title: str, threshold: float) -> int:
-    """Fewest grams of _WIDE characters that this title shares as a leader: a block needs one of its rare places."""
-    shortest = math.ceil(len(title) * (threshold / (2 - threshold)) - 1e-9)
-    return math.ceil((len(title) + shortest) * threshold / 2 - 1e-9) - (_WIDE - 1) * rare_places(title)
-
-
-def _wide_leader(title: str, threshold: float) -> bool:
-    """Whether a leader is found by its wide grams: its prefix is shorter then."""
-    if len(title) < POPULAR_FROM:
-        return False
-    return needed_of_leader(title, threshold) / (len(title) - _WIDE + 1) > needed(len(title), 3, threshold) / (len(title) - 2)
-
-
-def title_tokens(title: str, threshold: float, frequent: dict[int, int] | None) -> Iterator[tuple[int, bool, bool, np.ndarray]]:
-    """``(q, as follower, as leader, tokens)``; with the counts of frequent tokens only the rarest that are needed.
-
-    A title that needs k of its n tokens in common with a partner shares one of its n - k + 1 rarest, in any order that
-    is the same for all titles. For a leader found by wide grams the follower gives all of its own.
-    """
-    codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32)
-    wide = _wide_leader(title, threshold)
-    if len(title) >= math.floor(POPULAR_FROM * threshold / (2 - threshold)):
-        tokens = gram_tokens(codes, _WIDE)
-        if wide:
-            yield _WIDE, False, True, rarest(tokens, needed_of_leader(title, threshold), frequent)
-        yield _WIDE, True, False, tokens
-    for q, applies in ((2, 2 <= len(title) <= _SHORT), (3, len(title) >= _LONG)):
-        if applies:
-            yield q, True, not wide, rarest(gram_tokens(codes, q), needed(len(title), q, threshold), frequent)
-
-
-def rarest(tokens: np.ndarray, shared: int, frequent: dict[int, int] | None) -> np.ndarray:
-    if frequent is None:
-        return tokens
-    counts = np.fromiter((frequent.get(t, 0) for t in tokens.tolist()), np.int64, len(tokens))
-    return tokens[np.lexsort((tokens, counts))[: len(tokens) - shared + 1]]
-
-
-def _token_rows(titles: DataFrame, keys: Sequence[str], threshold: float, frequent: dict[int, int] | None) -> DataFrame:
-    """``(keys, _rank, _len, _token, _follows, _leads)``: tokens of each title and the parts they are for."""
-    names = list(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, lens, tokens, follows, leads = [], [], [], [], []
-            for i, title in enumerate(batch.column("_title").to_pylist()):
-                for _, follower, leader, found in title_tokens(title, threshold, frequent):
-                    rows.append(np.full(len(found), i))
-                    lens.append(np.full(len(found), len(title), np.int32))
-                    tokens.append(found.view(np.int64))
-                    follows.append(np.full(len(found), follower))
-                    leads.append(np.full(len(found), leader))
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(at) for c in (*names, "_rank")), *(pa.array(np.concatenate(x)) for x in (lens, tokens, follows, leads))],
-                    names=[*names, "_rank", "_len", "_token", "_follows", "_leads"],
-                )
-
-    out = ", ".join(f"`{c}` {titles.schema[c].dataType.simpleString()}" for c in (*names, "_rank"))
-    return titles.select(*names, "_rank", "_title").mapInArrow(run, f"{out}, _len int, _token long, _follows boolean, _leads boolean")
-
-
-def _prefix_tokens(titles: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
-    """The rarest tokens of each title, enough of them that similar titles must share one.
-
-    Any order of tokens is exact, and putting frequent ones last makes it selective. Only tokens that hold more than
-    one in _FREQUENT of all are told apart by their counts: at most that many, so the driver and all tasks can know them.
-    """
-    counts = cut_lineage(_token_rows(titles, keys, threshold, None).groupBy("_token").agg(F.count(F.lit(1)).alias("_n")))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    most = counts.where((F.col("_n") > 1) & (F.col("_n") > total / _FREQUENT)).collect()
-    return _token_rows(titles, keys, threshold, {r["_token"] & (1 << 64) - 1: r["_n"] for r in most})
-
-
-def _similar_pairs(
-    later: DataFrame, earlier: DataFrame, titles: DataFrame, keys: Sequence[str], threshold: float
-) -> DataFrame:
-    """Edges ``(_rank, _lead)`` from a title to a lower-ranked one at or above the threshold."""
-    right = earlier.where("_leads").select(*keys, F.col("_token"), F.col("_rank").alias("_lead"), F.col("_len").alias("_len2"))
-    close = 2 * F.least("_len", "_len2") >= F.lit(threshold) * (F.col("_len") + F.col("_len2"))
-    pairs = (
-        later.where("_follows").join(right, [*keys, "_token"])
-        .where((F.col("_lead") < F.col("_rank")) & close)
-        .select(*keys, "_rank", "_lead").distinct().repartition(_tasks(later), *keys, "_rank")
-    )
-    first = titles.select(*keys, "_rank", F.col("_title").alias("_a"))
-    second = titles.select(*keys, F.col("_rank").alias("_lead"), F.col("_title").alias("_b"))
-    return (
-        pairs.join(first, [*keys, "_rank"]).join(second, [*keys, "_lead"])
-        .where(title_ratio("_a", "_b") >= threshold)
-        .select(*keys, "_rank", "_lead")
-    )
-
-
-def _resolve(block: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Leader of each title of a block: rounds until every title is leader or member."""
-    id_cols = [*keys, "_rank"]
-    state = block.select(*id_cols, F.lit("U").alias("_state"))
-    while True:
-        other = state.select(*keys, F.col("_rank").alias("_lead"), F.col("_state").alias("_other"))
-        seen = edges.join(other, [*keys, "_lead"]).groupBy(*id_cols).agg(
-            F.bool_or(F.col("_other") == "L").alias("_has_leader"),
-            F.bool_or(F.col("_other") == "U").alias("_waits"),
-        )
-        is_open = F.col("_state") == "U"
-        state = cut_lineage(
-            state.join(seen, id_cols, "left").select(
-                *id_cols,
-                F.when(~is_open, F.col("_state"))
-                .when(F.coalesce("_has_leader", F.lit(False)), F.lit("M"))
-                .when(F.coalesce("_waits", F.lit(False)), F.lit("U"))
-                .otherwise(F.lit("L")).alias("_state"),
-            )
-        )
-        if state.where(is_open).isEmpty():
-            break
-    leaders = state.where(F.col("_state") == "L").select(*keys, F.col("_rank").alias("_lead"))
-    joined = edges.join(leaders, [*keys, "_lead"], "left_semi").groupBy(*id_cols).agg(F.min("_lead").alias("_lead"))
-    members = state.where(F.col("_state") == "M").join(joined, id_cols).select(*id_cols, "_lead")
-    return members.unionByName(leaders.select(*keys, F.col("_lead").alias("_rank"), "_lead"))
-
-
-def _pair_load(tokens: DataFrame, keys: Sequence[str]) -> float:
-    """Largest number of token meetings in any key: what an all-to-all step would cost."""
-    per_token = tokens.groupBy(*keys, "_token").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    per_key = per_token.groupBy(*keys).agg(F.sum(F.col("_n") * F.col("_n")).alias("_load"))
-    return per_key.agg(F.max("_load")).first()[0] or 0.0
-
-
-def title_leaders(
-    titles: DataFrame, keys: Sequence[str], *, threshold: float = THRESHOLD,
-    first_block: int = 4096, pair_budget: float = 2e8,
-) -> DataFrame:
+class Titles:
+    """Titles with what the filters read: lengths, characters, and which bins their numbered pairs of characters fall into."""
+
+    def __init__(self, titles: Sequence[str]):
+        self.texts = np.array(titles, dtype=object)
+        self.sizes = np.array([len(t) for t in titles], dtype=np.float32)
+        self.bins = np.zeros((len(titles), _BINS), dtype=np.float32)
+        self.bags = character_bags(titles)
+        self.lost = np.zeros(len(titles), dtype=np.float32)  # tokens whose bin another one of the title holds
+        for i, title in enumerate(titles):
+            tokens = gram_tokens(np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32), 2)
+            self.bins[i, (tokens >> np.uint64(40)).astype(np.int64) % _BINS] = 1
+            self.lost[i] = len(tokens) - self.bins[i].sum()
+
+    def near(self, rows: np.ndarray, others: Titles, columns: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows and columns that may reach the threshold; no other pair does.
+
+        With M matched characters out of la + lb at most la + lb - 2M + 1 blocks are matched, so at least
+        3M - (la + lb) - 1 numbered pairs of characters are shared, and M >= threshold/2 * (la + lb). Shared bins are no
+        fewer than shared tokens less those lost in the title that lost fewer.
+        """
+        la, lb = self.sizes[rows][:, None], others.sizes[columns][None, :]
+        shared = self.bins[rows] @ others.bins[columns].T
+        shared += np.minimum(self.lost[rows][:, None], others.lost[columns][None, :])
+        both = la + lb
+        near = shared >= (1.5 * threshold - 1) * both - (1 + 1e-3)
+        near &= 2 * np.minimum(la, lb) >= threshold * both - 1e-3
+        i, j = np.nonzero(near)
+        common = np.minimum(self.bags[rows[i]], others.bags[columns[j]]).sum(axis=1)
+        kept = 2 * common >= threshold * (self.sizes[rows[i]] + others.sizes[columns[j]]) - 1e-3
+        return i[kept], j[kept]
+
+
+def first_leaders(titles: Titles, leaders: Titles, threshold: float) -> np.ndarray:
+    """For each title the first of the leaders that is similar enough, or -1."""
+    found = np.full(len(titles.texts), -1)
+    for start in range(0, len(leaders.texts), _LOOKUP):
+        some = np.arange(start, min(start + _LOOKUP, len(leaders.texts)))
+        _claim(titles, np.nonzero(found < 0)[0], leaders, some, threshold, found)
+    return found
+
+
+def _claim(titles: Titles, rows: np.ndarray, leaders: Titles, some: np.ndarray, threshold: float, found: np.ndarray) -> None:
+    i, j = titles.near(rows, leaders, some, threshold)
+    i, j = rows[i], some[j]
+    # the first of the leaders a title may follow, then the next two and so on: a large family is compared once a title
+    width = 1
+    while len(i):
+        starts = np.nonzero(np.concatenate([[True], i[1:] != i[:-1]]))[0]
+        place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+        now = place < width
+        row, lead = i[now], j[now]
+        hit = pair_ratios(list(titles.texts[row]), list(leaders.texts[lead]), LOWEST) >= threshold
+        row, lead = row[hit][::-1], lead[hit][::-1]
+        found[row] = lead  # of several the last written: the first leader
+        rest = ~now & (found[i] < 0)
+        i, j, width = i[rest], j[rest], 2 * width
+
+
+def resolved(titles: Titles, threshold: float) -> np.ndarray:
+    """The leader of each title of a tile in rank order: the first earlier leader that is similar enough, or itself."""
+    found = np.full(len(titles.texts), -1)
+    for start in range(0, len(titles.texts), _STEP):
+        some = np.arange(start, min(start + _STEP, len(titles.texts)))
+        some = some[found[some] < 0]
+        i, j = titles.near(some, titles, some, threshold)
+        i, j = some[i[i > j]], some[j[i > j]]
+        close = pair_ratios(list(titles.texts[i]), list(titles.texts[j]), LOWEST) >= threshold
+        earlier: dict[int, list[int]] = {}
+        for row, lead in zip(i[close].tolist(), j[close].tolist(), strict=True):
+            earlier.setdefault(row, []).append(lead)
+        for row in some.tolist():
+            found[row] = next((lead for lead in earlier.get(row, ()) if found[lead] == lead), row)
+        leaders = some[found[some] == some]
+        later = np.arange(start + _STEP, len(titles.texts))
+        _claim(titles, later[found[later] < 0], titles, leaders, threshold, found)
+    return found
+
+
+def title_leaders(titles: DataFrame, keys: Sequence[str], *, threshold: float = THRESHOLD, tile: int = _TILE) -> DataFrame:
     """Map each distinct title ``(_rank, _title)`` to the rank of its group's leader.
 
-    Equivalent to visiting titles by rank and joining the first leader that is similar
-    enough.  Titles are taken in blocks of growing rank.  Inside a block all similar pairs
-    are found; the leaders it yields then claim later titles, so a large family of copies
-    is compared with its leader and not with itself.  A block that would still be too
-    dense is halved.
+    Equivalent to visiting titles by rank and joining the first leader that is similar enough. The titles of a key are cut
+    into tiles by rank. The first tile of every key is resolved in a task of its own, its leaders then claim titles of
+    all later tiles, a task for each tile, and so on: a task never holds more than two tiles, no pair leaves its task, and a
+    large family is compared with its leaders only. Every open title meets every leader, in a matrix product that
+    rules out nearly all pairs.
     """
     if not LOWEST <= threshold <= 1.0:
-        raise ValueError("the gram filter is exact for thresholds from 0.85 to 1")
-    titles = cut_lineage(titles)
-    # stored, so that the joins have plain exchanges and a hot token can be split
-    tokens = cut_lineage(_prefix_tokens(titles, keys, threshold))
-    id_cols = [*keys, "_rank"]
-    top = titles.agg(F.max("_rank")).first()[0] or 0
-    done, low, step = None, 0, first_block
-    open_titles, open_tokens = titles, tokens
-    while low < top:
-        in_block = F.col("_rank") <= low + step
-        block_tokens = open_tokens.where(in_block)
-        if step > 64 and top > 64 and _pair_load(block_tokens, keys) > pair_budget:
-            step //= 2
-            continue
-        block = open_titles.where(in_block)
-        edges = cut_lineage(_similar_pairs(block_tokens, block_tokens, titles, keys, threshold))
-        found = _resolve(block, edges, keys)
-        low, step = low + step, step * 2
-        if low < top:
-            found = cut_lineage(found)
-            leaders = found.where(F.col("_rank") == F.col("_lead")).select(*id_cols)
-            rest = open_tokens.where(~in_block)
-            claims = _similar_pairs(rest, tokens.join(leaders, id_cols, "left_semi"), titles, keys, threshold)
-            claimed = cut_lineage(claims.groupBy(*id_cols).agg(F.min("_lead").alias("_lead")))
-            found = found.unionByName(claimed.select(*id_cols, "_lead"))
-            open_titles = cut_lineage(open_titles.where(~in_block).join(claimed, id_cols, "left_anti"))
-            open_tokens = cut_lineage(rest.join(claimed, id_cols, "left_anti"))
-            left = open_titles.agg(F.min("_rank"), F.max("_rank")).first()
-            low, top = (left[0] - 1, left[1]) if left[0] is not None else (top, top)
-        done = found if done is None else done.unionByName(found)
+        raise ValueError("the ratio is exact for thresholds from 0.85 to 1")
+    names, tasks = list(keys), _tasks(titles)
+    placed = positions(titles.select(*names, "_rank", "_title"), names, [], "_rank", "_place")
+    rows = placed.withColumn("_tile", F.floor((F.col("_place") - 1) / tile).cast("int")).select(*names, "_rank", "_title", "_tile")
+    open_titles = cut_lineage(rows)
+    last = open_titles.agg(F.max("_tile")).first()[0]
+    kinds = ", ".join(f"`{c}` {titles.schema[c].dataType.simpleString()}" for c in (*names, "_rank"))
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rank", ignore_index=True)
+        lead = resolved(Titles(list(pdf["_title"])), threshold)
+        return pdf.assign(_lead=pdf["_rank"].to_numpy()[lead])[[*names, "_rank", "_lead", "_title"]]
+
+    def claim(pdf: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        leaders = leaders.sort_values("_rank", ignore_index=True)
+        found = np.full(len(pdf), -1)
+        if len(pdf) and len(leaders):
+            found = first_leaders(Titles(list(pdf["_title"])), Titles(list(leaders["_title"])), threshold)
+        ranks = np.append(leaders["_rank"].to_numpy(), 0).astype(np.int64)
+        lead = pd.Series(ranks[found], index=pdf.index).astype("Int64").mask(found < 0)
+        return pdf.assign(_lead=lead)[[*names, "_rank", "_title", "_tile", "_lead"]]
+
+    done = None
+    for no in range((-1 if last is None else last) + 1):
+        # a number of partitions is given, as the rows are few for the work on them
+        first = open_titles.where(F.col("_tile") == no).repartition(tasks, *names).groupBy(*names)
+        found = cut_lineage(first.applyInPandas(resolve, f"{kinds}, _lead long, _title string"))
+        out = found.select(*names, "_rank", "_lead")
+        if no < last:
+            leaders = found.where(F.col("_rank") == F.col("_lead")).select(*names, "_rank", "_title")
+            leaders = leaders.withColumn("_tile", F.explode(F.sequence(F.lit(no + 1), F.lit(last))))
+            by = [*names, "_tile"]
+            right = leaders.repartition(tasks, *by).groupBy(*by)
+            left = open_titles.where(F.col("_tile") > no).repartition(tasks, *by).groupBy(*by)
+            rest = cut_lineage(left.cogroup(right).applyInPandas(claim, f"{kinds}, _title string, _tile int, _lead long"))
+            out = out.unionByName(rest.where("_lead is not null").select(*names, "_rank", "_lead"))
+            open_titles = rest.where("_lead is null").drop("_lead")
+        done = out if done is None else done.unionByName(out)
     if done is None:
-        return titles.select(*id_cols, F.col("_rank").alias("_lead"))
+        return titles.select(*names, "_rank", F.col("_rank").alias("_lead"))
     return done
 
 
 def near_duplicates(
     df: DataFrame, keys: Sequence[str] = ("run_date",), *, title: str = "title_original", url: str = "url",
     score: str = "score", seq: str = "seq", source_type: str = "source_type", text: str = "raw_text",
-    keyword_text: str = "matched_keywords", threshold: float = THRESHOLD, first_block: int = 4096,
-    pair_budget: float = 2e8,
+    keyword_text: str = "matched_keywords", threshold: float = THRESHOLD, first_block: int = _TILE,
+    pair_budget: float = float(_TILE) ** 2,
 ) -> DataFrame:
     """Best row of each group of similar titles, with ``duplicate_group`` and ``group_size``.
 
     Rows are visited by score (``seq`` breaks ties) within each key.  A repeated URL is
     dropped, whatever its title.  Equal titles always share a group, so only distinct
-    titles are compared.
+    titles are compared, in tiles of ``first_block`` titles and up to ``pair_budget`` pairs.
     """
     keys = list(keys)
     # Grouping works on narrow rows; the full rows are written once and joined once.
@@ -338,7 +270,7 @@ def near_duplicates(
     rows = first_per_key(narrow, [*keys, "_url"], [-F.col("_score"), F.col("_seq")], keyless_id="_seq")
     ranked = cut_lineage(positions(rows, keys, [("_score", True)], "_seq", "_rank").drop("_url", "_score"))
     titles = ranked.where(F.col("_title") != "").groupBy(*keys, "_title").agg(F.min("_rank").alias("_rank"))
-    leads = title_leaders(titles, keys, threshold=threshold, first_block=first_block, pair_budget=pair_budget)
+    leads = title_leaders(titles, keys, threshold=threshold, tile=max(1, min(first_block, math.isqrt(int(pair_budget)))))
     by_title = titles.join(leads, [*keys, "_rank"]).select(*keys, "_title", "_lead")
     grouped = ranked.join(by_title, [*keys, "_title"], "left").withColumn("_lead", F.coalesce("_lead", "_rank"))
     best = grouped.groupBy(*keys, "_lead").agg(

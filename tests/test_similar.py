@@ -118,3 +118,24 @@ def test_near_duplicates_of_long_titles(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in rows], "run_date string, seq long, score double, title_original string, url string, source_type string, raw_text string, matched_keywords string")
     got = {(r.seq, r.duplicate_group, r.group_size) for r in near_duplicates(df).collect()}
     assert got == brute_force(rows) and len(got) < 100
+
+
+def test_few_pairs_of_a_tile_reach_the_exact_ratio(spark):
+    import numpy as np
+
+    from pressmill.operators.similar import Titles, resolved
+
+    rng = random.Random(11)
+    syllables = [word(rng, rng.randrange(2, 5), "etaoinshrdlucmfwyp") for _ in range(60)]
+    titles = list(dict.fromkeys(" ".join(rng.choice(syllables) + rng.choice(syllables) for _ in range(10)) for _ in range(300)))
+    titles += [vary(rng, t, 2) for t in titles[:20]]
+    made = Titles(titles)
+    rows = np.arange(len(titles))
+    i, j = made.near(rows, made, rows, 0.86)
+    assert (i > j).sum() < len(titles) ** 2 / 50
+    near = set(zip(i.tolist(), j.tolist(), strict=True))
+    close = {(a, b) for a in range(len(titles)) for b in range(a) if ratio(titles[a], titles[b]) >= 0.86}
+    assert close and close <= near
+    lead = resolved(made, 0.86)
+    for a in range(len(titles)):
+        assert lead[a] == next((b for b in range(a) if lead[b] == b and (a, b) in close), a)
