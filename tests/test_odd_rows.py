@@ -91,3 +91,18 @@ def test_empty_cumulative_digest(spark, tmp_path):
     rows = spark.range(0).select(F.lit("2024-01-01").cast("date").alias("date"), F.col("id").alias("order_index"), F.lit("t").alias("title_cn"))
     writers.write_cumulative(rows, str(tmp_path / "none"))
     assert readers.read_cumulative(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf_dir):
+    from pressmill.queries import base
+
+    before = spark.conf.get(base._BATCH)
+    try:
+        spark.conf.set(base._BATCH, "10000")
+        base.table(spark, sf_dir, "documents")
+        assert spark.conf.get(base._BATCH) == str(base.BATCH_ROWS)
+        spark.conf.set(base._BATCH, "77")
+        base.table(spark, sf_dir, "documents")
+        assert spark.conf.get(base._BATCH) == "77"
+    finally:
+        spark.conf.set(base._BATCH, before)
