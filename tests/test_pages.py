@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pressmill.functions import html
 from pressmill.functions.selectors import select
 from pressmill.plans.digests import merge_cumulative
-from pressmill.plans.discover import diagnose_sources, settled
+from pressmill.plans.discover import diagnose_sources, legacy_fetch, settled
+from pressmill.sources.registry import sources_from_pages
 
 
 def texts(page, selector):
@@ -85,3 +86,17 @@ def test_diagnosis_reads_feeds(spark):
     assert got == {"given": ("ready", 2), "among": ("ready", 2), "xml": ("warning", 1), "site": ("warning", 1), "broken": ("needs_rules", 0), "absent": ("unreachable", 0)}
     alone = {r.source: r.status for r in diagnose_sources(sources, pages).collect()}
     assert (alone["given"], alone["among"], alone["site"]) == ("unreachable", "ready", "warning")
+
+
+def test_older_fetch_parses_opened_pages_only(spark):
+    listing = "<main><ul>" + "".join(f"<li><a href='/news/{i}'>{t}</a></li>" for i, t in ((1, "a story of the first page"), (2, "a story of the other page"))) + "</ul></main>"
+    pages = [("http://h.example/", listing)] + [(f"http://h.example/news/{i}", f"<title>t{i}</title><article>text {i}</article>") for i in range(1, 40)]
+    pages = spark.createDataFrame(pages, "url string, html string")
+    got = legacy_fetch(pages, None, None, sources_from_pages(pages)).select("url", "title_original", "raw_text")
+    assert sorted(map(tuple, got.collect())) == [
+        ("http://h.example/news/1", "a story of the first page", "text 1"), ("http://h.example/news/2", "a story of the other page", "text 2"),
+    ]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # once, and above the join that opens the pages: below it every page of the crawl would be parsed
+    assert plan.count("ArrowEvalPython [article_parts(") == 1
+    assert plan.index("ArrowEvalPython [article_parts(") < plan.index("Join ")
