@@ -106,3 +106,27 @@ def test_texts_go_to_python_in_small_batches(spark, sf_dir):
         assert spark.conf.get(base._BATCH) == "77"
     finally:
         spark.conf.set(base._BATCH, before)
+
+
+def test_long_texts_go_to_python_in_small_batches(spark, sf_dir):
+    import pandas as pd
+
+    from pressmill.queries import base
+
+    @F.pandas_udf("long")
+    def batch_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([sum(map(len, texts))] * len(texts))
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        base.table(spark, sf_dir, "documents")
+        texts = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+        sizes = [r.n for r in texts.select(batch_bytes("text").alias("n")).collect()]
+        # 30 MB in all; a batch ends with the row that reaches the limit
+        assert len(sizes) == 300 and max(sizes) <= (4 << 20) + 100_000
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
