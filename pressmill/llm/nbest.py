@@ -16,33 +16,35 @@ way's score and the best score up to that place, so the first N complete ones ar
 text's N best take at most N - 1 of its single replacements of a word's best segmentation, the
 cheapest, and their sums; so what the second segmentation costs more is known of every word (from the
 Viterbi scores of both directions), and only the cheapest words are searched. Words are kept from
-one text to the next, CACHE of them at most.
+one text to the next; beyond CACHE of them those that recur stay, half of CACHE at most.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.llm.common import give_back, small_batches
 from pressmill.llm.toxicity import slices
 
 N = 3
 SCALE = 10**6
 TIES = 64
-CACHE = 250_000
+CACHE = 200_000
 #: Words of so many characters at most are segmented many at once.
 MANY = 32
 #: Bits of a hash in the table of likely pieces.
 LIKELY = 19
-#: Bytes of token ids in a batch of results.
-BYTES = 1 << 23
+#: Bytes of token ids and decoded texts in a batch of results.
+BYTES = 1 << 22
 #: Bytes of text of which the new words are segmented together.
 TEXT = 1 << 22
 SPACED = re.compile(r" +[^ ]*")
@@ -102,6 +104,17 @@ class Pieces:
         self.longest: dict[str, int] = {}
         for text in self.piece:
             self.longest[text[0]] = max(self.longest.get(text[0], 0), len(text))
+        # the bytes of all pieces one after the other
+        self.flat = np.frombuffer(b"".join(self.data), np.uint8)
+        self.length = np.array([len(x) for x in self.data])
+        self.start = np.cumsum(self.length) - self.length
+
+    def text(self, ids: np.ndarray) -> str:
+        """What the ids decode to."""
+        sizes = self.length[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.start[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        return self.flat[at].tobytes()[1:].decode("utf-8", "replace")
 
     def lattice(self, word: str) -> tuple[list[list[tuple[int, int, tuple[int, ...]]]], list[int]]:
         """Edges ``(start, score, ids)`` by the place where they end, and the forward Viterbi scores."""
@@ -253,69 +266,94 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
         self.words: list[str] = []
         self.searched: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
         self.score = np.zeros(1024, np.int64)
         self.extra = np.zeros(1024, np.int64)
         self.start = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
+        self.used = np.zeros(1024, np.int64)
         self.flat = np.zeros(8192, "<u4")
         self.filled = 0
 
-    def add(self, words: list[str], score: np.ndarray, extra: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
-        """Takes over words with their best scores, extra costs and ids (all words' ids one after the other)."""
-        k, n = len(self.words), len(words)
-        self.number.update(zip(words, range(k, k + n), strict=True))
-        self.words += words
-        while k + n > len(self.score):
-            self.score, self.extra, self.start, self.length = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self.score, self.extra, self.start, self.length)
+    def forget(self) -> None:
+        """Drops the words that recur least, until half of CACHE are left at most."""
+        size, least = len(self.words), 2
+        while (self.used[:size] >= least).sum() > CACHE // 2:
+            least *= 2
+        stay = self.used[:size] >= least
+        words, keep = list(compress(self.words, stay.tolist())), np.flatnonzero(stay)
+        score, extra, start, length, used = (x[keep] for x in (self.score, self.extra, self.start, self.length, self.used))
+        ends = np.cumsum(length)
+        ids = self.flat[np.repeat(start - (ends - length), length) + np.arange(int(length.sum()))]
+        searched = {k: self.searched[old] for k, old in enumerate(keep.tolist()) if old in self.searched}
+        self.reset()
+        for word in words:
+            self.number[word]
+        self.words, self.searched = words, searched
+        self.room(len(words))
+        self.add(np.arange(len(words)), score, extra, ids, length)
+        self.used[: len(words)] = used // 2
+
+    def room(self, size: int) -> None:
+        if size > len(self.score):
+            self.score, self.extra, self.start, self.length, self.used = (
+                np.concatenate([x, np.zeros(size + size // 4 - len(x), np.int64)]) for x in (self.score, self.extra, self.start, self.length, self.used)
             )
-        while self.filled + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+
+    def add(self, at: np.ndarray, score: np.ndarray, extra: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Takes over the words of numbers ``at`` with their best scores, extra costs and ids (all words' ids one after the other)."""
+        if self.filled + len(ids) > len(self.flat):
+            size = self.filled + len(ids)
+            self.flat = np.concatenate([self.flat, np.zeros(size + size // 4 - len(self.flat), "<u4")])
         self.flat[self.filled : self.filled + len(ids)] = ids
-        self.score[k : k + n], self.extra[k : k + n], self.length[k : k + n] = score, extra, length
-        self.start[k : k + n] = self.filled + np.cumsum(length) - length
+        self.score[at], self.extra[at], self.length[at] = score, extra, length
+        self.start[at] = self.filled + np.cumsum(length) - length
         self.filled += len(ids)
 
-    def word(self, word: str) -> int:
-        if word not in self.number:
-            if len(word) <= TIES:
-                score, ids, extra = self.pieces.best(word)
-            else:
-                found = self.pieces.n_best(word, 2)
-                (score, ids), extra = found[0], found[0][0] - found[1][0] if len(found) > 1 else None
-            extra = np.iinfo(np.int64).max if extra is None else extra
-            self.add([word], np.array([score]), np.array([extra]), np.array(ids), np.array([len(ids)]))
-        return self.number[word]
-
-    def learn(self, texts: list[str]) -> None:
-        """Finds the best segmentations of all new words of the texts at once."""
+    def alone(self, k: int) -> None:
+        """Finds the best segmentation of one word."""
+        word = self.words[k]
+        if len(word) <= TIES:
+            score, ids, extra = self.pieces.best(word)
+        else:
+            found = self.pieces.n_best(word, 2)
+            (score, ids), extra = found[0], found[0][0] - found[1][0] if len(found) > 1 else None
+        extra = np.iinfo(np.int64).max if extra is None else extra
+        self.add(np.array([k]), np.array([score]), np.array([extra]), np.array(ids), np.array([len(ids)]))
+
+    def learn(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The texts as numbers of words; finds the best segmentations of all new words at once."""
         if len(self.words) > CACHE:
-            self.reset()
-        new: dict[int, set[str]] = {}
-        for word in {w for text in texts if text for w in words_of(text)}:
-            if word not in self.number and len(word) <= MANY:
-                new.setdefault(len(word), set()).add(word)
-        for _, some in sorted(new.items()):
-            ordered = sorted(some)
-            for low in range(0, len(ordered), 4096):
-                part = ordered[low : low + 4096]
-                score, ids, extra, spelled = self.pieces.best_of_many(part)
+            self.forget()
+        known, number = len(self.words), self.number.__getitem__
+        out = [np.array(list(map(number, words_of(x))) if x else [], np.int64) for x in texts]
+        self.words += islice(self.number, known, None)
+        self.room(len(self.words))
+        for numbers in out:
+            self.used[numbers] += 1
+        new: dict[int, list[int]] = {}
+        for k in range(known, len(self.words)):
+            new.setdefault(len(self.words[k]), []).append(k)
+        for size, of in sorted(new.items()):
+            if size > MANY:
+                for k in of:
+                    self.alone(k)
+                continue
+            for low in range(0, len(of), 4096):
+                part = np.array(of[low : low + 4096])
+                score, ids, extra, spelled = self.pieces.best_of_many([self.words[k] for k in of[low : low + 4096]])
                 odd = np.flatnonzero(spelled)
                 if len(odd):
                     own = [
                         [y for x in row if x != -1 for y in ((x,) if x >= 0 else self.pieces.spell(chr(-2 - x)))] for row in ids[odd].tolist()
                     ]
-                    self.add(
-                        [part[k] for k in odd], score[odd], extra[odd], np.array([y for row in own for y in row]), np.array([len(row) for row in own])
-                    )
+                    self.add(part[odd], score[odd], extra[odd], np.array([y for row in own for y in row]), np.array([len(row) for row in own]))
                 whole = ~spelled
                 ids = ids[whole]
-                self.add(
-                    [w for w, other in zip(part, spelled.tolist(), strict=True) if not other], score[whole], extra[whole], ids[ids >= 0], (ids >= 0).sum(axis=1)
-                )
+                self.add(part[whole], score[whole], extra[whole], ids[ids >= 0], (ids >= 0).sum(axis=1))
+        return out
 
     def others(self, k: int) -> list[tuple[int, tuple[int, ...]]]:
         """``(cost, ids)`` of the word's further segmentations; only words that a text may replace are asked for."""
@@ -326,13 +364,12 @@ class Encoder:
 
     def n_best(self, text: str) -> list[tuple[int, np.ndarray]]:
         """``(score, ids)`` of the text's n best segmentations."""
-        if not text:
+        return self.n_best_of(self.learn([text])[0])
+
+    def n_best_of(self, number: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """``(score, ids)`` of the n best segmentations of a text whose words have these numbers."""
+        if not len(number):
             return [(0, np.zeros(0, "<u4"))]
-        words = words_of(text)
-        found = list(map(self.number.get, words))
-        if None in found:
-            found = [self.word(w) if k is None else k for w, k in zip(words, found, strict=True)]
-        number = np.array(found)
         length = self.length[number]
         ends = np.cumsum(length)
         ids = self.flat[np.repeat(self.start[number] - (ends - length), length) + np.arange(int(ends[-1]))]
@@ -365,51 +402,47 @@ class Encoder:
         return out
 
 
-def encoded(docs: DataFrame, model: str, n: int = N) -> DataFrame:
-    """``(doc_id, rank, score, ids)``: the n best of each row's text; ids are little-endian 32-bit words."""
+def encoded(docs: DataFrame, model: str, n: int = N, texts: bool = False) -> DataFrame:
+    """``(doc_id, rank, score, ids)``: the n best of each row's text; ids are little-endian 32-bit words.
+
+    texts: further column ``decoded``, what the row's ids decode to, found where the ids are.
+    """
+    small_batches(docs.sparkSession)
+    kinds = {"doc_id": pa.int64(), "rank": pa.int32(), "score": pa.int64(), "ids": pa.binary()} | ({"decoded": pa.string()} if texts else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, n)
-        kinds = {"doc_id": pa.int64(), "rank": pa.int32(), "score": pa.int64(), "ids": pa.binary()}
 
         def emit(out: list[list]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds.values(), strict=True)], names=list(kinds))
 
         for batch in (piece for whole in batches for piece in slices(whole, 1, TEXT)):
             out, size = [[] for _ in kinds], 0
-            texts = batch.column(1).to_pylist()
-            encoder.learn(texts)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                for rank, (score, ids) in enumerate(encoder.n_best(text or ""), 1):
-                    for column, value in zip(out, (doc_id, rank, score, ids.tobytes()), strict=True):
+            for doc_id, numbers in zip(batch.column(0).to_pylist(), encoder.learn(batch.column(1).to_pylist()), strict=True):
+                for rank, (score, ids) in enumerate(encoder.n_best_of(numbers), 1):
+                    row = (doc_id, rank, score, ids.tobytes(), *((encoder.pieces.text(ids),) if texts else ()))
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
-                    size += ids.nbytes
+                    size += ids.nbytes + (len(row[-1]) if texts else 0)
                 if size > BYTES:
                     yield emit(out)
                     out, size = [[] for _ in kinds], 0
             if out[0]:
                 yield emit(out)
+        del encoder
+        give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, rank int, score long, ids binary")
+    return narrow.mapInArrow(run, "doc_id long, rank int, score long, ids binary" + ", decoded string" * texts)
 
 
 def decoded(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
     """The rows with the texts of their ids in ``decoded``, ids dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = Pieces(model).data
-        flat = np.frombuffer(b"".join(data), np.uint8)
-        length = np.array([len(x) for x in data])
-        start = np.cumsum(length) - length
-        for batch in batches:
-            texts = []
-            for value in batch.column(column):
-                ids = np.frombuffer(value.as_buffer(), "<u4") if value.is_valid else np.zeros(0, int)
-                sizes = length[ids]
-                ends = np.cumsum(sizes)
-                at = np.repeat(start[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-                texts.append(flat[at].tobytes()[1:].decode("utf-8", "replace"))
+        pieces = Pieces(model)
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(column), TEXT)):
+            texts = [pieces.text(np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else np.zeros(0, int)) for x in batch.column(column)]
             keep = [x for x in batch.schema.names if x != column]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
@@ -421,7 +454,8 @@ def decoded(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
 
 def n_best_digest(docs: DataFrame, model: str, n: int = N) -> DataFrame:
     """``(doc_id, rank, score, n_pieces, ids_crc32, text_md5)``; text_md5 is that of the decoded ids."""
-    rows = encoded(docs, model, n).withColumns({
-        "n_pieces": (F.octet_length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids"),
-    })
-    return decoded(rows, model).withColumn("text_md5", F.md5("decoded")).drop("decoded")
+    rows = encoded(docs, model, n, texts=True)
+    return rows.select(
+        "doc_id", "rank", "score", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        F.md5("decoded").alias("text_md5"),
+    )

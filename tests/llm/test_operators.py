@@ -526,6 +526,32 @@ def test_encoding_of_odd_rows(spark):
     assert nbest.encoded(empty(spark), model).count() == 0
 
 
+def test_recurring_words_outlast_the_cache(pieces, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(["same", "words", *("".join(rng.choice("aeinorst\né") for _ in range(6)) for _ in range(30))]) for _ in range(20)]
+    encoder, fresh = (nbest.Encoder.__new__(nbest.Encoder) for _ in range(2))
+    for x in (encoder, fresh):
+        x.pieces, x.n = pieces, 3
+        x.reset()
+    monkeypatch.setattr(nbest, "CACHE", 50)
+    for text in texts:
+        got = [(s, ids.tolist()) for s, ids in encoder.n_best(text)]
+        fresh.reset()
+        assert got == [(s, ids.tolist()) for s, ids in fresh.n_best(text)]
+        assert len(encoder.words) == len(encoder.number) <= 50 + 32
+    assert encoder.number[" same"] < 2 and encoder.number[" words"] < 2  # kept each time words were dropped
+
+
+def test_n_best_digest_takes_one_worker_a_task(spark):
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = docs_of(spark, [(1, None), (2, ""), (3, "  two  spaces é\U00010348 "), (4, "same words"), (4, "same words"), (5, "x" * 300), (6, "a\nb c")])
+    digest = nbest.n_best_digest(docs, model)
+    plan = digest._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    steps = nbest.decoded(nbest.encoded(docs, model).selectExpr("*", "crc32(ids) as ids_crc32"), model).selectExpr("doc_id", "rank", "score", "ids_crc32", "md5(decoded) as text_md5")
+    assert sorted(digest.drop("n_pieces").collect()) == sorted(steps.collect())
+
+
 # ---- tool calls ---------------------------------------------------------------------------------------------------
 
 
