@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import classes, cut
+from pressmill.llm.common import classes, cut, give_back, small_batches
 
 SEED = 42
 WORDS = 3
@@ -66,7 +66,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             bits = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "bits"])
+        give_back()
 
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.where("doc_id is not null").mapInArrow(run, "doc_id long, bits long")
 

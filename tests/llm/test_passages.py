@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 pytest.importorskip("pressmill.llm")
@@ -69,3 +71,41 @@ def test_bytes_removed_after_the_earlier_stages(spark, planted):
         assert [gone[3 * k + c] for c in range(3)] == [expected] * 3
         assert all((passages[n] in after[3 * k + c]) != bool(removable) for c in range(3))
     assert all(gone[i] == 0 for i in before if i >= 100)
+
+
+def test_memory_of_a_task_is_bounded():
+    """Hashing and sorting take many times their input: both get little enough of it at once."""
+    rng = random.Random(3)
+    data = bytes(rng.choices(b"abcdefgh ", k=repeats.CHUNK))
+    parts = [data[k : k + 600] for k in range(0, min(len(data), repeats.SHARD), 600)]
+    parts = [x for x in parts if len(x) == 600]
+    while sum(map(len, parts)) < repeats.SHARD:
+        parts.append(bytes(rng.choices(b"abcdefgh ", k=600)))
+    tracemalloc.start()
+    try:
+        repeats.contexts_of(np.frombuffer(data, np.uint8), np.array([len(data)]))
+        hashing = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        list(repeats.solve_shard([7] * len(parts), list(range(len(parts))), [1] * len(parts), [0] * len(parts), parts))
+        sorting = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert hashing < 64 << 20 and sorting < 64 << 20
+
+
+def test_repeats_across_pieces_of_long_texts(spark):
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    edge = repeats.CHUNK
+    long = say(2 * edge + 5000)
+    shared = long[edge - 300 : edge + 500]
+    other = say(999) + "A" + shared + "B" + say(edge)
+    rows = [(1, long), (2, other), (3, say(700)), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r for r in repeats.removal_digest(docs).collect()}
+    assert {i: (r.n_removed, r.n_spans) for i, r in got.items()} == {1: (800, 1), 2: (800, 1), 3: (0, 0), 4: (0, 0)}
+    cleaned = repeats.without_repeats(docs)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # decoding needs no second Python worker
+    left = {r.doc_id: r.text for r in cleaned.collect()}
+    assert left == {1: long[: edge - 300] + long[edge + 500 :], 2: other.replace(shared, ""), 3: rows[2][1], 4: ""}
