@@ -38,6 +38,32 @@ def test_ratios_equal_the_sequence_matcher():
     assert all(x == pytest.approx(max(ratio(a, b) for b in second[:30] if b)) for a, x in zip(first[:40], best))
 
 
+def test_ratios_at_the_width_of_a_word():
+    rng = random.Random(4)
+    for letters in ("ab", "abc ", "etaoin shrdlu", "日本語の見出し"):
+        first = [word(rng, rng.choice([0, 1, 2, 20, 60, 63, 64, 65, 130]), letters) for _ in range(60)]
+        second = [vary(rng, a, 9)[:199] if rng.random() < 0.5 else word(rng, rng.choice([0, 1, 60, 64, 65, 199]), letters) for a in first]
+        want = [ratio(a, b) if a or b else 0 for a, b in zip(first, second, strict=True)]
+        assert pair_ratios(first, second).tolist() == want
+        assert [x if x >= 0.7 else 0 for x in pair_ratios(first, second, 0.7)] == [x if x >= 0.7 else 0 for x in want]
+        known = [b for b in second if b]
+        assert best_ratios(first, known).tolist() == [max(ratio(a, b) for b in known) for a in first]
+
+
+def test_few_samples_of_a_title_reach_the_exact_ratio(monkeypatch):
+    from pressmill.functions import ratio as module
+
+    rng = random.Random(12)
+    syllables = [word(rng, rng.randrange(2, 5), "etaoinshrdlucmfwyp") for _ in range(40)]
+    line = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(12))[:60]
+    titles, known = [line() for _ in range(200)], [line() for _ in range(200)]
+    compared, exact = [], module._matched_words
+    monkeypatch.setattr(module, "_matched_words", lambda words, *sizes: compared.append(words.shape[1]) or exact(words, *sizes))
+    got = best_ratios(titles, known)
+    assert 0 < sum(compared) < len(titles) * len(known) / 5
+    assert got[:20].tolist() == [max(ratio(a, b) for b in known) for a in titles[:20]]
+
+
 @pytest.mark.parametrize("bound", [1000, 3])
 def test_best_similarity_with_few_and_many_samples(spark, bound):
     rng = random.Random(5)
