@@ -28,23 +28,14 @@ _ONE, _FULL = np.uint64(1), ~np.uint64(0)
 def _codes(texts: Sequence[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     out = np.full((len(texts), max(int(sizes.max(initial=0)), 1)), pad, dtype=np.int32)
-    for row, text in enumerate(texts):
-        if text:
-            out[row, : len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
     return out, sizes
 
 
 def _bags(codes: np.ndarray) -> np.ndarray:
     """Character counts in hashed bins; shared counts never fall below the true ones."""
-    bags = np.zeros((len(codes), _BINS), dtype=np.int32)
     rows, cols = np.nonzero(codes >= 0)
-    np.add.at(bags, (rows, codes[rows, cols] % _BINS), 1)
-    return bags
-
-
-def character_bags(texts: Sequence[str]) -> np.ndarray:
-    """Characters of each text counted in bins: two texts match no more of them than their bags share."""
-    return _bags(_codes(texts, -1)[0])
+    return np.bincount(rows * _BINS + codes[rows, cols] % _BINS, minlength=len(codes) * _BINS).reshape(len(codes), _BINS).astype(np.int32)
 
 
 def _longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

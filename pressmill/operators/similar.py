@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressmill.functions.ratio import best_ratios, character_bags, pair_ratios
+from pressmill.functions.ratio import best_ratios, pair_ratios
 from pressmill.functions.text import clean, col
 from pressmill.operators.keyed import first_per_key, join_on, positions
 from pressmill.operators.lineage import cut_lineage
@@ -88,60 +88,103 @@ def _sliced_similarity(titles: DataFrame, samples: DataFrame, per_sample: int, p
 
 #: Titles of one tile; how many of it are resolved at a time, and how many leaders are looked up at a time.
 _TILE, _STEP, _LOOKUP = 8192, 512, 1024
-#: Bins of the presence matrix of a title's numbered pairs of characters.
-_BINS = 1024
+#: Numbered characters with a column of their own, columns that the others share, bins of a title's numbered pairs of characters,
+#: characters numbered at a time.
+_OWN, _SHARED, _BINS, _FLAT = 126, 64, 1024, 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_tokens(codes: np.ndarray, q: int) -> np.ndarray:
-    """Numbered grams of a title as hashes: the n-th copy of a gram is a token of its own.
-
-    Two grams with one hash only add pairs, which are compared exactly anyway.
-    """
-    n = len(codes) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    hashes = np.full(n, q, np.uint64)
-    for k in range(q):
-        hashes = (hashes ^ codes[k : k + n].astype(np.uint64)) * _MULTIPLIER
-        hashes ^= hashes >> np.uint64(29)
-    hashes = np.sort(hashes)
-    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    copy = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    return (hashes + copy.astype(np.uint64)) * _MULTIPLIER
+def _numbered(row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and grams (below 2**42) in order, and which copy of its gram in its row each one is."""
+    keys = np.sort((row.astype(np.uint64) << np.uint64(42)) | gram)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    copy = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
+    return (keys >> np.uint64(42)).astype(np.int64), keys & np.uint64((1 << 42) - 1), copy.astype(np.uint64)
 
 
 class Titles:
-    """Titles with what the filters read: lengths, characters, and which bins their numbered pairs of characters fall into."""
+    """Titles with what the filters read: lengths, numbered characters, and which bins their numbered pairs of characters fall into.
+
+    The n-th copy of a character or of a pair is a token of its own, so two titles share as many tokens as their bags do.
+    """
 
     def __init__(self, titles: Sequence[str]):
         self.texts = np.array(titles, dtype=object)
         self.sizes = np.array([len(t) for t in titles], dtype=np.float32)
-        self.bins = np.zeros((len(titles), _BINS), dtype=np.float32)
-        self.bags = character_bags(titles)
-        self.lost = np.zeros(len(titles), dtype=np.float32)  # tokens whose bin another one of the title holds
-        for i, title in enumerate(titles):
-            tokens = gram_tokens(np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32), 2)
-            self.bins[i, (tokens >> np.uint64(40)).astype(np.int64) % _BINS] = 1
-            self.lost[i] = len(tokens) - self.bins[i].sum()
+        self.bits = np.zeros((len(titles), _BINS // 64), dtype=np.uint64)
+        self.lost = np.zeros(len(titles), dtype=np.float32)  # pairs whose bin another one of the title holds
+        rows, tokens = [], []
+        # a slice of rows has a bounded number of characters, or is one title
+        part = np.cumsum(self.sizes, dtype=np.int64) // _FLAT
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(titles) else np.zeros(1, np.int64)
+        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = titles[start:stop]
+            codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            row = np.repeat(np.arange(stop - start), [len(t) for t in some])
+            at, gram, copy = _numbered(row, codes)
+            rows.append(at + start)
+            tokens.append((gram << np.uint64(32)) | copy)
+            inside = row[1:] == row[:-1]
+            at, gram, copy = _numbered(row[1:][inside], ((codes[:-1] << np.uint64(21)) | codes[1:])[inside])
+            hashed = ((gram + np.uint64(1)) * _MULTIPLIER ^ copy) * _MULTIPLIER
+            held = np.zeros((stop - start, _BINS), dtype=bool)
+            held[at, (hashed >> np.uint64(40)).astype(np.int64) % _BINS] = True
+            self.bits[start:stop] = np.packbits(held, axis=1, bitorder="little").view("<u8")
+            self.lost[start:stop] = np.bincount(at, minlength=stop - start) - held.sum(axis=1)
+        self.rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        self._made: tuple | None = None
+
+    def _counted(self, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the given numbered characters and of bins of the others, and what lost ones and the length add to those needed."""
+        held = np.zeros((len(self.texts), _OWN + _SHARED + 2), dtype=np.float32)
+        place = np.minimum(np.searchsorted(own, self.tokens), max(len(own) - 1, 0))
+        other = own[place] != self.tokens if len(own) else np.ones(len(self.tokens), dtype=bool)
+        place[other] = _OWN + ((self.tokens[other] * _MULTIPLIER) >> np.uint64(40)).astype(np.int64) % _SHARED
+        held[self.rows, place] = 1
+        lost = np.bincount(self.rows, minlength=len(self.texts)) - held.sum(axis=1)
+        return held, (lost - threshold * self.sizes) / 2
+
+    def _against(self, others: Titles, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Matrices whose product is the shared numbered characters (at most) less those needed."""
+        key = None if others is self else others
+        if self._made is None or self._made[0] is not key or self._made[1] != threshold:
+            found, counts = np.unique(np.concatenate([self.tokens, others.tokens]), return_counts=True)
+            own = np.sort(found[np.argsort(-counts, kind="stable")[:_OWN]])
+            left, add = self._counted(own, threshold)
+            left[:, -2], left[:, -1] = add, 1
+            right, add = others._counted(own, threshold)
+            right[:, -2], right[:, -1] = 1, add
+            self._made = (key, threshold, left, right)
+        return self._made[2:]
 
     def near(self, rows: np.ndarray, others: Titles, columns: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows and columns that may reach the threshold; no other pair does.
 
-        With M matched characters out of la + lb at most la + lb - 2M + 1 blocks are matched, so at least
-        3M - (la + lb) - 1 numbered pairs of characters are shared, and M >= threshold/2 * (la + lb). Shared bins are no
-        fewer than shared tokens less those lost in the title that lost fewer.
+        M matched characters out of la + lb are shared characters, and M >= threshold/2 * (la + lb): the most frequent
+        numbered characters have columns of their own in a matrix product, the others share some, and of those lost there a
+        pair shares at most half of what both lost. At most la + lb - 2M + 1 blocks are matched, so at least 3M - (la + lb) - 1
+        numbered pairs of characters are shared. Shared bins are no fewer than shared tokens less those lost in the title that
+        lost fewer.
         """
-        la, lb = self.sizes[rows][:, None], others.sizes[columns][None, :]
-        shared = self.bins[rows] @ others.bins[columns].T
-        shared += np.minimum(self.lost[rows][:, None], others.lost[columns][None, :])
-        both = la + lb
-        near = shared >= (1.5 * threshold - 1) * both - (1 + 1e-3)
-        near &= 2 * np.minimum(la, lb) >= threshold * both - 1e-3
-        i, j = np.nonzero(near)
-        common = np.minimum(self.bags[rows[i]], others.bags[columns[j]]).sum(axis=1)
-        kept = 2 * common >= threshold * (self.sizes[rows[i]] + others.sizes[columns[j]]) - 1e-3
-        return i[kept], j[kept]
+        if not len(rows) or not len(columns):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        left, right = self._against(others, threshold)
+        right = right[columns].T
+        # rounding of 32 bits grows with the length
+        slack = 1e-3 + 1e-6 * float(max(self.sizes[rows].max(), others.sizes[columns].max()))
+        found = []
+        for start in range(0, len(rows), _STEP):
+            some = rows[start : start + _STEP]
+            i, j = np.divmod(np.flatnonzero(left[some] @ right >= -slack), len(columns))
+            for at in range(0, len(i), _LOOKUP * 64):
+                x, y = i[at : at + _LOOKUP * 64], j[at : at + _LOOKUP * 64]
+                a, b = some[x], columns[y]
+                shared = np.bitwise_count(self.bits[a] & others.bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(self.lost[a], others.lost[b])
+                kept = shared >= (1.5 * threshold - 1) * (self.sizes[a] + others.sizes[b]) - (1 + slack)
+                found.append(np.stack([x[kept] + start, y[kept]]))
+        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return i, j
 
 
 def first_leaders(titles: Titles, leaders: Titles, threshold: float) -> np.ndarray:

@@ -165,3 +165,23 @@ def test_few_pairs_of_a_tile_reach_the_exact_ratio(spark):
     lead = resolved(made, 0.86)
     for a in range(len(titles)):
         assert lead[a] == next((b for b in range(a) if lead[b] == b and (a, b) in close), a)
+
+
+@pytest.mark.parametrize("letters", ["etaoin shrdlu", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))])
+def test_first_filter_leaves_few_pairs(monkeypatch, letters):
+    """Titles are numbered in slices, and the narrow matrix product leaves few pairs, whatever the alphabet."""
+    import numpy as np
+
+    from pressmill.operators import similar
+
+    rng = random.Random(13)
+    titles = list(dict.fromkeys([word(rng, rng.choice([3, 20, 60]), letters) for _ in range(150)] + [word(rng, 700, letters)]))
+    titles += [vary(rng, t, 3) for t in titles[:40]] + [""]
+    monkeypatch.setattr(similar, "_FLAT", 500)
+    first, second = similar.Titles(titles[:100]), similar.Titles(titles[100:])
+    left, right = first._against(second, 0.86)
+    assert left.shape[1] <= 256 and (left @ right.T >= -1e-3).mean() < 0.25
+    rows, columns = np.arange(100)[::-1], np.arange(len(titles) - 100)
+    near = {(rows[i], columns[j]) for i, j in zip(*first.near(rows, second, columns, 0.86), strict=True)}
+    close = {(a, b) for a in range(100) for b in columns if titles[100 + b] and ratio(titles[a], titles[100 + b]) >= 0.86}
+    assert len(close) >= 10 and close <= near and len(near) < 2_000
