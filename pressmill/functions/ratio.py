@@ -21,7 +21,7 @@ _CHUNK = 2048
 _PAIRS = 1 << 14
 _BINS = 64
 #: Characters of a first string that fit a word, pairs of words handled at a time, samples bounded at a time, and words of a table.
-_WORD, _COLUMNS, _GROUP, _TABLE = 64, 1024, 256, 1 << 22
+_WORD, _COLUMNS, _GROUP, _TABLE = 64, 2048, 256, 1 << 22
 _ONE, _FULL = np.uint64(1), ~np.uint64(0)
 
 
@@ -200,7 +200,7 @@ def best_ratios(titles: Sequence[str], samples: Sequence[str]) -> np.ndarray:
     for start in range(0, len(short), _GROUP):
         some = short[start : start + _GROUP]
         characters = np.unique(_codes(some, -2)[0])
-        step = max(1, min(2 * _COLUMNS, _TABLE // (len(characters) + 1)))
+        step = max(1, min(_COLUMNS, _TABLE // (len(characters) + 1)))
         for first in range(0, len(fits), step):
             rows = fits[first : first + step]
             best[rows] = _best_of_group(a[rows], a_size[rows], some, characters, best[rows])

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pressmill.functions.ratio import best_ratios, pair_ratios
 from pressmill.functions.text import clean, col
@@ -52,17 +51,33 @@ def best_similarity(
     if len(head) <= sample_bound:
         shared = spark.sparkContext.broadcast(sorted(head, key=len))
 
-        @F.pandas_udf(T.DoubleType())
-        def best(titles: pd.Series) -> pd.Series:
-            return pd.Series(best_ratios(list(titles), shared.value))
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for titles in _gathered(pdf["_title"] for pdf in batches):
+                yield pd.DataFrame({"_title": titles, "_best": best_ratios(titles, shared.value)})
 
-        scored = distinct_titles.repartition(_tasks(df), F.xxhash64("_title")).withColumn("_best", best("_title"))
+        spread = distinct_titles.repartition(_tasks(df), F.xxhash64("_title"))
+        scored = spread.mapInPandas(best, "_title string, _best double")
     else:
         scored = _sliced_similarity(distinct_titles, known, sample_bound, titles_per_task)
     joined = rows.join(scored, "_title", "left")
     return joined.withColumn(out, F.coalesce("_best", F.lit(0.0))).drop("_best", "_title")
 
 
+def _gathered(batches: Iterable[pd.Series], rows: int = 2048, cells: int = 1 << 20) -> Iterator[list[str]]:
+    """The titles of several small batches at a time: so many rows, and so many characters if all were as long as the longest."""
+    held: list[str] = []
+    longest = 0
+    for batch in batches:
+        more = list(batch)
+        top = max([longest, *map(len, more)])
+        if held and (len(held) + len(more) > rows or (len(held) + len(more)) * top > cells):
+            yield held
+            held, top = [], max(map(len, more), default=0)
+        held, longest = held + more, top
+    if held:
+        yield held
+
+
 def _sliced_similarity(titles: DataFrame, samples: DataFrame, per_sample: int, per_title: int) -> DataFrame:
     sample_slices = max(1, math.ceil(samples.count() / per_sample))
     title_slices = max(1, math.ceil(titles.count() / per_title))

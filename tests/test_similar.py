@@ -185,3 +185,16 @@ def test_first_filter_leaves_few_pairs(monkeypatch, letters):
     near = {(rows[i], columns[j]) for i, j in zip(*first.near(rows, second, columns, 0.86), strict=True)}
     close = {(a, b) for a in range(100) for b in columns if titles[100 + b] and ratio(titles[a], titles[100 + b]) >= 0.86}
     assert len(close) >= 10 and close <= near and len(near) < 2_000
+
+
+def test_small_batches_of_titles_are_gathered_within_bounds():
+    import pandas as pd
+
+    from pressmill.operators.similar import _gathered
+
+    sizes = [3] * 40 + [500] + [3] * 40
+    batches = [pd.Series(["x" * n] * 4) for n in sizes] + [pd.Series([], dtype=object)]
+    got = list(_gathered(batches, rows=32, cells=1000))
+    assert [len(t) for part in got for t in part] == [n for n in sizes for _ in range(4)]
+    assert max(map(len, got)) == 32 and [len(part) for part in got if len(part[-1]) == 500] == [4]
+    assert list(_gathered([])) == []
